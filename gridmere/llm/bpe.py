@@ -26,7 +26,7 @@ from .common import map_texts
 #: Pre-tokens whose ids a worker remembers, and their greatest length; both bound memory only.
 REMEMBERED, REMEMBERED_LENGTH = 250_000, 48
 #: White space as the vocabulary's own library takes it (Unicode's White_Space), fixed values.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=2)

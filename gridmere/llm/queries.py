@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid, simhash, toxicity
+from .common import is_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: A text is rejected as toxic from this score on.
+TOXIC = 0.3
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.samples(docs, ~is_fold("doc_id", 4, 2))
+    return langid.identify(docs, model).select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "entropy")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +27,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~is_fold("doc_id", 4, 2))
+    scored = toxicity.scores(docs, machine)
+    return scored.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op4_bpe, op6_toxicity, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
