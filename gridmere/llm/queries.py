@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, toxicity
+from . import bpe, classlm, flac, langid, simhash, toxicity
 from .common import is_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "entropy")
 
 
+def op3_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, vocabulary = classlm.train(docs, ~is_fold("doc_id", 10, 0))
+    scored = classlm.score(docs, model, vocabulary)
+    return scored.select("doc_id", is_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
@@ -34,9 +41,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.decode_column(flac.encode_column(table(spark, sf_dir, "documents"))))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op4_bpe, op6_toxicity, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op3_classlm, op4_bpe, op6_toxicity, op8_flac, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
