@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, flac, langid, simhash, toxicity
+from . import bpe, classlm, decontaminate, flac, langid, simhash, toxicity
 from .common import is_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~is_fold("doc_id", 4, 2))
@@ -49,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op3_classlm, op4_bpe, op6_toxicity, op8_flac, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op3_classlm, op4_bpe, op5_decontaminate, op6_toxicity, op8_flac, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
