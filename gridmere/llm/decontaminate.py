@@ -23,10 +23,11 @@ from functools import reduce
 from math import log
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, slices
 
 ENTRY, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
@@ -271,19 +272,21 @@ def _finder(shared, overlap: float):
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The documents that leak no item, with all their columns. A document's own text decides, whatever its id."""
     marked = docs
-    for n, index in enumerate(shards(items, options.get("threshold", 0.6), text_col=text_col)):
+    for index in shards(items, options.get("threshold", 0.6), text_col=text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        make = _finder(shared, options.get("overlap", 0.8))
+        leaky = _leaky(_finder(shared, options.get("overlap", 0.8)))
+        marked = marked.filter(~leaky(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))))
+    return marked
 
-        @F.pandas_udf("boolean")
-        def leaky(texts, make=make):
-            import pandas as pd
 
-            run, bad = make(), set()
-            for a in range(0, len(texts), 500):
-                part = texts.iloc[a : a + 500].tolist()
-                bad.update(run(list(range(a, a + len(part))), part)[0])
-            return pd.Series([i in bad for i in range(len(texts))], dtype=bool)
+def _leaky(make):
+    @F.pandas_udf("boolean")
+    def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = make()
+        for texts in batches:
+            bad: set[int] = set()
+            for start, end in slices([len(t) for t in texts]):
+                bad.update(run(list(range(start, end)), texts.iloc[start:end].tolist())[0])
+            yield pd.Series([i in bad for i in range(len(texts))], dtype=bool)
 
-        marked = marked.filter(~leaky(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))))
-    return marked
+    return leaky

@@ -15,15 +15,19 @@ the first language in alphabetical order. Repeated rows have equal results; an e
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, slices
 
 BLOCK = 128
+#: The result for texts without a letter.
+UNKNOWN = "und"
 #: Symbols of the alphabet: the separator, letters outside the samples, and the samples' most frequent letters.
 ALPHABET = 64
 #: Languages that a model holds at most, those with the most text; it bounds the workers' memory.
@@ -141,7 +145,7 @@ class Parser:
         """Language, score and cross-parsing entropy (bits a symbol) of each text."""
         symbols = [folded(t) for t in texts]
         some = [i for i, s in enumerate(symbols) if self.languages and (s != 0).any()]
-        names, score, entropy = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+        names, score, entropy = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if some:
             length = np.array([len(symbols[i]) for i in some])
             bits = self.phrases([symbols[i] for i in some]) * np.array(self.bits)
@@ -204,12 +208,13 @@ def with_languages(docs: DataFrame, model: dict[str, bytes], text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, entropy double")
-    def judged(texts):
-        import pandas as pd
-
-        own, parts = parser(shared.value), []
-        for start in range(0, len(texts), 500):
-            parts.append(pd.DataFrame(dict(zip(("lang_pred", "score", "entropy"), own.judge([t or b"" for t in texts[start : start + 500]])))))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "entropy": []})
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = parser(shared.value)
+        for texts in batches:
+            found: list[list] = [[], [], []]
+            for start, end in slices([len(t) for t in texts], 2 << 20):
+                for column, more in zip(found, own.judge(texts.iloc[start:end].tolist())):
+                    column += more
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "entropy"), found)))
 
     return docs.withColumn(into, judged(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))))

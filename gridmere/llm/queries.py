@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, decontaminate, flac, langid, simhash, toxicity
+from . import bpe, chat, classlm, decontaminate, flac, langid, licenses, simhash, toxicity, urls
 from .common import is_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "entropy")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.blocks(table(spark, sf_dir, "conversations"))
+    model = chat.fit(found.filter(~is_fold("conv_id", 4, 2)))
+    parsed = chat.rendered(chat.roles(found, model))
+    return parsed.select("conv_id", "turn", "block", is_fold("conv_id", 4, 2).alias("held_out"), "role_pred", "opens", "rendered")
+
+
 def op3_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, vocabulary = classlm.train(docs, ~is_fold("doc_id", 10, 0))
@@ -45,13 +52,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(flac.decode_column(flac.encode_column(table(spark, sf_dir, "documents"))))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op3_classlm, op4_bpe, op5_decontaminate, op6_toxicity, op8_flac, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_langid, op2_chat, op3_classlm, op4_bpe, op5_decontaminate, op6_toxicity, op7_urls, op8_flac, op9_licenses, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

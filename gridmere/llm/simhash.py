@@ -220,3 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(named, "fp").select(id_col, hexed, "component_id")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """The document of the least id of each component, with all its columns, and one row of each id.
+
+    Rows with a null id cannot be told apart and stay.
+    """
+    found, _ = written(near_duplicates(docs, id_col, text_col, words, distance).select(id_col, "component_id"), "components")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti")
+    again = found.filter(f"`{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").unionByName(once)

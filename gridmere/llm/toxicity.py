@@ -13,9 +13,11 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +154,9 @@ def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score
     """All columns of docs and the score, without a join: for filters."""
 
     @F.pandas_udf("double")
-    def score_of(texts):
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = machine.scorer()
-        return texts.map(lambda t: score(t or b""))
+        for texts in batches:
+            yield texts.map(score).astype(float)
 
     return docs.withColumn(score_col, score_of(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))))
