@@ -43,18 +43,16 @@ def albers(lon: Column, lat: Column, p: dict = ALBERS) -> tuple[Column, Column]:
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
-def albers_inverse(x: Column, y: Column, p: dict = ALBERS, rounds: int = 5) -> tuple[Column, Column]:
-    """Degrees of metres; Newton steps on the latitude (equation 3-16)."""
-    e2, e, n, c, rho0, _ = _conic(p)
+def albers_inverse(x: Column, y: Column, p: dict = ALBERS) -> tuple[Column, Column]:
+    """Degrees of metres, by the series from authalic to geodetic latitude (equation 3-18)."""
+    e2, _, n, c, rho0, pole = _conic(p)
     sign = 1.0 if n > 0 else -1.0
     rho = sign * F.sqrt(x * x + (rho0 - y) * (rho0 - y))
     theta = F.atan2(sign * x, sign * (rho0 - y))
     q = (c - (rho * n / p["a"]) * (rho * n / p["a"])) / n
-    lat = F.asin(F.least(F.greatest(q / 2, F.lit(-1.0)), F.lit(1.0)))
-    for _ in range(rounds):
-        s = F.sin(lat)
-        w = 1 - e2 * s * s
-        lat = lat + w * w / (2 * F.cos(lat)) * (q / (1 - e2) - s / w + F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    beta = F.asin(F.least(F.greatest(q / pole, F.lit(-1.0)), F.lit(1.0)))
+    e4, e6 = e2 * e2, e2 * e2 * e2
+    lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + (761 * e6 / 45360) * F.sin(6 * beta)
     return p["lon_0"] + F.degrees(theta) / n, F.degrees(lat)
 
 

@@ -170,3 +170,51 @@ def coverage(cells: DataFrame, polygons: DataFrame, side: float, key: str, parts
 def first_match(pairs: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key, the first in an order."""
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def rasterized(polygons: DataFrame, key: str, x0: float = 0.0, y0: float = 0.0, step: float = 1.0) -> DataFrame:
+    """(row, col, key): cells of a grid whose centres are within polygons; each polygon makes the cells of its own box
+    only. Where polygons overlap, the greatest key stays."""
+    box = geometry.bounds(F.col("ring"))
+    rows = F.sequence(F.floor((box["y_min"] - y0) / step), F.floor((box["y_max"] - y0) / step))
+    cols = F.sequence(F.floor((box["x_min"] - x0) / step), F.floor((box["x_max"] - x0) / step))
+    cells = polygons.select(key, "ring", F.explode(rows).alias("row")).select(key, "ring", "row", F.explode(cols).alias("col"))
+    x, y = (F.col("col") + 0.5) * step + x0, (F.col("row") + 0.5) * step + y0
+    return cells.filter(geometry.within(x, y, F.col("ring"))).groupBy("row", "col").agg(F.max(key).alias(key))
+
+
+def warped(cells: DataFrame, target: DataFrame, to_source: tuple[Column, Column], x0: float, y0: float, dx: float, dy: float) -> DataFrame:
+    """A raster on another grid: each target cell takes the value of the source cell nearest to its place there, null
+    outside. to_source gives source coordinates from the columns of the target."""
+    col, row = grid_lookup(*to_source, x0, y0, dx, dy)
+    source = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    placed_ = target.withColumns({"_r": row, "_c": col})
+    return placed_.join(source, ["_r", "_c"], "left").drop("_r", "_c")
+
+
+def polygon_line_lengths(segments: DataFrame, polygons: DataFrame, key: str, side: float) -> DataFrame:
+    """(id, key, inside): length of segments inside polygons. A segment is cut at its crossings of the ring, and the
+    pieces whose middles are inside count."""
+    box = geometry.bounds(F.col("ring"))
+    own = {"x_min": F.least("x1", "x2"), "x_max": F.greatest("x1", "x2"), "y_min": F.least("y1", "y2"), "y_max": F.greatest("y1", "y2")}
+    pairs = spread(segments, side, own).join(spread(polygons, side, box), ["_gx", "_gy"]).drop("_gx", "_gy").dropDuplicates(["id", key])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+    def cut(i: Column) -> Column:
+        p, q = F.get("ring", i), F.get("ring", i + 1)
+        ex, ey = q["x"] - p["x"], q["y"] - p["y"]
+        det = dx * ey - dy * ex
+        t = F.try_divide((p["x"] - F.col("x1")) * ey - (p["y"] - F.col("y1")) * ex, det)
+        u = F.try_divide((p["x"] - F.col("x1")) * dy - (p["y"] - F.col("y1")) * dx, det)
+        return F.when(t.between(0, 1) & u.between(0, 1), t)
+
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(F.sequence(F.lit(0), F.size("ring") - 2), cut), lambda t: t.isNotNull())))
+    with_cuts = pairs.withColumn("_t", cuts)
+
+    def piece(acc: Column, i: Column) -> Column:
+        a, b = F.get("_t", i), F.get("_t", i + 1)
+        mid = (a + b) / 2
+        return acc + F.when(geometry.crossings(F.col("x1") + mid * dx, F.col("y1") + mid * dy, F.col("ring")) % 2 == 1, b - a).otherwise(0.0)
+
+    share = F.aggregate(F.sequence(F.lit(0), F.size("_t") - 2), F.lit(0.0), piece)
+    return with_cuts.select("id", key, (share * F.hypot(dx, dy)).alias("inside")).filter("inside > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import places, rasters, regional
+from . import more, places, rasters, regional
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "places", "rasters", "regional"]
+__all__ = ["ORACLE_SQL", "QUERIES", "more", "places", "rasters", "regional"]
