@@ -24,29 +24,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches, written
+
 SEGMENT = 64
 #: Names in speaker markers, by role. Fixed values.
 MARKERS = {"assistant": ("assistant", "ai", "bot", "answer", "a", "model"), "system": ("system", "instruction", "context"), "user": ("user", "human", "question", "q", "customer", "prompt")}
 #: A line that begins with a speaker's name and a colon, with or without the signs that chat logs put around names.
-MARKER = r"(?i)(?:^|(?<=\n))[ \t]*[#>*\[<|]{0,3}[ \t]*(" + "|".join(sorted((n for names in MARKERS.values() for n in names), key=lambda n: (-len(n), n))) + r")[ \t]*[\]|>*]{0,3}[ \t]*:[ \t]*"
+MARKER = r"(?i)\A[ \t]*[#>*\[<|]{0,3}[ \t]*(" + "|".join(sorted((n for names in MARKERS.values() for n in names), key=lambda n: (-len(n), n))) + r")[ \t]*[\]|>*]{0,3}[ \t]*:[ \t]*"
+#: Where such a line begins.
+BEGIN = MARKER.replace(r"(?i)\A", r"(?i)(?:(?<=\n)|\A)(?=") + ")"
 #: Values of each feature: marker, length, lines, last character, whether first in its row.
 FEATURES = {"marker": 4, "length": 16, "lines": 8, "last": 5, "opening": 2}
 
 
 def blocks(rows: DataFrame, conv_col: str = "conv_id", place_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
     """(conv_id, turn, block, seg, text, role and features) of all rows; role is null where none is given."""
-    mark = "\x01"
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARKER, mark + "$1" + mark), f"(?={mark}[^{mark}]*{mark})")
+    cut = F.split(F.coalesce(F.col(text_col), F.lit("")), BEGIN)
     parts = rows.select(
         F.col(conv_col).alias("conv_id"), F.col(place_col).cast("long").alias("turn"), (F.col(role_col) if role_col else F.lit(None).cast("string")).alias("role"),
         F.posexplode(F.when(F.size(F.filter(cut, lambda p: p != "")) > 0, F.filter(cut, lambda p: p != "")).otherwise(F.array(F.lit("")))).alias("block", "raw"),
     )
-    name = F.lower(F.regexp_extract("raw", f"^{mark}([^{mark}]*){mark}", 1))
+    name = F.lower(F.regexp_extract("raw", MARKER, 1))
     marker = F.lit(0)
     for i, names in enumerate(MARKERS.values(), 1):
         marker = F.when(name.isin(*names), i).otherwise(marker)
-    text = F.regexp_replace("raw", f"^{mark}[^{mark}]*{mark}", "")
-    out = parts.withColumns({"marker": marker, "text": F.trim(text)})
+    text = F.regexp_replace("raw", MARKER, "")
+    out = parts.withColumns({"marker": marker, "text": F.btrim(text, F.lit(" \t\r\n"))})
     last = F.when(F.col("text") == "", 0).when(F.endswith("text", F.lit("?")), 1).when(F.rlike("text", F.lit(r"[.!]$")), 2).when(F.endswith("text", F.lit(":")), 3).otherwise(4)
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     log2 = F.ceil(F.log2(F.length("text") + F.lit(1.0))).cast("int")
@@ -91,27 +94,24 @@ def fit(labelled: DataFrame, roles: tuple[str, ...] = ("assistant", "system", "u
     return Model(names, np.log(step / step.sum(1, keepdims=True)), {f: np.log(e / e.sum(0)) for f, e in emit.items()})
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys of sorted batches, each whole."""
-    held: list[pd.DataFrame] = []
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Sorted batches, cut anew so that each run of equal keys is whole; and where the runs begin and end."""
+    held: pd.DataFrame | None = None
     for batch in batches:
         if not len(batch):
             continue
-        codes = sum((batch[k].ne(batch[k].shift()) & ~(batch[k].isna() & batch[k].shift().isna())).astype(int) for k in keys).to_numpy()
-        cuts = [0, *(np.flatnonzero(codes[1:]) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.iloc[a:b]
-            if a == 0 and held:
-                x, y = held[-1].iloc[-1], part.iloc[0]
-                if not all(x[k] == y[k] or (pd.isna(x[k]) and pd.isna(y[k])) for k in keys):
-                    yield pd.concat(held) if len(held) > 1 else held[0]
-                    held = []
-            elif held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        rows = batch.reset_index(drop=True) if held is None else pd.concat([held, batch], ignore_index=True)
+        new = np.zeros(len(rows), bool)
+        for k in keys:
+            before = rows[k].shift()
+            new |= (rows[k].ne(before) & ~(rows[k].isna() & before.isna())).to_numpy()
+        new[0] = True
+        starts = np.flatnonzero(new).tolist()
+        held = rows.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], list(zip(starts, starts[1:]))
+    if held is not None:
+        yield held, [(0, len(held))]
 
 
 def chain(step: np.ndarray, emissions: np.ndarray) -> np.ndarray:
@@ -141,63 +141,80 @@ def _arranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def _bounds(found: DataFrame, model: Model, span: int) -> DataFrame:
+    """(conv_id, seg, entry, leave): the role before each segment, and its last one, of the conversations given."""
+    states = len(model.roles)
+    kind = found.schema["conv_id"].dataType.simpleString()
+    shape, result = f"conv_id {kind}, seg long, m array<double>", f"conv_id {kind}, seg long, entry int, leave int"
+
+    def matrices(column: pd.Series) -> np.ndarray:
+        return np.stack(column.to_list()).reshape(-1, states + 1, states)
+
+    def first(batches):
+        for rows, parts in runs(batches, ["conv_id", "seg"]):
+            scores, at = model.emissions(rows), [a for a, _ in parts]
+            yield pd.DataFrame({"conv_id": rows["conv_id"].iloc[at], "seg": rows["seg"].iloc[at], "m": [chain(model.step, scores[a:b]).ravel().tolist() for a, b in parts]})
+
+    def up(batches):
+        for rows, parts in runs(batches, ["conv_id", "seg"]):
+            own, at, out = matrices(rows["m"]), [a for a, _ in parts], []
+            for a, b in parts:
+                m = own[a]
+                for x in own[a + 1 : b]:
+                    m = (m[:, :, None] + x[None, :-1]).max(1)
+                out.append(m.ravel().tolist())
+            yield pd.DataFrame({"conv_id": rows["conv_id"].iloc[at], "seg": rows["seg"].iloc[at], "m": out})
+
+    def down(batches):
+        for rows, parts in runs(batches, ["conv_id", "parent"]):
+            own, entry, leave = matrices(rows["m"]), rows["entry"].to_numpy().copy(), rows["leave"].to_numpy().copy()
+            for a, b in parts:
+                path = best_path(list(own[a:b]), int(entry[a]), None if leave[a] < 0 else int(leave[a]))
+                entry[a + 1 : b], leave[a:b] = path[:-1], path
+            yield pd.DataFrame({"conv_id": rows["conv_id"], "seg": rows["seg"], "entry": entry, "leave": leave})
+
+    levels = [_arranged(found, ["conv_id", "seg"], ["turn", "block", "text"]).mapInPandas(first, shape)]
+    while span:
+        span //= SEGMENT
+        above = levels[-1].select("conv_id", F.floor(F.col("seg") / SEGMENT).alias("parent"), F.col("seg").alias("place"), "m").withColumnRenamed("parent", "seg")
+        levels.append(_arranged(above, ["conv_id", "seg"], ["place"]).mapInPandas(up, shape))
+    top = levels[-1].select("conv_id", F.lit(0).cast("long").alias("parent"), "seg", "m", F.lit(states).alias("entry"), F.lit(-1).alias("leave"))
+    bounds = _arranged(top, ["conv_id", "parent"], ["seg"]).mapInPandas(down, result)
+    for level in reversed(levels[:-1]):
+        parent = bounds.select(F.col("conv_id").alias("c"), F.col("seg").alias("p"), "entry", "leave")
+        own = level.withColumn("parent", F.floor(F.col("seg") / SEGMENT))
+        joined = own.join(parent, own["conv_id"].eqNullSafe(parent["c"]) & (own["parent"] == parent["p"])).drop("c", "p")
+        bounds = _arranged(joined, ["conv_id", "parent"], ["seg"]).mapInPandas(down, result)
+    return bounds
+
+
 def roles(found: DataFrame, model: Model) -> DataFrame:
     """(conv_id, turn, block, role_pred, opens, text): opens is true where a turn begins."""
     states = len(model.roles)
     kind = found.schema["conv_id"].dataType.simpleString()
-    shape = f"conv_id {kind}, seg long, m array<double>"
-    top = found.agg(F.min("seg"), F.max("seg")).first()
-    levels: list[DataFrame] = []
-    bounds = None
-    if top[0] is not None and top[0] != top[1]:
-
-        def up(batches, level):
-            for group in runs(batches, ["conv_id", "seg"]):
-                m = chain(model.step, model.emissions(group)) if level == 0 else None
-                if m is None:
-                    mats = [np.array(x).reshape(states + 1, states) for x in group["m"]]
-                    m = mats[0]
-                    for x in mats[1:]:
-                        m = (m[:, :, None] + x[None, :-1]).max(1)
-                yield pd.DataFrame({"conv_id": [group["conv_id"].iloc[0]], "seg": [group["seg"].iloc[0]], "m": [m.ravel().tolist()]})
-
-        def down(batches):
-            for group in runs(batches, ["conv_id", "parent"]):
-                mats = [np.array(x).reshape(states + 1, states) for x in group["m"]]
-                entry, leave = group["entry"].iloc[0], group["leave"].iloc[0]
-                path = best_path(mats, int(entry), None if leave < 0 else int(leave))
-                yield pd.DataFrame({"conv_id": group["conv_id"], "seg": group["seg"], "entry": [int(entry), *path[:-1]], "leave": path})
-
-        levels.append(_arranged(found, ["conv_id", "seg"], ["turn", "block", "text"]).mapInPandas(lambda b: up(b, 0), shape))
-        span = max(abs(top[0]), abs(top[1]))
-        while span:
-            span //= SEGMENT
-            above = levels[-1].select("conv_id", F.floor(F.col("seg") / SEGMENT).alias("parent"), F.col("seg").alias("place"), "m")
-            grouped = _arranged(above.select("conv_id", F.col("parent").alias("seg"), "place", "m"), ["conv_id", "seg"], ["place"])
-            levels.append(grouped.mapInPandas(lambda b: up(b, 1), shape))
-        bounds = levels[-1].select("conv_id", F.lit(0).cast("long").alias("top"), "seg", "m")
-        bounds = bounds.select("conv_id", F.col("top").alias("parent"), "seg", "m", F.lit(states).alias("entry"), F.lit(-1).alias("leave"))
-        result = f"conv_id {kind}, seg long, entry int, leave int"
-        bounds = _arranged(bounds, ["conv_id", "parent"], ["seg"]).mapInPandas(down, result)
-        for level in reversed(levels[:-1]):
-            parent = bounds.select(F.col("conv_id").alias("c"), F.col("seg").alias("parent"), "entry", "leave")
-            own = level.withColumn("parent", F.floor(F.col("seg") / SEGMENT))
-            joined = own.join(parent, own["conv_id"].eqNullSafe(parent["c"]) & (own["parent"] == parent["parent"])).select("conv_id", own["parent"], "seg", "m", "entry", "leave")
-            bounds = _arranged(joined, ["conv_id", "parent"], ["seg"]).mapInPandas(down, result)
-
-    def decode(batches):
-        for group in runs(batches, ["conv_id", "seg"]):
-            scores = model.emissions(group)
-            entry, leave = int(group["entry"].iloc[0]), int(group["leave"].iloc[0])
-            path = best_path([model.step + e for e in scores], entry, None if leave < 0 else leave)
-            opens = np.array(path) != np.array([entry, *path[:-1]])
-            yield pd.DataFrame({"conv_id": group["conv_id"], "turn": group["turn"], "block": group["block"], "role_pred": [model.roles[i] for i in path], "opens": opens, "text": group["text"]})
-
-    if bounds is None:
+    small_batches(found.sparkSession)
+    other = found.filter("seg <> 0")
+    span = other.agg(F.max(F.abs("seg"))).first()[0]
+    if span is None:  # one segment a conversation
         placed = found.withColumns({"entry": F.lit(states), "leave": F.lit(-1)})
     else:
-        b = bounds.select(F.col("conv_id").alias("c"), F.col("seg").alias("s"), "entry", "leave")
-        placed = found.join(b, found["conv_id"].eqNullSafe(b["c"]) & (found["seg"] == b["s"])).drop("c", "s")
+        many = other.select(F.col("conv_id").alias("c")).distinct()
+        cut = found.join(many, found["conv_id"].eqNullSafe(many["c"]), "left_semi")
+        bounds, _ = written(_bounds(cut, model, span), "bounds")
+        b = bounds.toDF("c", "s", "entry", "leave")
+        joined = found.join(b, found["conv_id"].eqNullSafe(b["c"]) & (found["seg"] == b["s"]), "left").drop("c", "s")
+        placed = joined.withColumns({"entry": F.coalesce("entry", F.lit(states)), "leave": F.coalesce("leave", F.lit(-1))})
+
+    def decode(batches):
+        for rows, parts in runs(batches, ["conv_id", "seg"]):
+            scores, entry, leave = model.emissions(rows), rows["entry"].to_numpy(), rows["leave"].to_numpy()
+            path = np.zeros(len(rows), np.int64)
+            before = np.zeros(len(rows), np.int64)
+            for a, b in parts:
+                path[a:b] = best_path([model.step + e for e in scores[a:b]], int(entry[a]), None if leave[a] < 0 else int(leave[a]))
+                before[a], before[a + 1 : b] = entry[a], path[a : b - 1]
+            yield pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "block": rows["block"], "role_pred": np.array(model.roles, object)[path], "opens": path != before, "text": rows["text"]})
+
     return _arranged(placed, ["conv_id", "seg"], ["turn", "block", "text"]).mapInPandas(decode, f"conv_id {kind}, turn long, block int, role_pred string, opens boolean, text string")
 
 
