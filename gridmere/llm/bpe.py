@@ -164,6 +164,22 @@ def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str =
     return map_texts(encoded.select(id_col, "n_tokens", "ids"), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary", make)
 
 
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_texts() and then decode_ids() in one pass, as (id, n_tokens, ids, decoded): one worker holds one codec."""
+
+    def make():
+        own = codec(vocabulary, pattern)
+
+        def run(keys, texts):
+            packed = [own.encode((t or b"").decode("utf-8", "replace")) for t in texts]
+            return keys, [len(p) // 4 for p in packed], packed, [own.decode(p) for p in packed]
+
+        return run
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_texts(docs.select(F.col(id_col), F.col(text_col).cast("binary")), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary", make)
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return decoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

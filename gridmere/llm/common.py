@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a task holds decoded at a time; it bounds the Python workers' memory.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -78,6 +80,11 @@ def slices(lengths: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: texts are long, and both sides hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """Map (key, text as bytes) rows, a bounded slice at a time.
 
@@ -97,6 +104,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     fields = StructType.fromDDL(schema).fields
     names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import map_texts, slices, small_batches
 
 ENTRY, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
@@ -271,6 +271,7 @@ def _finder(shared, overlap: float):
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The documents that leak no item, with all their columns. A document's own text decides, whatever its id."""
+    small_batches(docs.sparkSession)
     marked = docs
     for index in shards(items, options.get("threshold", 0.6), text_col=text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)

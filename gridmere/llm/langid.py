@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import map_texts, slices, small_batches
 
 BLOCK = 128
 #: The result for texts without a letter.
 UNKNOWN = "und"
 #: Symbols of the alphabet: the separator, letters outside the samples, and the samples' most frequent letters.
-ALPHABET = 64
+ALPHABET = 56
 #: Languages that a model holds at most, those with the most text; it bounds the workers' memory.
 LANGUAGES = 64
 
@@ -100,14 +100,14 @@ class Parser:
         for k in self.languages:
             go = automaton(self.code[texts[k]].tolist())
             alone = len(go)  # the state after a symbol that the sample lacks: a phrase of its own
-            table = np.full((alone + 1, ALPHABET), -1, np.int64)
+            table = np.full((alone + 1, ALPHABET), -1, np.int32)
             for state, out in enumerate(go):
                 table[state, list(out)] = list(out.values())
             first = np.where(table[0] < 0, alone, table[0])
             ends = table < 0
             table = np.where(ends, first, table)
             ends[0] = False  # where a block begins, no phrase ends
-            tables.append((((table + base) * ALPHABET) << 1 | ends).astype(np.int32))
+            tables.append(((table + base) * ALPHABET) << 1 | ends)
             self.roots.append(base * ALPHABET << 1)
             self.bits.append(float(np.log2(len(texts[k]) + 2)))
             base += alone + 1
@@ -158,7 +158,7 @@ class Parser:
         return names, score, entropy
 
 
-def samples(docs: DataFrame, train: Column, sample_chars: int = 60_000, all_chars: int = 300_000, sample_rows: int = 100, row_chars: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def samples(docs: DataFrame, train: Column, sample_chars: int = 40_000, all_chars: int = 240_000, sample_rows: int = 100, row_chars: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Folded sample text of each language, as 32-bit code points: sample_chars each, or an equal part of all_chars."""
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit(11)).alias("h"), F.col(text_col).alias("text"))
     fit = F.length("text").between(1, row_chars)
@@ -206,6 +206,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 def with_languages(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", into: str = "identified") -> DataFrame:
     """All columns of docs and a struct (lang_pred, score, entropy), without a join: for filters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, entropy double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -38,7 +38,7 @@ def op3_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

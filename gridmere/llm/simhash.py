@@ -30,6 +30,8 @@ from .common import discard, map_texts, written
 NODE, FAN = 4096, 8
 #: Fingerprints that one search takes as queries at a time.
 QUERIES = 1024
+#: Removed ids up to which they are broadcast; beyond it, documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -228,7 +230,9 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id cannot be told apart and stay.
     """
     found, _ = written(near_duplicates(docs, id_col, text_col, words, distance).select(id_col, "component_id"), "components")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone, _ = written(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti")
     again = found.filter(f"`{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col)
     if again.isEmpty():

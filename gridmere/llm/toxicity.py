@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 HASH_BITS = 28
 #: Bytes of a word that its prefix term has.
 PREFIX = 5
 #: Words whose features a worker remembers; it bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: ASCII letters in lower case, other ASCII bytes as spaces; bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -62,9 +62,11 @@ class Machine:
 
         def score(text: bytes) -> float:
             found = words_of(text)
-            if len(features) > REMEMBERED:
+            new = found.difference(features)
+            if len(features) + len(new) > REMEMBERED:
                 features.clear()
-            for word in found.difference(features):
+                new = found
+            for word in new:
                 features[word] = tuple(place[b] for b in buckets_of(word) if b in place)
             at = sorted({i for word in found for i in features[word]})
             total = self.bias
@@ -153,6 +155,8 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of docs and the score, without a join: for filters."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = machine.scorer()
