@@ -180,7 +180,7 @@ def q84(spark, d):
     return views.points(spark, d).select("point_id", x.alias("mx"), y.alias("my")).select("point_id", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
 
 
-@query("q85_ordered_by_reference", f"""WITH {views.OBJECTS}, s AS (SELECT region, year, sum(area_ha) AS v FROM objects GROUP BY ALL), p AS (SELECT region, row_number() OVER (ORDER BY v DESC, region) AS place FROM s WHERE year = 1998)
+@query("q85_ordered_by_reference", f"""WITH {views.OBJECTS}, s AS (SELECT region, year, sum(area_ha) AS v FROM objects GROUP BY ALL), p AS (SELECT region, CAST(row_number() OVER (ORDER BY v DESC, region) AS INTEGER) AS place FROM s WHERE year = 1998)
   SELECT region, year, v, place FROM s LEFT JOIN p USING (region)""")
 def q85(spark, d):
     s = views.objects(spark, d).groupBy("region", "year").agg(F.sum("area_ha").alias("v"))
@@ -194,7 +194,7 @@ def q86(spark, d):
     return reshape.joined(a, b, ["k"], "full").select("k", (F.col("n_x") - F.col("n_y")).alias("difference"), r6(100 * F.try_divide(F.col("n_y"), F.col("n_x")), "percent"))
 
 
-@query("q87_affine_pixels", f"WITH {views.GRID} SELECT row, col, (col + 0.5) * 30.0 + 100.5 AS x, (row + 0.5) * -30.0 + 900.25 AS y FROM grid WHERE value > 5")
+@query("q87_affine_pixels", f"WITH {views.GRID} SELECT row, col, CAST((col + 0.5) * 30.0 + 100.5 AS DOUBLE) AS x, CAST((row + 0.5) * -30.0 + 900.25 AS DOUBLE) AS y FROM grid WHERE value > 5")
 def q87(spark, d):
     x, y = geometry.pixel_centre(F.col("row"), F.col("col"), 30.0, 0.0, 100.5, 0.0, -30.0, 900.25)
     shown = views.grid(spark, d).filter("value > 5").select("row", "col", x.alias("x"), y.alias("y"))

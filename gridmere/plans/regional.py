@@ -140,9 +140,9 @@ def q13(spark, d):
 
 
 @query("q14_density_percapita", """WITH b AS (SELECT n_nationkey AS nation, count(c_custkey) AS people, sum(c_acctbal) AS money FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY 1),
-  h AS (SELECT nation, people, CASE WHEN nation % 4 = 0 THEN NULL ELSE money END AS money, people - 5.0 * (nation % 7) AS net FROM b)
+  h AS (SELECT nation, people, CASE WHEN nation % 4 = 0 THEN NULL ELSE money END AS money, people - CAST(5 AS DOUBLE) * (nation % 7) AS net FROM b)
   SELECT nation, people, round(coalesce(money, avg(money) OVER ()), 4) AS money, round(coalesce(money, avg(money) OVER ()) / nullif(people, 0), 4) AS money_per_capita,
-    round(people / 25440.0, 6) AS people_density, greatest(net, 0.0) AS net FROM h""")
+    round(people / 25440.0, 6) AS people_density, greatest(net, CAST(0 AS DOUBLE)) AS net FROM h""")
 def q14(spark, d):
     nation, customer = (parquet_table(spark, d, t) for t in ("nation", "customer"))
     base = nation.join(customer.filter("c_acctbal > 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("nation")).agg(F.count("c_custkey").alias("people"), F.sum("c_acctbal").alias("money"))
@@ -223,7 +223,7 @@ def q20(spark, d):
 
 
 @query("q21_filename_parse", r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(url, '/[^/]*$', '') AS folder, TRY_CAST(nullif(regexp_extract(url || '/1999_' || (1000 + page_id % 2000), '.*([1-2][0-9]{3})', 1), '') AS INTEGER) AS year,
-  substr(regexp_extract(url, '([^/]*)$', 1), 1, 3) AS satellite, list_sum(list_transform(regexp_extract_all(url, '\d+'), lambda s: CAST(s AS BIGINT))) AS digits FROM pages""")
+  substr(regexp_extract(url, '([^/]*)$', 1), 1, 3) AS satellite, CAST(list_sum(list_transform(regexp_extract_all(url, '\d+'), lambda s: CAST(s AS BIGINT))) AS BIGINT) AS digits FROM pages""")
 def q21(spark, d):
     url = F.col("url")
     base = parsing.base_name(url)

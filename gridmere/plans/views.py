@@ -20,7 +20,7 @@ def objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 OBJECTS = """objects AS (
-  SELECT l_quantity AS area_ha, CAST(floor(l_discount * 1000 + 0.0) AS INTEGER) AS hp_max, year(l_shipdate) AS year, l_returnflag AS satellite, n_name AS region, n_nationkey
+  SELECT l_quantity AS area_ha, CAST(floor(l_discount * 1000 + 0.0) AS INTEGER) AS hp_max, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS satellite, n_name AS region, n_nationkey
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 
 
