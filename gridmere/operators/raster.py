@@ -110,6 +110,24 @@ def contacts(fragments: DataFrame, connectivity: int = 8, diagonal: bool = True)
     return met.filter((F.col("tr") != F.col("tile_row")) | (F.col("tc") != F.col("tile_col"))).select("a", "b").distinct()
 
 
+def contacts_by_code(fragments: DataFrame, height: int, width: int, own_edges: bool = True) -> DataFrame:
+    """(a, b): fragments of a tile and of its right or lower neighbour with opposite border codes.
+
+    A corner cell has one code only, so that some contacts at corners are missed. Without `own_edges`, codes of any edge
+    count: a fragment on the right edge then also matches one on the left edge of the tile below, at the same row. That
+    is how tables made with such codes were merged, and is here to reproduce them.
+    """
+    coded = fragments.withColumns({"r": F.col("row") - F.col("tile_row") * height, "c": F.col("col") - F.col("tile_col") * width})
+    coded = coded.withColumn("code", border_code(height, width)).filter("code <> 0").select("tile_row", "tile_col", "fragment", "code").distinct()
+    steps = F.explode(F.array(F.struct(F.lit(1).alias("down"), F.lit(0).alias("right")), F.struct(F.lit(0).alias("down"), F.lit(1).alias("right")))).alias("s")
+    sent = coded.select("tile_row", "tile_col", F.col("fragment").alias("a"), F.col("code").alias("own"), steps)
+    sent = sent.select((F.col("tile_row") + F.col("s.down")).alias("tile_row"), (F.col("tile_col") + F.col("s.right")).alias("tile_col"), (-F.col("own")).alias("code"), "a", "own", F.col("s.down").alias("down"))
+    met = sent.join(coded.withColumnRenamed("fragment", "b"), ["tile_row", "tile_col", "code"])
+    if own_edges:  # the bottom edge meets the tile below, the right edge the tile to the right
+        met = met.filter(((F.col("down") == 1) & F.col("own").between(1, width)) | ((F.col("down") == 0) & (F.col("own") > width)))
+    return met.select("a", "b").distinct()
+
+
 def merged(fragments: DataFrame, links: DataFrame) -> DataFrame:
     """Fragments with the object that they belong to: the least fragment that links reach."""
     found = components(links).select(F.col("node").alias("fragment"), F.col("root"))

@@ -21,6 +21,20 @@ def area_statistics(objects: DataFrame, keys: Sequence[str], area: str = "area_h
     return own.groupBy(*keys).agg(*parts, *([F.avg(area).alias("area_mean")] if mean else []))
 
 
+def median_by_counts(df: DataFrame, keys: Sequence[str], column: str, alias: str = "median") -> DataFrame:
+    """The exact median, as F.median gives it, for groups with more distinct values than one task's memory holds: values
+    are counted first, and a running count finds the middle ones. A group is sorted, and spills; it is never held whole."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    run = counted.withColumns({"_to": F.sum("_n").over(group.orderBy(column)), "_all": F.sum("_n").over(group)})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col(column)))
+
+    return run.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(alias))
+
+
 def statistics_of(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """mean, median, sum and count of several columns in one pass."""
     out = []

@@ -239,3 +239,11 @@ def q59(spark, d):
     return parquet_table(spark, d, "embeddings").select(
         "vec_id", r6(scalars.normalized_difference(b[4], b[5]), "nd45"), r6(scalars.normalized_difference(b[2], b[5]), "nd25"), scalars.quantized(F.abs(b[4]), 254, F.abs(b[4]) > 0.25).alias("quantized")
     )
+
+
+@query("q89_contacts_by_code", f"""{_FRAGMENTS}, t AS (SELECT DISTINCT tile_row, tile_col, fragment, CASE WHEN r = 49 THEN c + 1 WHEN r = 0 THEN -(c + 1) WHEN c = 9 THEN 11 + r WHEN c = 0 THEN -(11 + r) ELSE 0 END AS code FROM (SELECT row // 50 AS tile_row, col // 10 AS tile_col, row % 50 AS r, col % 10 AS c, fragment FROM mask JOIN f USING (id))),
+  k AS (SELECT a.fragment AS a, b.fragment AS b, b.tile_row > a.tile_row AS down, a.code AS own FROM t a JOIN t b ON a.code <> 0 AND b.code = -a.code AND ((b.tile_row = a.tile_row + 1 AND b.tile_col = a.tile_col) OR (b.tile_row = a.tile_row AND b.tile_col = a.tile_col + 1)))
+  SELECT 'any edge' AS variant, a, b FROM k GROUP BY ALL UNION ALL SELECT 'own edges', a, b FROM k WHERE (down AND own BETWEEN 1 AND 10) OR (NOT down AND own > 10) GROUP BY ALL""")
+def q89(spark, d):
+    fragments = _fragments(spark, d)
+    return reshape.stacked(*(raster.contacts_by_code(fragments, *TILE, own).select(F.lit(n).alias("variant"), "a", "b") for n, own in (("any edge", False), ("own edges", True))))

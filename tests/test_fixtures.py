@@ -38,6 +38,10 @@ def test_fragments_of_distant_edges_are_not_merged(spark):
     assert raster.contacts(fragments).count() == 0
 
 
+    assert raster.contacts_by_code(fragments, 5, 5).count() == 0
+    assert raster.contacts_by_code(fragments, 5, 5, own_edges=False).count() == 1  # as such tables were merged
+
+
 def test_group_maximum_reaches_all_rows(spark):
     df = spark.createDataFrame([(1, 10), (1, 80)], "object long, hydropoly int")
     from pyspark.sql.window import Window
@@ -196,3 +200,11 @@ def test_empty_inputs(spark):
     assert raster.labelled(none).count() == raster.eroded(none).count() == raster.max_filter(none).count() == 0
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert statistics.area_statistics(spark.createDataFrame([], "k string, area_ha double"), ["k"]).count() == 0
+
+
+def test_median_by_counts(spark):
+    rng = random.Random(11)
+    rows = [(k, float(rng.randrange(9)) if rng.random() < 0.9 else None) for k in range(12) for _ in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "k int, v double").filter("v IS NOT NULL OR k < 12")
+    want = table(df.filter("v IS NOT NULL").groupBy("k").agg(F.median("v").alias("median")), "k", "median")
+    assert table(statistics.median_by_counts(df, ["k"], "v"), "k", "median") == want
