@@ -31,6 +31,8 @@ FRAME, RATE, ORDER, PRECISION, SHIFT = 192, 8000, 4, 10, 8
 SEEK_FRAMES = 64
 #: Payload bytes that are coded side by side.
 SIDE_BY_SIDE = 1 << 20
+#: Frames that are coded side by side: a longer signal is coded in several parts, with the same result.
+CHUNK = 8192
 #: Predictors of the fixed subframes, as coefficients of the samples before: fixed values of the format.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
@@ -70,9 +72,17 @@ def utf8_number(number: int) -> bytes:
     return bytes([lead | number >> (6 * more)] + [0x80 | (number >> (6 * i)) & 0x3F for i in range(more - 1, -1, -1)])
 
 
-def _predictors(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Quantised coefficients of each row (frames x[first[i]:first[i + 1]]): Levinson-Durbin on exact integer sums."""
-    lagged = np.stack([(x[:, lag:] * x[:, : FRAME - lag]).sum(1, dtype=np.int64) for lag in range(ORDER + 1)], 1)
+def _signed(raw: np.ndarray) -> np.ndarray:
+    return raw.astype(np.int32) - 128
+
+
+def _predictors(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Quantised coefficients of each row (frames raw[first[i]:first[i + 1]]): Levinson-Durbin on exact integer sums."""
+    lagged = np.zeros((len(raw), ORDER + 1), np.int64)
+    for a in range(0, len(raw), CHUNK):
+        x = _signed(raw[a : a + CHUNK])
+        for lag in range(ORDER + 1):
+            lagged[a : a + CHUNK, lag] = (x[:, lag:] * x[:, : FRAME - lag]).sum(1, dtype=np.int64)
     r = np.add.reduceat(lagged, first).astype(float)
     r[:, 0] = r[:, 0] * 1.0001 + 1
     a, error = np.zeros((len(r), ORDER + 1)), r[:, 0].copy()
@@ -100,16 +110,9 @@ def _folded(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, k, n * (k + 1) + (u >> k[:, None]).sum(1, dtype=np.int64)
 
 
-def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """FLAC streams of payloads whose lengths are positive multiples of FRAME."""
-    frames = np.array([len(p) // FRAME for p in payloads])
-    last = np.cumsum(frames)
-    first, total = last - frames, int(last[-1])
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(total, FRAME)
-    x = raw.astype(np.int32) - 128
-    row = np.repeat(np.arange(len(payloads)), frames)
-    number = np.arange(total) - first[row]
-    coef = _predictors(x, first)[row]
+def _encode_frames(x: np.ndarray, coef: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames of samples under each frame's coefficients and number, and their sizes."""
+    total = len(x)
     predicted = sum(coef[:, j : j + 1] * x[:, ORDER - 1 - j : FRAME - 1 - j] for j in range(ORDER)) >> SHIFT
     linear, fixed = _folded(x[:, ORDER:] - predicted), _folded(x[:, 1:] - x[:, :-1])
     use = linear[2] + 8 * (ORDER - 1) + 9 + PRECISION * ORDER < fixed[2]
@@ -164,7 +167,21 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     data = np.packbits(bits)
     crc = crc16(data, start, size - 2)
     data[end - 2], data[end - 1] = crc >> 8, crc & 0xFF
-    out, stream = [], data.tobytes()
+    return data.tobytes(), size
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """FLAC streams of payloads whose lengths are positive multiples of FRAME."""
+    frames = np.array([len(p) // FRAME for p in payloads])
+    last = np.cumsum(frames)
+    first, total = last - frames, int(last[-1])
+    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(total, FRAME)
+    row = np.repeat(np.arange(len(payloads)), frames)
+    number, coef = np.arange(total) - first[row], _predictors(raw, first)
+    parts = [_encode_frames(_signed(raw[a : a + CHUNK]), coef[row[a : a + CHUNK]], number[a : a + CHUNK]) for a in range(0, total, CHUNK)]
+    stream, size = b"".join(p for p, _ in parts), np.concatenate([n for _, n in parts])
+    end = np.cumsum(size)
+    start, out = end - size, []
     for i, payload in enumerate(payloads):
         a, b = int(first[i]), int(last[i])
         base = int(start[a])
@@ -271,7 +288,11 @@ def _sound(data: np.ndarray, start: int, end: int) -> bool:
 
 def decode_frames(data: np.ndarray, frames: list[tuple[int, int, int, int, int]], bits: int) -> np.ndarray:
     """Samples of frames, concatenated. data must have 8 bytes to spare after the last frame."""
+    if len(frames) > CHUNK:
+        return np.concatenate([decode_frames(data, frames[a : a + CHUNK], bits) for a in range(0, len(frames), CHUNK)])
     start, at, _, count, end = (np.array(c, np.int64) for c in zip(*frames))
+    base = int(start[0])
+    data, start, at, end = data[base : int(end[-1]) + 8], start - base, at - base, end - base
     crc = crc16(data, start, end - start - 2)
     if (wrong := crc != (data[end - 2].astype(np.uint32) << 8 | data[end - 1])).any():
         raise ValueError(f"CRC-16 of frame {frames[int(np.argmax(wrong))][2]} fails")

@@ -27,6 +27,14 @@ def test_long_signal_with_many_frames_and_seeking():
         assert (flac.read_at(stream, first, count) + 128).astype(np.uint8).tobytes() == data[first : first + count]
 
 
+def test_parts_of_a_long_signal_make_the_same_stream(monkeypatch):
+    payloads = [flac.padded(bytes(range(256)) * n) for n in (30, 1, 9)]
+    whole = flac.encode_many(payloads)
+    monkeypatch.setattr(flac, "CHUNK", 7)
+    assert flac.encode_many(payloads) == whole
+    assert [(s + 128).astype(np.uint8).tobytes() for s in flac.decode_many(whole)] == payloads
+
+
 def test_every_damaged_byte_is_found():
     stream = flac.encode_many([flac.padded(b"The quick brown fox jumps over the lazy dog. " * 12)])[0]
     start = flac.Stream(stream).start
