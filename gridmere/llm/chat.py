@@ -9,7 +9,7 @@ that the result is that of one Viterbi pass, however long a conversation is.
 
 Null and empty texts are one empty block. Null roles teach nothing; without any labels the roles are the `roles` given
 and equally likely. Rows of equal place are ordered by their text; equal rows get the same features and are kept. Null
-conversation ids are one conversation; null places come first. An empty table gives an empty table; other columns are
+conversation ids are one conversation; null places come first, and rows of one place stay in one segment. An empty table gives an empty table; other columns are
 ignored. Ties go to the role that comes first in the alphabet.
 """
 
