@@ -96,7 +96,6 @@ def metrics(scale: float = 1.0) -> dict[str, Column]:
 def threshold_sweep(df: DataFrame, score: str, truth: str, cutoffs: Sequence[float]) -> DataFrame:
     """tp, fp, fn at each cutoff (predicted: score > cutoff), in one pass: rows fall into bins between cutoffs, and
     cumulative sums over the bins give every cutoff's counts. The input is not repeated for each cutoff."""
-    bin_of = F.lit(0)
     edges = sorted(cutoffs)
     bin_of = F.size(F.filter(F.array(*(F.lit(float(c)) for c in edges)), lambda c: F.col(score) > c))
     binned = df.groupBy(bin_of.alias("bin")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
