@@ -11,7 +11,6 @@ are ignored, and an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
 from struct import pack
@@ -186,7 +185,3 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def ids_of(text: str, vocabulary: str, pattern: str) -> list[int]:
     return np.frombuffer(codec(vocabulary, pattern).encode(text), "<u4").tolist()
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

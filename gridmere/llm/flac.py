@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -499,7 +498,3 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col, "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
-
-
-def crc32_tail(payload: bytes) -> int:
-    return zlib.crc32(payload[-16:])
