@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
             for start, end in slices(sizes, limit):
                 part = batch.slice(start, end - start)
                 out = fn(*(c.to_pylist() for c in part.columns))

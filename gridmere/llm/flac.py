@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -455,7 +456,7 @@ def _map(df: DataFrame, schema: str, types: list, fn) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
             for a, b in slices(sizes, SIDE_BY_SIDE):
                 part = batch.slice(a, b - a)
                 made = fn(*(c.to_pylist() for c in part.columns[1:]))
