@@ -1,9 +1,10 @@
 """Brown class-based n-grams: a class bigram model from exchange clustering.
 
-Exchange clustering runs on a bounded sample of training texts: its `cluster_words` most frequent words move, one after
-the other, to the class that raises the likelihood of the sample's class bigrams most. All other words are put into
-rare-word classes by one exchange step over their contexts in all training texts. Word counts, class transitions and
-contexts come from all training texts.
+Exchange clustering takes the `cluster_words` most frequent words of all training texts and the counts of their bigrams
+there: the words move, one after the other, to the class that raises the likelihood of the class bigrams most. All other
+words are put into rare-word classes by one exchange step over their contexts. Words, bigrams, class transitions and
+contexts are counted over all training texts; the number of clustered words alone is bounded, and with it the matrix of
+their bigrams, (cluster_words + 2)**2 cells at most.
 
 A token's probability is `weight` * p(class | class before) * p(word | class) + (1 - weight) * p0(word), with p0 the
 add-0.1 unigram of all training tokens; p(class | rare, before) looks at the group of the class before. It sums to one
@@ -16,11 +17,13 @@ count as often as they occur. Rows with a null id are training rows. An empty ta
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,21 +102,9 @@ class Classes:
         return self.number + 1
 
 
-def cluster(texts: list[bytes], cluster_words: int, classes: int) -> Classes:
-    """Classes of the most frequent words of some texts, and the groups of contexts."""
-    split = [tokens_of(t) for t in texts]
-    seen: dict[bytes, int] = {}
-    for words in split:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    top = sorted(seen, key=lambda w: (-seen[w], w))[:cluster_words]
-    place = {w: i + 2 for i, w in enumerate(top)}  # 0: end, 1: any other word
+def cluster(top: list[bytes], matrix: np.ndarray, classes: int) -> Classes:
+    """Classes of the most frequent words, and the groups of contexts, from bigram counts (0: end, 1: any other word)."""
     size = len(top) + 2
-    pairs = np.zeros(size * size, np.int64)
-    for words in split:
-        at = np.array([0] + [place.get(w, 1) for w in words] + [0])
-        pairs += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
-    matrix = pairs.reshape(size, size)
     classes = min(classes, max(len(top), 1))
     label = exchange(matrix[2:, 2:], classes) if top else np.zeros(0, np.int64)
     one = np.zeros((size, classes + 2))
@@ -126,13 +117,47 @@ def cluster(texts: list[bytes], cluster_words: int, classes: int) -> Classes:
     return Classes({w: int(c) + 1 for w, c in zip(top, label)}, classes, tuple(group.tolist()))
 
 
-def sample(docs: DataFrame, train: Column, rows: int, row_chars: int, text_col: str) -> list[bytes]:
-    """Distinct training texts, the first in the order of a hash."""
-    texts = docs.filter(train & F.length(text_col).between(1, row_chars)).select(F.xxhash64(text_col, F.lit(5)).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    n = texts.agg(F.approx_count_distinct("h")).first()[0]
-    limit = min(int(2 * rows / max(n, 1) * 2**64), 2**64 - 1) - 2**63
-    few = texts.filter(F.col("h") <= F.lit(limit)).dropDuplicates(["h"]).orderBy("h").limit(rows)
-    return [bytes(r["text"]) for r in few.collect()]
+def _parts(batch: pa.RecordBatch) -> Iterator[list[bytes | None]]:
+    column = batch.column(0)
+    for a, b in slices(pc.binary_length(column).fill_null(0).to_pylist(), SLICE_BYTES):
+        yield column.slice(a, b - a).to_pylist()
+
+
+def frequent(texts: DataFrame, number: int) -> list[bytes]:
+    """The most frequent words of all texts (one binary column), ties in the order of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                found: Counter[bytes] = Counter()
+                for t in part:
+                    found.update(tokens_of(t))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    counted = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(number).collect()]
+
+
+def bigrams(texts: DataFrame, top: list[bytes]) -> np.ndarray:
+    """Counts of neighbours in all texts, over the end token, any other word, and the words given."""
+    size = len(top) + 2
+    shared = texts.sparkSession.sparkContext.broadcast({None: 0} | {w: i + 2 for i, w in enumerate(top)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        pairs = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for part in _parts(batch):
+                at = np.fromiter((get(w, 1) for t in part for w in (None, *tokens_of(t))), np.int64)
+                at = np.append(at, 0)
+                pairs += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
+        keys = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(pairs[keys])], names=["key", "n"])
+
+    found = texts.mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
 
 
 def _count(docs: DataFrame, classes: Classes) -> DataFrame:
@@ -147,9 +172,8 @@ def _count(docs: DataFrame, classes: Classes) -> DataFrame:
         group = np.array(own.group)
         moves = np.zeros(width * width, np.int64)
         for batch in batches:
-            column = batch.column(0)
-            for a, b in slices(pa.compute.binary_length(column).fill_null(0).to_pylist(), SLICE_BYTES):
-                split = [tokens_of(t) for t in column.slice(a, b - a).to_pylist()]
+            for part in _parts(batch):
+                split = [tokens_of(t) for t in part]
                 names: dict[bytes, int] = {}
                 for words in split:
                     for w in set(words).difference(names):
@@ -183,10 +207,12 @@ class Model:
     total: np.ndarray  # tokens of each class: end, clustered, rare
 
 
-def train(docs: DataFrame, train_rows: Column, cluster_words: int = 1500, classes: int = 40, sample_rows: int = 1500, row_chars: int = 20_000, weight: float = 0.8, text_col: str = "text") -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, train_rows: Column, cluster_words: int = 1500, classes: int = 40, weight: float = 0.8, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and its vocabulary (word, n, class) as a written table."""
-    made = cluster(sample(docs, train_rows, sample_rows, row_chars, text_col), cluster_words, classes)
-    counted, _ = written(_count(docs.filter(train_rows).select(F.col(text_col).cast("binary")), made), "counts")
+    texts = docs.filter(train_rows).select(F.col(text_col).cast("binary"))
+    top = frequent(texts, cluster_words)
+    made = cluster(top, bigrams(texts, top), classes)
+    counted, _ = written(_count(texts, made), "counts")
     width = made.number + 2
     move = np.zeros(width * width)
     for r in counted.filter("word is null").select("key", "n").collect():

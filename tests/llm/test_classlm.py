@@ -71,7 +71,7 @@ def check(docs, train_rows, train, **sizes):
 
 def test_probabilities_sum_to_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
-    model, vocabulary = classlm.train(docs, F.lit(True), cluster_words=100, classes=8, sample_rows=40)
+    model, vocabulary = classlm.train(docs, F.lit(True), cluster_words=100, classes=8)
     rows = vocabulary.collect()
     assert np.allclose(model.move.sum(1), 1) and np.allclose(model.rare.sum(1), 1)
     for before in (0, 3, model.classes.rare_context):
@@ -86,12 +86,29 @@ def test_probabilities_sum_to_one(spark, sf):
 def test_scores_against_plain_counts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
     fold = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    model = check(docs, ~(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0), fold, cluster_words=200, classes=10, sample_rows=50)
+    model = check(docs, ~(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0), fold, cluster_words=200, classes=10)
     assert model.tokens > 1000
 
 
+def test_bigrams_cover_all_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    texts = docs.select(F.col("text").cast("binary"))
+    top = classlm.frequent(texts, 150)
+    counts, pairs = Counter(), Counter()
+    split = [(r["text"] or "").encode().lower().split() for r in docs.collect()]
+    for words in split:
+        counts.update(words)
+    assert top == sorted(counts, key=lambda w: (-counts[w], w))[:150]
+    place = {w: i + 2 for i, w in enumerate(top)}
+    for words in split:
+        at = [0, *(place.get(w, 1) for w in words), 0]
+        pairs.update(zip(at, at[1:]))
+    got = classlm.bigrams(texts.repartition(5), top)
+    assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == dict(pairs)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
-    check(odd_docs, F.lit(True), lambda i: True, cluster_words=20, classes=4, sample_rows=5)
-    check(odd_docs, F.lit(False), lambda i: False, cluster_words=20, classes=4, sample_rows=5)
+    check(odd_docs, F.lit(True), lambda i: True, cluster_words=20, classes=4)
+    check(odd_docs, F.lit(False), lambda i: False, cluster_words=20, classes=4)
     model, vocabulary = classlm.train(no_docs, F.lit(True))
     assert model.tokens == 0 and classlm.score(no_docs, model, vocabulary).count() == 0
