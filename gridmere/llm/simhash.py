@@ -224,12 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(id_col, hexed, "component_id")
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """The document of the least id of each component, with all its columns, and one row of each id.
+def keep_first(docs: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
+    """The document of the least id of each component of named (id, component_id), and one row of each id.
 
     Rows with a null id cannot be told apart and stay.
     """
-    found, _ = written(near_duplicates(docs, id_col, text_col, words, distance).select(id_col, "component_id"), "components")
+    found, _ = written(named, "components")
     gone, _ = written(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
@@ -239,3 +239,8 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return kept
     once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
     return kept.join(again, id_col, "left_anti").unionByName(once)
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """The document of the least id of each component, with all its columns, as keep_first()."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, distance).select(id_col, "component_id"), id_col)
