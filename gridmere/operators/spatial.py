@@ -7,6 +7,7 @@ typical polygon, so that a point meets few of them and a polygon few squares.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,9 +62,14 @@ def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4,
     """(point_key, target_key, apart): each point's nearest target (columns tx, ty), the least key of equally near ones.
 
     A ring search: a point looks into the squares around its own, first next to it, then farther, and is done when
-    its best find is nearer than the border of what it has seen. The squares grow fourfold each round; points with no
-    target within side * 4 ** (rounds - 1) have no row.
+    its best find is nearer than the border of what it has seen. The squares grow fourfold each round, for `rounds` rounds
+    and on until one square is as long as the diagonal of all points and targets, so that every point has a row if there
+    is a target.
     """
+    places = points.select("x", "y").union(targets.select("tx", "ty")).filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    width, height = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    while side * 4 ** (rounds - 1) <= 1.001 * math.hypot(width or 0, height or 0):
+        rounds += 1
     goals = targets.select(target_key, "tx", "ty", F.floor(F.col("tx") / side).alias("_gx"), F.floor(F.col("ty") / side).alias("_gy"))
     open_, done, scale = points.select(point_key, "x", "y"), None, 1
     apart = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
@@ -99,7 +105,7 @@ def grid_lookup(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float
 def nearest_fill(cells: DataFrame, value: str = "value", reach: int = 64) -> DataFrame:
     """Missing values of a grid from the nearest known cell, the least (row, col) of equally near ones.
 
-    Rings of doubling size, as in nearest(): known cells are looked up by square.
+    Growing squares, as in nearest(): known cells are looked up by square, first within the reach, then as far as it takes.
     """
     known, missing = cells.filter(F.col(value).isNotNull()), cells.filter(F.col(value).isNull())
     numbered = known.select((F.col("row") * (1 << 31) + F.col("col")).alias("target_id"), F.col("col").cast("double").alias("tx"), F.col("row").cast("double").alias("ty"))
