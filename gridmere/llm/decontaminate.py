@@ -1,18 +1,24 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
-Items are cut into entries of at most ENTRY words, in tiers by length. A term's impact on an entry is its BM25 weight
-over the entry's own score, hence an entry that stands in a passage word by word scores 1. For each tier, a document is
-a row of passages twice as long as the tier's entries and half that apart, so that one of them holds any run of words
-that long; each passage is a query, and the search returns all entries above the threshold. The commonest terms, that
-cannot reach half the threshold together, are not essential: a passage whose essential terms cannot make up the rest on
-any group of entries has no result and is skipped, which loses nothing. Each item found is then verified on the words around the passage: the share of its 5-word shingles that
-stand there, over all and for question and answer; the answer is the last sentence of an item that has several. It is
-a leak if the share is `overlap` (0.8) or more.
-
-Words are letters and digits, lower-cased; a part shorter than five words is one shingle. Null or empty texts and items
-hold nothing and match nothing. A document gives one row for each item that it leaks; repeated documents give repeated
-rows, items of equal text one row each. Rows with a null doc_id or item_id are treated alike. Empty tables give an empty
-table. The items are searched in shards of bounded size, one broadcast at a time, so that any number of them works.
+The terms of the index are runs of five words (the whole of a shorter text), those that the leak is judged by. An item's
+question is cut into entries of at most ENTRY words that overlap by four, so that each of its runs is in one entry. A
+term's impact on an entry is its BM25 weight, over the least weight that an entry can have left when a share of 1 -
+`overlap` of its runs is missing: hence no entry of which a passage holds `overlap` (0.8) of the runs scores less than 1,
+whatever its weights are, and 1 is the threshold of all. Entries stand in tiers by length; for each tier a document is a
+row of passages twice as long as the tier's entries and half that apart, so that one of them holds any stretch of words
+that long. Each passage is a query, and the search returns all entries above the threshold. A passage whose terms cannot
+reach it together has no result and is not searched; its terms are looked up in one pass, and few words of a clean text
+are terms at all, however many items there are.
+
+Each item found is verified on the whole document: the shares of the runs of its question and of its answer that stand
+there. It is a leak if both reach `overlap`. The answer is the last sentence of an item that has several; an item of one
+sentence is question and answer alike.
+
+Words are letters and digits, lower-cased. Null or empty texts and items hold nothing and match nothing. A document gives
+one row for each item that it leaks; repeated documents give repeated rows, items of equal text one row each. Rows with a
+null doc_id or item_id are treated alike. Empty tables give an empty table. The items are searched in shards of bounded
+size: statistics are those of all items, each shard is one broadcast, and with several of them each one's leaks are
+written before the next is made.
 """
 
 from __future__ import annotations
@@ -20,21 +26,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from math import log
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches
+from .common import map_texts, slices, written
 
 ENTRY, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
 #: Postings in a block with its own maximum.
 BLOCK = 32
-#: Entries with a bound of their own on passages.
-GROUP = 8
+#: Bits of the table that tells most runs of words that are no term.
+FILTER_BITS = 22
 #: Item text that one broadcast holds.
 SHARD_BYTES = 16 << 20
 #: ASCII letters and digits in lower case, other ASCII bytes as spaces; bytes of other letters stay.
@@ -61,51 +67,59 @@ def parts_of(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
     return [w for s in sentences[:-1] for w in s], sentences[-1]
 
 
+def entries_of(question: list[bytes]) -> list[list[bytes]]:
+    """Stretches of at most ENTRY words, whose runs are together those of the question."""
+    last = max(len(question) - SHINGLE + 1, 1)
+    return [question[a : a + ENTRY] for a in range(0, last, ENTRY - SHINGLE + 1)] if question else []
+
+
+def word_code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) | 1
+
+
+def run_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit code of each run of n words from the words' codes."""
+    total = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+    for i in range(n if len(total) else 0):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(total)]
+    total ^= total >> np.uint64(29)
+    return total * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+
+
+def terms_of(entry: list[bytes]) -> np.ndarray:
+    codes = np.array([word_code(w) for w in entry], np.uint64)
+    return run_codes(codes, min(SHINGLE, len(entry)))
+
+
 class Tier:
-    """Postings of entries of like length, by term in order of entries, with block maxima.
-
-    Entries that share their commonest terms, and so their language, stand together: groups of GROUP neighbours have
-    their own bounds on what a passage can reach.
-    """
-
-    def __init__(self, size: int, entries: list[tuple[int, dict[bytes, float]]], frequency: dict[bytes, int], threshold: float):
-        self.size, self.threshold = size, threshold
-        entries = sorted(entries, key=lambda e: (sorted(e[1], key=lambda w: (-frequency.get(w, 1), w))[:3], e[0]))
-        self.of_item = [item for item, _ in entries]
-        lists: dict[bytes, list[tuple[int, float]]] = {}
-        for e, (_, weights) in enumerate(entries):
-            for w, x in weights.items():
-                lists.setdefault(w, []).append((e, x))
-        self.terms = {w: k for k, w in enumerate(lists)}
-        self.postings = [[e for e, _ in p] for p in lists.values()]
-        self.impacts = [[x for _, x in p] for p in lists.values()]
-        self.most = [max(x) for x in self.impacts]
-        self.blocks = [[max(x[a : a + BLOCK]) for a in range(0, len(x), BLOCK)] for x in self.impacts]
-        # by group: each term's greatest impact, without the commonest ones that together reach less than half the
-        # threshold on every entry of the group; and what those reach at most
-        common = sorted(range(len(self.most)), key=lambda k: -len(self.postings[k]))
-        self.bounds: list[tuple[np.ndarray, float]] = []
-        for a in range(0, len(entries), GROUP):
-            b, own, rest, open_ = min(a + GROUP, len(entries)), np.zeros(len(self.most) + 1), np.zeros(GROUP), True
-            for k in common:
-                inside = [(e - a, x) for e, x in zip(self.postings[k], self.impacts[k]) if a <= e < b]
-                if not inside:
-                    continue
-                more = rest.copy()
-                for e, x in inside:
-                    more[e] += x
-                if open_ and more.max() < threshold / 2:
-                    rest = more
-                else:
-                    open_ = False
-                    own[k] = max(x for _, x in inside)
-            self.bounds.append((own, float(rest.max())))
-        self.own, self.rest = np.stack([own for own, _ in self.bounds]), np.array([rest for _, rest in self.bounds])
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All entries whose score is the threshold or more: block-max WAND over the terms' lists."""
-        need, found = self.threshold - 1e-9, []
-        cursor = [[self.postings[k][0], 0, k] for k in terms]  # entry, position, term
+    """Postings of entries of like length: for each term, in order of entries, with block maxima."""
+
+    def __init__(self, size: int, rows: list[tuple[int, np.ndarray, np.ndarray]], least: list[float]):
+        """rows: (item, terms, impacts) of each entry; least: the share of its weight that impact 1 stands for."""
+        self.size, self.of_item, self.least = size, [item for item, _, _ in rows], least
+        entry = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for _, t, _ in rows])
+        term, impact = np.concatenate([t for _, t, _ in rows]), np.concatenate([x for _, _, x in rows])
+        order = np.lexsort((entry, term))
+        self.entry, self.impact = entry[order], impact[order]
+        self.keys, first = np.unique(term[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.most = np.maximum.reduceat(self.impact, first)
+        number = -(-np.diff(self.first) // BLOCK)
+        self.block_of = np.concatenate([[0], np.cumsum(number)])
+        starts = np.repeat(first, number) + BLOCK * (np.arange(number.sum()) - np.repeat(self.block_of[:-1], number))
+        self.block = np.maximum.reduceat(self.impact, starts)
+
+    def _seek(self, term: int, at: int, entry: int) -> int:
+        """First posting of the term from `at` on whose entry is that or a later one."""
+        return at + int(np.searchsorted(self.entry[at : self.first[term + 1]], entry))
+
+    def _block(self, term: int, at: int) -> int:
+        return (at - int(self.first[term])) // BLOCK
+
+    def search(self, terms: list[int], need: float = 1 - 1e-9) -> list[tuple[int, float]]:
+        """All entries whose score is the threshold or more: block-max WAND over the terms' postings."""
+        found = []
+        cursor = [[int(self.entry[self.first[k]]), int(self.first[k]), k] for k in terms]  # entry, posting, term
         while cursor:
             cursor.sort()
             bound, pivot = 0.0, -1
@@ -119,134 +133,160 @@ class Tier:
             entry = cursor[pivot][0]
             while pivot + 1 < len(cursor) and cursor[pivot + 1][0] == entry:
                 pivot += 1
-            bound, until = 0.0, None  # the blocks that would hold the pivot entry
-            for c in cursor[: pivot + 1]:
-                at = self._seek(c[2], c[1], entry)
-                if at < len(self.postings[c[2]]):
-                    bound += self.blocks[c[2]][at // BLOCK]
-                    edge = self.postings[c[2]][min((at // BLOCK + 1) * BLOCK, len(self.postings[c[2]])) - 1]
+            bound, until, ahead = 0.0, None, []
+            for _, at, k in cursor[: pivot + 1]:  # the blocks that would hold the pivot's entry
+                at = self._seek(k, at, entry)
+                ahead.append(at)
+                if at < self.first[k + 1]:
+                    block = self._block(k, at)
+                    bound += self.block[self.block_of[k] + block]
+                    edge = int(self.entry[min(int(self.first[k]) + (block + 1) * BLOCK, int(self.first[k + 1])) - 1])
                     until = edge if until is None else min(until, edge)
             if bound < need:  # no entry of these blocks can do
                 target = max(entry, until if until is not None else entry) + 1
                 if pivot + 1 < len(cursor):
                     target = max(entry + 1, min(target, cursor[pivot + 1][0]))
             else:
-                score = 0.0
-                for c in cursor[: pivot + 1]:
-                    at = self._seek(c[2], c[1], entry)
-                    if at < len(self.postings[c[2]]) and self.postings[c[2]][at] == entry:
-                        score += self.impacts[c[2]][at]
+                score = sum(float(self.impact[at]) for at, (_, _, k) in zip(ahead, cursor) if at < self.first[k + 1] and self.entry[at] == entry)
                 if score >= need:
                     found.append((entry, score))
                 target = entry + 1
-            kept = []
-            for i, c in enumerate(cursor):
-                if i <= pivot:
-                    c[1] = self._seek(c[2], c[1], target)
-                    if c[1] >= len(self.postings[c[2]]):
-                        continue
-                    c[0] = self.postings[c[2]][c[1]]
-                kept.append(c)
-            cursor = kept
+            moved = [[self._seek(k, at, target), k] for at, (_, _, k) in zip(ahead, cursor)]
+            cursor = [[int(self.entry[at]), at, k] for at, k in moved if at < self.first[k + 1]] + cursor[pivot + 1 :]
         return found
 
-    def _seek(self, term: int, at: int, entry: int) -> int:
-        """First position from `at` on whose entry is that or a later one."""
-        own = self.postings[term]
-        while at < len(own) and own[at] < entry:
-            block = at // BLOCK * BLOCK + BLOCK
-            at = block if block < len(own) and own[block - 1] < entry else at + 1
-        return at
-
-    def passages(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, list[int]]]:
-        """Passages that some entry may match: text, first word, word after the last, and the terms that it has."""
-        sizes, step = np.array([len(t) for t in texts]), self.size
-        get, none = self.terms.get, len(self.terms)
-        ids = np.fromiter((get(w, none) for t in texts for w in t), np.int64, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        number = np.where(sizes > 0, np.maximum(-(-sizes // step) - 1, 1), 0)
-        owner = np.repeat(np.arange(len(texts)), number)
-        first = begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * step
-        last = np.minimum(first + 2 * step, begin[owner] + sizes[owner])
-        some = np.zeros((len(self.bounds), len(owner)), bool)
-        for g, (own, rest) in enumerate(self.bounds):
-            sums = np.concatenate([[0], np.cumsum(own[ids])])
-            some[g] = sums[last] - sums[first] + rest >= self.threshold - 1e-6
-        for p in np.flatnonzero(some.any(0)).tolist():
-            terms = np.unique(ids[first[p] : last[p]])  # each term counts once
-            groups = np.flatnonzero(some[:, p])
-            if (self.own[groups][:, terms].sum(1) + self.rest[groups] >= self.threshold - 1e-6).any():
-                at = int(begin[owner[p]])
-                yield int(owner[p]), int(first[p]) - at, int(last[p]) - at, terms[terms < none].tolist()
+    def passages(self, codes: np.ndarray, owner: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Passages that some entry may match, (text, first word, terms), from the runs that may be terms: their codes,
+        texts, first words and numbers of words."""
+        place = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        hit = self.keys[place] == codes
+        place, owner, at, n = place[hit], owner[hit], at[hit], n[hit]
+        number = at // self.size
+        before = (number > 0) & (at + n <= (number + 1) * self.size)  # the passage before holds the run as well
+        text, number, place = (np.concatenate(x) for x in ((owner, owner[before]), (number, number[before] - 1), (place, place[before])))
+        if not len(text):
+            return
+        order = np.lexsort((place, number, text))
+        text, number, place = text[order], number[order], place[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (number[1:] != number[:-1]))
+        once = new | np.append(True, place[1:] != place[:-1])  # each term counts once
+        text, number, place, new = text[once], number[once], place[once], new[once]
+        starts = np.flatnonzero(new)
+        stops = np.append(starts[1:], len(text))
+        for i in np.flatnonzero(np.add.reduceat(self.most[place], starts) >= 1 - 1e-6).tolist():
+            a = starts[i]
+            yield int(text[a]), int(number[a]) * self.size, place[a : stops[i]].tolist()
 
 
 class Index:
-    """All entries of some items, in tiers by length: passages are twice as long as the entries of their tier."""
+    """All entries of some items. `frequency` tells how many entries of all items have a term, `total` how many there are."""
 
-    def __init__(self, items: list[tuple[object, bytes]], frequency: dict[bytes, int], total: int, average: float, threshold: float):
+    def __init__(self, items: list[tuple[object, bytes]], frequency: dict[int, int] | None, total: int, average: float, overlap: float):
         self.items = items
-        self.item_words = [words_of(t) for _, t in items]
-        tiers: dict[int, list[tuple[int, dict[bytes, float]]]] = {}
-        for i, words in enumerate(self.item_words):
-            for a in range(0, len(words), ENTRY):
-                entry = words[a : a + ENTRY] if len(words) - a >= ENTRY or not a else words[-ENTRY:]
-                count: dict[bytes, int] = {}
-                for w in entry:
-                    count[w] = count.get(w, 0) + 1
-                weights = {w: log(1 + (total - frequency.get(w, 1) + 0.5) / (frequency.get(w, 1) + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(entry) / average)) for w, n in count.items()}
-                whole = sum(weights.values())
-                tiers.setdefault(max(8, 1 << (len(entry) - 1).bit_length()), []).append((i, {w: x / whole for w, x in weights.items()}))
-        self.tiers = [Tier(size, entries, frequency, threshold) for size, entries in sorted(tiers.items())]
-        self.parts = [tuple(shingles(p) for p in parts_of(t)) + (shingles(w),) for (_, t), w in zip(items, self.item_words)]
+        self.parts = [parts_of(t) for _, t in items]
+        self.codes = {w: word_code(w) for q, _ in self.parts for w in q}
+        made = [(i, len(e), *np.unique(terms_of(e), return_counts=True)) for i, (q, _) in enumerate(self.parts) for e in entries_of(q)]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.lengths = sorted({min(n, SHINGLE) for _, n, _, _ in made})
+        if frequency is None:
+            keys, counts = np.unique(np.concatenate([t for _, _, t, _ in made] or [np.zeros(0, np.uint64)]), return_counts=True)
+        else:
+            keys = np.sort(np.array(list(frequency), np.uint64))
+            counts = np.array([frequency[int(k)] for k in keys])
+        tiers: dict[int, list] = {}
+        for i, n, terms, times in made:
+            self.filter[terms >> np.uint64(64 - FILTER_BITS)] = True
+            df = counts[np.searchsorted(keys, terms)]
+            weight = np.log(1 + (total - df + 0.5) / (df + 0.5)) * times * (K1 + 1) / (times + K1 * (1 - B + B * n / average))
+            missing = int((1 - overlap) * len(terms) + 1e-9)
+            whole = weight.sum()
+            least = (whole - np.sort(weight)[len(weight) - missing :].sum()) / whole
+            tiers.setdefault(max(8, 1 << (n - 1).bit_length()), []).append((i, terms, weight / whole / least, float(least)))
+        self.tiers = [Tier(size, [r[:3] for r in rows], [r[3] for r in rows]) for size, rows in sorted(tiers.items())]
 
     def candidates(self, texts: list[list[bytes]]) -> list[dict[int, tuple[float, int, int]]]:
-        """For each text, by item: the best score, and the first and last word of the passages with it."""
+        """For each text, by item: the best share of an entry's weight, and the first and last word of the passages with it."""
         out: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        get = self.codes.get
+        codes = np.fromiter((c for t in texts for c in (*[get(w, 0) for w in t], 0)), np.uint64, int(sizes.sum()))  # 0: no word of an item
+        found = []
+        for n in self.lengths:
+            runs = run_codes(codes, n)
+            sound = self.filter[runs >> np.uint64(64 - FILTER_BITS)]
+            for k in range(n):
+                sound &= codes[k : k + len(runs)] != 0
+            at = np.flatnonzero(sound)
+            owner = np.searchsorted(begin, at, side="right") - 1
+            found.append((runs[at], owner, at - begin[owner], np.full(len(at), n)))
+        if not found:
+            return out
+        runs, owner, at, n = (np.concatenate(x) for x in zip(*found))
         for tier in self.tiers:
-            for t, a, b, terms in tier.passages(texts):
+            for t, first, terms in tier.passages(runs, owner, at, n):
                 for entry, score in tier.search(terms):
-                    item = tier.of_item[entry]
-                    best, low, high = out[t].get(item, (0.0, a, b))
-                    out[t][item] = max(best, score), min(low, a), max(high, b)
+                    item, last = tier.of_item[entry], min(first + 2 * tier.size, len(texts[t]))
+                    best, low, high = out[t].get(item, (0.0, first, last))
+                    out[t][item] = max(best, score * tier.least[entry]), min(low, first), max(high, last)
         return out
 
-    def verify(self, words: list[bytes], item: int, low: int, high: int) -> tuple[float, float, float]:
-        """Shares of the item's shingles that stand around the passages: of question, answer and all."""
-        reach = len(self.item_words[item])
-        there = shingles(words[max(0, low - reach) : high + reach])
-        short = {n for p in self.parts[item] for s in p if (n := len(s)) < SHINGLE}
-        around = words[max(0, low - reach) : high + reach]
-        for n in short:
-            there |= set(zip(*(around[i:] for i in range(n))))
-        return tuple(len(p & there) / len(p) for p in self.parts[item])
+    def shares(self, words: list[bytes], items: list[int]) -> list[tuple[float, float, float]]:
+        """Shares of each item's runs that stand in the text: of question, answer and both."""
+        there, out = shingles(words), []
+        for item in items:
+            question, answer = (shingles(p) for p in self.parts[item])
+            for n in {len(s) for s in (*question, *answer) if len(s) < SHINGLE}:
+                there |= set(zip(*(words[i:] for i in range(n))))
+            out.append(tuple(len(p & there) / max(len(p), 1) for p in (question, answer, question | answer)))
+        return out
 
 
-def shards(items: DataFrame, threshold: float, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes that together hold all items; statistics are those of all items."""
+def shards(items: DataFrame, overlap: float, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Index, bool]]:
+    """Indexes that together hold all items, and whether there is only one; statistics are those of all items."""
     texts = items.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // SHARD_BYTES) or 1
-    counted = map_texts(texts.select("text"), "words array<binary>, size int", lambda: lambda ts: (lists := [words_of(t) for t in ts], [len(x) for x in lists]))
-    total, average = counted.filter("size > 0").agg(F.count(F.lit(1)), F.avg(F.least("size", F.lit(ENTRY)))).first()
-    by_term = counted.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count()
+
+    def make():
+        def run(texts: list) -> tuple:
+            made = [entries_of(parts_of(t)[0]) for t in texts]
+            return [[np.unique(terms_of(e)).view(np.int64) for e in es] for es in made], [[len(e) for e in es] for es in made]
+
+        return run
+
+    if n > 1:
+        counted = map_texts(texts.select("text"), "terms array<array<long>>, sizes array<int>", make)
+        spread = counted.select(F.explode("sizes").alias("n"))
+        by_term, _ = written(counted.select(F.explode(F.flatten("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+        total, average = spread.agg(F.count(F.lit(1)), F.avg("n")).first()
     for i in range(n):
-        own = texts if n == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        rows = [(r[0], bytes(r[1])) for r in own.collect()]  # SHARD_BYTES of text, by the hash
-        words = {w for _, t in rows for w in words_of(t)}
+        shard = texts if n == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
+        rows = [(r[0], bytes(r[1])) for r in shard.collect()]  # SHARD_BYTES of text, by the hash
         if n == 1:
-            frequency = {bytes(r["term"]): r["count"] for r in by_term.collect()}
+            sizes = [len(e) for _, t in rows for e in entries_of(parts_of(t)[0])]
+            yield Index(rows, None, len(sizes), float(np.mean(sizes)) if sizes else 1.0, overlap), True
         else:
-            wanted = items.sparkSession.createDataFrame([(bytearray(w),) for w in words], "term binary")
-            frequency = {bytes(r["term"]): r["count"] for r in by_term.join(wanted, "term").collect()}
-        yield Index(rows, frequency, total or 0, average or 1.0, threshold)
+            own = map_texts(shard.select("text"), "terms array<array<long>>, sizes array<int>", make).select(F.explode(F.flatten("terms")).alias("term")).distinct()
+            joined = by_term.join(own, "term").toArrow()
+            frequency = dict(zip(joined.column("term").to_numpy().view(np.uint64).tolist(), joined.column("n").to_pylist()))
+            yield Index(rows, frequency, total, average or 1.0, overlap), False
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, bm25, overlap, question_overlap, answer_overlap, first_word, last_word) of all leaks."""
+def leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, bm25, overlap, question_overlap, answer_overlap, first_word, last_word) of all leaks; bm25 is the
+    best share of an entry's own score."""
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, bm25 double, overlap double, question_overlap double, answer_overlap double, first_word long, last_word long"
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary"))
-    found = [map_texts(rows, schema, _finder(docs.sparkSession.sparkContext.broadcast(index), overlap)) for index in shards(items, threshold, item_col, text_col)]
+    found = []
+    for index, alone in shards(items, overlap, item_col, text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        own = map_texts(rows, schema, _finder(shared, overlap))
+        if not alone:
+            own, _ = written(own, "leaks")
+            shared.destroy()
+        found.append(own)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -258,9 +298,10 @@ def _finder(shared, overlap: float):
             out = []
             split = [words_of(t) for t in texts]
             for key, words, items in zip(keys, split, index.candidates(split)):
-                for item, (score, low, high) in sorted(items.items()):
-                    question, answer, whole = index.verify(words, item, low, high)
-                    if whole >= overlap:
+                order = sorted(items)
+                for item, (question, answer, whole) in zip(order, index.shares(words, order) if order else ()):
+                    if question >= overlap and answer >= overlap:
+                        score, low, high = items[item]
                         out.append((key, index.items[item][0], score, whole, question, answer, low, high))
             return tuple(map(list, zip(*out))) if out else ([],) * 8
 
@@ -269,14 +310,16 @@ def _finder(shared, overlap: float):
     return make
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns. A document's own text decides, whatever its id."""
-    small_batches(docs.sparkSession)
     marked = docs
-    for index in shards(items, options.get("threshold", 0.6), text_col=text_col):
+    for index, alone in shards(items, overlap, text_col=text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        leaky = _leaky(_finder(shared, options.get("overlap", 0.8)))
+        leaky = _leaky(_finder(shared, overlap))
         marked = marked.filter(~leaky(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))))
+        if not alone:
+            marked, _ = written(marked, "unleaked")
+            shared.destroy()
     return marked
 
 
