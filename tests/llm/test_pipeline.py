@@ -1,5 +1,5 @@
 import corpus_pipeline as pipeline
-from gridmere.llm import decontaminate, simhash
+from gridmere.llm import decontaminate, nearcopies
 from tests.llm.test_decontaminate import plain_leaks
 
 DATA = "/root/testdata/sf0.001"
@@ -16,7 +16,7 @@ def test_stages_do_what_their_operators_say(spark):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns
         if name == "near-duplicates":
-            assert ids(out) == {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+            assert ids(out) == {r["component_id"] for r in nearcopies.near_copies(docs).collect()}
         if name == "benchmark":
             leaky = {d for d, _ in plain_leaks(docs.select("doc_id", "text").collect(), spark.read.parquet(f"{DATA}/benchmark.parquet").collect())}
             assert leaky and ids(out) == ids(docs) - leaky

@@ -74,4 +74,23 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     kept = simhash.without_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 2, 5, 7, 8, 9, 10] and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == [1, 2, 5, 7, 8, 9, 10] and ids.count(None) == 1  # the other null id has no words either
+
+
+@pytest.mark.parametrize("node", [4096, 40, 6])
+def test_neighboured(spark, monkeypatch, node):
+    """All that have another at up to 6 different bits are found, and none that has no other within the distance."""
+    monkeypatch.setattr(simhash, "NODE", node)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    near = base[:200].copy()
+    for _ in range(5):
+        near ^= np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)
+    group = base[300] ^ (np.uint64(1) << rng.integers(0, 64, 120, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 120, dtype=np.uint64))
+    prints = np.unique(np.concatenate([base, near, group]))
+    far = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    np.fill_diagonal(far, 64)
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    got = {r["fp"] for r in simhash.neighboured(df, 8).collect()}
+    least = dict(zip(prints.view(np.int64).tolist(), far.min(1).tolist()))
+    assert {p for p, d in least.items() if d <= 6} <= got <= {p for p, d in least.items() if d <= 8}
