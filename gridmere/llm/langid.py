@@ -3,12 +3,14 @@
 A bounded sample of labelled text per language becomes a suffix automaton. A text is parsed against each automaton:
 a phrase is the longest match that starts where the one before has ended, at least one symbol. The language with the
 fewest phrases, normalised by the bits that a phrase costs there (log2 of the sample's length) and the text's length,
-wins. Letters are folded to lower case and runs of anything else to one separator, which words share; the alphabet is
-that of the samples. Texts are parsed whole, in blocks of BLOCK symbols side by side; a phrase ends with its block.
-
-The sample: at most `sample_chars` symbols a language and `all_chars` in all, from at most `sample_rows` distinct texts of at most `row_chars`
-characters each, the first in the order of a hash of the text. Null and empty texts, and texts without a letter, are
-`und` with score 0. Rows with null language teach nothing; without any labelled text everything is `und`. Ties go to
+wins. Letters are folded to lower case, with their marks, and runs of anything else to one separator, which words share;
+symbols are the bytes of that, so that no letter of any script is merged with another. Texts are parsed whole, side by
+side; one of over BLOCK symbols in blocks of that size, at whose ends a phrase ends, too.
+
+The sample: at most `sample_chars` symbols a language, and an equal part of `all_chars` if that is less, but `least_chars`
+at least, so that every labelled language is learned; from at most `sample_rows` distinct texts, the first in the order
+of a hash of the text, each with at most `row_chars` characters of it. Null and empty texts, and texts without a letter,
+are `und` with score 0. Rows with null language teach nothing; without any labelled text everything is `und`. Ties go to
 the first language in alphabetical order. Repeated rows have equal results; an empty table gives an empty table.
 """
 
@@ -25,32 +27,36 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, slices, small_batches
 
-BLOCK = 128
+BLOCK = 4096
 #: The result for texts without a letter.
 UNKNOWN = "und"
-#: Symbols of the alphabet: the separator, letters outside the samples, and the samples' most frequent letters.
-ALPHABET = 56
-#: Languages that a model holds at most, those with the most text; it bounds the workers' memory.
-LANGUAGES = 64
+#: The bit of letters() that tells marks from letters.
+MARK = np.uint32(1 << 31)
 
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """For each code point, its lower-case letter, or 0 if it is no letter or mark of one."""
+    """For each code point, its lower-case letter, or 0 if it is no letter or mark of one; marks have the bit MARK."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x32000):  # no letters beyond
-        if unicodedata.category(x := chr(c))[0] in "LM":
-            low = x.lower()
-            table[c] = ord(low[0])
+    for c in range(0x110000):
+        kind = unicodedata.category(x := chr(c))[0]
+        if kind == "L":
+            table[c] = ord(x.lower()[0])
+        elif kind == "M":
+            table[c] = c | int(MARK)
     return table
 
 
-def folded(text: bytes) -> np.ndarray:
-    """Lower-case letters as code points; each run of anything else, and either end, is one 0."""
+def folded(text: bytes) -> np.ndarray | None:
+    """Bytes of the lower-case letters; each run of anything else, and either end, is one space. None without a letter."""
     points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    low = letters()[np.minimum(points, 0x10FFFF)]
-    low = np.concatenate([[0], low, [0]]).astype(np.uint32)
-    return low[(low != 0) | (np.concatenate([[1], low[:-1]]) != 0)]
+    low = letters()[points]
+    if not ((low != 0) & (low < MARK)).any():
+        return None
+    low = np.concatenate([[0], low & ~MARK, [0]]).astype("<u4")
+    low = low[(low != 0) | (np.concatenate([[1], low[:-1]]) != 0)]
+    low[low == 0] = 32
+    return np.frombuffer(low.tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -84,34 +90,29 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Phrase counts against each language's automaton, as one table: entry state * ALPHABET + symbol is twice the
-    next row, plus one if a phrase had to end before the symbol."""
+    """Phrase counts against each language's automaton. Each has a table as wide as its sample has symbols, and one for
+    all others: entry state * width + symbol is twice the next row, plus one if a phrase had to end before the symbol."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        texts = {k: np.frombuffer(samples[k], "<u4") for k in self.languages}
-        points, counts = np.unique(np.concatenate(list(texts.values()) or [np.zeros(0, "<u4")]), return_counts=True)
-        order = np.lexsort((points, -counts))
-        known = [int(p) for p in points[order] if p][: ALPHABET - 2]
-        self.code = np.ones(0x110000, np.uint8)
-        self.code[0] = 0
-        self.code[known] = np.arange(2, len(known) + 2)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        self.codes, self.tables, self.bits = [], [], []
         for k in self.languages:
-            go = automaton(self.code[texts[k]].tolist())
-            alone = len(go)  # the state after a symbol that the sample lacks: a phrase of its own
-            table = np.full((alone + 1, ALPHABET), -1, np.int32)
+            text = np.frombuffer(samples[k], np.uint8)
+            known = np.unique(text)
+            width = len(known) + 1
+            code = np.zeros(256, np.uint8)  # 0: a symbol that the sample lacks, a phrase of its own
+            code[known] = np.arange(1, width)
+            go = automaton(code[text].tolist())
+            alone = len(go)  # the state after such a symbol
+            table = np.full((alone + 1, width), -1, np.int32)
             for state, out in enumerate(go):
                 table[state, list(out)] = list(out.values())
-            first = np.where(table[0] < 0, alone, table[0])
             ends = table < 0
-            table = np.where(ends, first, table)
+            table = np.where(ends, np.where(table[0] < 0, alone, table[0]), table)
             ends[0] = False  # where a block begins, no phrase ends
-            tables.append(((table + base) * ALPHABET) << 1 | ends)
-            self.roots.append(base * ALPHABET << 1)
-            self.bits.append(float(np.log2(len(texts[k]) + 2)))
-            base += alone + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            self.codes.append(code)
+            self.tables.append((table * width << 1 | ends).ravel())
+            self.bits.append(float(np.log2(len(text) + 2)))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(text, language) phrase counts."""
@@ -122,20 +123,21 @@ class Parser:
         grid = np.zeros(total * BLOCK, np.uint8)
         at = np.concatenate([[0], np.cumsum(blocks)])[:-1] * BLOCK
         for t, a in zip(texts, at):
-            grid[a : a + len(t)] = self.code[t]
+            grid[a : a + len(t)] = t
         length = np.full(total, BLOCK)
         length[np.cumsum(blocks)[blocks > 0] - 1] -= (blocks * BLOCK - sizes)[blocks > 0]
         order = np.argsort(-length, kind="stable")  # blocks that go on stand first
         grid = np.ascontiguousarray(grid.reshape(total, BLOCK)[order].T)
         alive = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
         out = np.zeros((len(texts), len(self.languages)))
-        for k, root in enumerate(self.roots):
-            count, state = np.zeros(total, np.int32), np.full(total, root >> 1, np.int32)
+        for k, (code, table) in enumerate(zip(self.codes, self.tables)):
+            own = code[grid]
+            count, state = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for step in range(BLOCK):
                 n = alive[step]
                 if not n:
                     break
-                entry = self.table[state[:n] + grid[step, :n]]
+                entry = table[state[:n] + own[step, :n]]
                 count[:n] += entry & 1
                 state[:n] = entry >> 1
             out[:, k] = np.bincount(owner[order], count + 1, len(texts))
@@ -144,7 +146,7 @@ class Parser:
     def judge(self, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and cross-parsing entropy (bits a symbol) of each text."""
         symbols = [folded(t) for t in texts]
-        some = [i for i, s in enumerate(symbols) if self.languages and (s != 0).any()]
+        some = [i for i, s in enumerate(symbols) if self.languages and s is not None]
         names, score, entropy = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if some:
             length = np.array([len(symbols[i]) for i in some])
@@ -158,25 +160,21 @@ class Parser:
         return names, score, entropy
 
 
-def samples(docs: DataFrame, train: Column, sample_chars: int = 40_000, all_chars: int = 240_000, sample_rows: int = 100, row_chars: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Folded sample text of each language, as 32-bit code points: sample_chars each, or an equal part of all_chars."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit(11)).alias("h"), F.col(text_col).alias("text"))
-    fit = F.length("text").between(1, row_chars)
-    seen = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(fit, F.col("h"))).alias("n"), F.count(F.lit(1)).alias("rows"))
-    sizes = {r["lang"]: r["n"] for r in seen.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
+def samples(docs: DataFrame, train: Column, sample_chars: int = 40_000, all_chars: int = 240_000, least_chars: int = 2000, sample_rows: int = 100, row_chars: int = 2000, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Folded sample text of each language."""
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit(11)).alias("h"), F.left(F.col(text_col), F.lit(row_chars)).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return {}
-    wanted = F.lit(False)
-    for lang, n in sizes.items():  # the least hashes: about twice the rows that are needed
-        limit = min(int(2 * sample_rows / max(n, 1) * 2**64), 2**64 - 1) - 2**63
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("h") <= F.lit(limit)))
-    few = rows.filter(fit & wanted).dropDuplicates(["lang", "h"]).orderBy("h", "lang").limit(4 * sample_rows * len(sizes)).collect()
+    # the least hashes: about twice the rows that are needed
+    limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(int(2 * sample_rows / max(n, 1) * 2**64), 2**64 - 1) - 2**63)))
+    few = rows.filter(F.col("h") <= limits[F.col("lang")]).dropDuplicates(["lang", "h"]).orderBy("h", "lang").limit(4 * sample_rows * len(sizes)).collect()
     out: dict[str, list[np.ndarray]] = {}
     for r in few:
-        if len(out.setdefault(r["lang"], [])) < sample_rows:
-            out[r["lang"]].append(folded(r["text"].encode()))
-    most = min(sample_chars, all_chars // len(sizes))
-    return {k: np.concatenate(v)[:most].astype("<u4").tobytes() for k, v in out.items() if v}
+        if len(own := out.setdefault(r["lang"], [])) < sample_rows and (text := folded(r["text"].encode())) is not None:
+            own.append(text)
+    most = min(sample_chars, max(all_chars // len(sizes), least_chars))
+    return {k: np.concatenate(v)[:most].tobytes() for k, v in out.items() if v}
 
 
 _parsers: dict[int, tuple[dict, Parser]] = {}
@@ -200,7 +198,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
         return lambda keys, texts: (keys, *own.judge([t or b"" for t in texts]))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(F.col(id_col), F.col(text_col).cast("binary")), f"`{id_col}` {kind}, lang_pred string, score double, entropy double", make, 2 << 20)
+    return map_texts(docs.select(F.col(id_col), F.col(text_col).cast("binary")), f"`{id_col}` {kind}, lang_pred string, score double, entropy double", make)
 
 
 def with_languages(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", into: str = "identified") -> DataFrame:
@@ -213,7 +211,7 @@ def with_languages(docs: DataFrame, model: dict[str, bytes], text_col: str = "te
         own = parser(shared.value)
         for texts in batches:
             found: list[list] = [[], [], []]
-            for start, end in slices([len(t) for t in texts], 2 << 20):
+            for start, end in slices([len(t) for t in texts]):
                 for column, more in zip(found, own.judge(texts.iloc[start:end].tolist())):
                     column += more
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "entropy"), found)))

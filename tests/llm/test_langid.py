@@ -19,14 +19,58 @@ def plain_phrases(symbols, text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abcd ", min_size=1, max_size=400), st.text(alphabet="abcde ", min_size=1, max_size=400))
+@given(st.text(alphabet="abcd é", min_size=1, max_size=400), st.text(alphabet="abcde éж", min_size=1, max_size=400))
 def test_phrases_are_longest_matches(sample, text):
-    parser = langid.Parser({"x": langid.folded(sample.encode()).astype("<u4").tobytes()})
-    own = bytes(parser.code[langid.folded(sample.encode())].tolist())
-    symbols = langid.folded(text.encode())
-    coded = bytes(parser.code[symbols].tolist())
-    want = sum(plain_phrases(coded[a : a + langid.BLOCK], own) for a in range(0, len(coded), langid.BLOCK))
-    assert parser.phrases([symbols])[0, 0] == want
+    own, symbols = langid.folded(sample.encode()), langid.folded(text.encode())
+    if own is None or symbols is None:
+        return
+    parser = langid.Parser({"x": own.tobytes()})
+    for block in (langid.BLOCK, 64):
+        langid.BLOCK, before = block, langid.BLOCK
+        try:
+            want = sum(plain_phrases(symbols.tobytes()[a : a + block], own.tobytes()) for a in range(0, len(symbols), block))
+            assert parser.phrases([symbols])[0, 0] == want
+        finally:
+            langid.BLOCK = before
+
+
+def test_judgements_match_brute_force(spark):
+    """Language, score and entropy of documents, from longest matches looked up in the samples."""
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = langid.samples(docs, F.lit(True), sample_chars=3000)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        symbols = langid.folded(r["text"][:3000].encode())
+        if len(symbols) > langid.BLOCK or len(r["text"]) > 3000:
+            continue
+        bits = {k: plain_phrases(symbols.tobytes(), v) * np.log2(len(v) + 2) for k, v in model.items()}
+        best = min(sorted(bits), key=bits.get)
+        own = got[r["doc_id"]]
+        assert own["lang_pred"] == best
+        assert abs(own["score"] - 1 / sum(2 ** (-min(b - bits[best], 60) / 4) for b in bits.values())) < 1e-9
+        assert abs(own["entropy"] - bits[best] / len(symbols)) < 1e-9
+
+
+def test_many_languages_and_scripts(spark):
+    """No letter is merged and no language left out, whatever their number and the length of their texts."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k, start in enumerate([0x61, 0x430, 0x3B1, 0x905, 0x5D0, 0x627, 0xAC00, 0x4E00, 0x31350, *range(0x5000, 0x9000, 0x100)]):
+        word = lambda: "".join(chr(start + int(i)) for i in rng.integers(0, 20, 4))  # noqa: E731, B023
+        lexicon = [word() for _ in range(60)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(rng.choice(lexicon, 6000 if k == 1 else 80)), f"l{k:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.samples(docs, F.col("doc_id") % 4 != 3)
+    assert len(model) == 73
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in langid.identify(docs, model).collect())
+
+
+def test_letters_decide_what_is_undetermined():
+    parser = langid.Parser({"x": langid.folded(b"some words").tobytes()})
+    texts = ["\u0301\u0302", "12 !?", "", "\U00031350", "a", "\u0301b"]
+    assert parser.judge([t.encode() for t in texts])[0] == ["und", "und", "und", "x", "x", "x"]
 
 
 def test_held_out_accuracy(spark):
