@@ -3,11 +3,14 @@
 Terms are the words of a text and their first letters, hashed to 2**HASH_BITS buckets; a text's features are the
 buckets that it has. The machine is w0 + sum of w_i + sum over pairs of <v_i, v_j>, so that two terms together, such as
 an insult and a mention of a group, count for more or less than both alone. It is fitted on a bounded sample of
-labelled rows: at most `per_class` of each label, the first in the order of a hash of their ids. The sample decides
-which buckets have weights at all (those whose share differs clearly between the labels); scoring covers all texts whole.
+labelled rows: at most `per_class` of each label, the first in the order of a hash of their ids. Buckets that at least
+three of them have get weights if they tell something alone (their share differs between the labels: chi-square over 11)
+or with another (the covariance of two differs between the labels: chi-square over 45, as there are many pairs), so that
+two terms that are each neutral alone are kept. Of the first at most `features` are taken, the clearest; pairs are looked
+for among the `pair_terms` most frequent buckets of the sample. Scoring covers all texts whole.
 
 Null and empty texts have no term and get the base score. Labels other than 0 and 1, null labels and labels without a
-document teach nothing; without both labels the score is the share of label 1, or 0. Repeated rows have equal scores. An
+document teach nothing; of rows with one id, that of the least hash of its text teaches; without both labels the score is the share of label 1, or 0. Repeated rows have equal scores. An
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -84,7 +87,8 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.col(id_col)
     chosen = known.filter("label = 0").orderBy(*order).limit(per_class).union(known.filter("label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen.dropDuplicates([id_col])), id_col)
+    joined = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen.dropDuplicates([id_col])), id_col)
+    rows = joined.groupBy(id_col, "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
 
     def make():
         return lambda label, texts: (label, [np.unique([b for w in words_of(t or b"") for b in buckets_of(w)]).astype(np.int64).tolist() for t in texts])
@@ -93,7 +97,20 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id
     return [(r["label"], r["terms"]) for r in terms.collect()], (count.get(0, 0), count.get(1, 0))
 
 
-def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: int = 640, rank: int = 4, steps: int = 250) -> Machine:
+def _telling_pairs(x: np.ndarray, y: np.ndarray, bound: float) -> np.ndarray:
+    """Columns of a 0/1 matrix that have a partner: their covariances differ between the labels, in standard errors."""
+    cov, error = [], []
+    for label in (0, 1):
+        own = x[y == label]
+        own = own - own.mean(0)
+        cov.append(own.T @ own / max(len(own), 1))
+        error.append((own**2).T @ (own**2) / max(len(own), 1) ** 2)
+    clear = (cov[1] - cov[0]) ** 2 / (error[0] + error[1] + 1e-9)
+    np.fill_diagonal(clear, 0)
+    return clear.max(1, initial=0) > bound
+
+
+def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: int = 4000, pair_terms: int = 3000, rank: int = 4, steps: int = 250) -> Machine:
     """Adam on the whole sample's log loss, classes weighted alike; the bias then takes on the labels' true share."""
     empty = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank))
     y = np.array([label for label, _ in rows], float)
@@ -108,10 +125,18 @@ def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: in
     both = (pos + neg) / len(y)
     clear = (share1 - share0) ** 2 / (both * (1 - both) * (1 / y.sum() + 1 / (1 - y).sum()) + 1e-12)  # chi-square, one degree
     clear[pos + neg < 3] = 0
-    best = np.sort(np.lexsort((names, -clear))[:features])
+    best = np.lexsort((names, -clear))[:features]
     best = best[clear[best] > 11]
+    often = np.lexsort((names, -both))[:pair_terms]
+    often = often[(pos + neg)[often] >= 3]
+    x = np.zeros((len(rows), len(often)), np.float32)
+    place = np.full(len(names), -1)
+    place[often] = np.arange(len(often))
+    kept = place[column] >= 0
+    x[of_row[kept], place[column[kept]]] = 1
+    best = np.union1d(best, often[_telling_pairs(x, y, 45)])
     if not len(best):
-        best = np.sort(np.lexsort((names, -clear))[:1])
+        best = np.lexsort((names, -clear))[:1]
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     kept = place[column] >= 0

@@ -25,6 +25,36 @@ def test_interaction_is_learned():
     assert z(1) < 0 and z(2) < 0 and z(1, 2) > 0
 
 
+def plain_z(machine, terms):
+    """The machine's sum, pair by pair."""
+    at = [i for i, b in enumerate(machine.buckets) if int(b) in terms]
+    pairs = sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+    return machine.bias + sum(float(machine.linear[i]) for i in at) + pairs
+
+
+def test_terms_that_are_neutral_alone_are_kept():
+    """The label is that exactly one of two terms stands in a text: neither tells anything alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append((int(a != b), sorted({*(1000 + rng.integers(0, 500, 20)).tolist()} | ({1} if a else set()) | ({2} if b else set()))))
+    machine = toxicity.fit(rows, (2000, 2000), steps=400)
+    assert {1, 2} <= set(machine.buckets.tolist())
+    right = [(plain_z(machine, set(terms)) > 0) == bool(label) for label, terms in rows]
+    assert np.mean(right) > 0.95
+
+
+def test_scores_of_documents_match_the_sum_over_pairs(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.train(docs, labels, F.lit(True))
+    assert len(machine.buckets) > 1
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, machine).collect()}
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        terms = {b for w in toxicity.words_of(r["text"].encode()) for b in toxicity.buckets_of(w)}
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(plain_z(machine, terms), -60, 60)))) < 1e-9
+
+
 def test_scores_match_the_formula():
     machine = toxicity.fit([(1, [3, 4]), (1, [3, 5]), (1, [3]), (0, [4]), (0, [5]), (0, [4, 5])] * 20, (60, 60), features=4)
     word = "insult"
