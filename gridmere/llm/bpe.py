@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Pre-tokens whose ids a worker remembers, and their greatest length; both bound memory only.
+#: Pre-tokens whose ids a worker remembers (twice as many at most, besides those of one text), and their greatest length;
+#: both bound memory only.
 REMEMBERED, REMEMBERED_LENGTH = 250_000, 48
 #: White space as the vocabulary's own library takes it (Unicode's White_Space), fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -113,16 +114,21 @@ class Codec:
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def packed(self, piece: str) -> bytes:
+        return pack("<%dI" % len(ids := self.merge(piece.encode())), *ids)
+
     def encode(self, text: str) -> bytes:
         pieces = self.find(text)
+        long: dict[str, bytes] = {}  # of this text alone
         for piece in set(pieces).difference(self.seen):
-            packed = self.older.get(piece)
-            if packed is None:
-                packed = pack("<%dI" % len(ids := self.merge(piece.encode())), *ids)
-            self.seen[piece] = packed
-        out = b"".join(map(self.seen.__getitem__, pieces))
+            if len(piece) > REMEMBERED_LENGTH:
+                long[piece] = self.packed(piece)
+            else:
+                packed = self.older.get(piece)
+                self.seen[piece] = self.packed(piece) if packed is None else packed
+        out = b"".join([long[p] if p in long else self.seen[p] for p in pieces] if long else map(self.seen.__getitem__, pieces))
         if len(self.seen) > REMEMBERED:
-            self.older, self.seen = {k: v for k, v in self.seen.items() if len(k) <= REMEMBERED_LENGTH}, {}
+            self.older, self.seen = self.seen, {}
         return out
 
     def decode(self, packed: bytes) -> bytes:

@@ -42,3 +42,11 @@ def test_round_trip_of_odd_rows(odd_docs, no_docs):
         want.append((r["doc_id"], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()))
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
     assert bpe.round_trip(no_docs, PATH, tokenizers.PATTERN).count() == 0
+
+
+def test_memory_holds_no_long_pretokens():
+    own = bpe.Codec(bpe.load_ranks(PATH), tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        own.encode("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000)) + " some words")
+    assert sum(map(len, own.seen)) + sum(map(len, own.older)) < 100
