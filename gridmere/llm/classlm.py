@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, slices, written
 
-#: Bytes of text that a scoring group holds, and the fewest groups.
-GROUP_BYTES, LEAST_GROUPS = 8 << 20, 48
+#: Bytes of text that a scoring group holds, the fewest groups, and the most partitions that they are dealt to.
+GROUP_BYTES, LEAST_GROUPS, PARTITIONS = 8 << 20, 48, 20_000
 #: Groups that contexts are merged into for rare words, which is also the number of rare-word classes.
 RARE = 8
 
@@ -244,12 +244,12 @@ def train(docs: DataFrame, train_rows: Column, cluster_words: int = 1500, classe
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
-    Texts are dealt out in groups of bounded size. Each group's distinct words are joined to the vocabulary and come
+    Texts are dealt out in groups of bounded size, several to a partition where there are very many. Each group's distinct words are joined to the vocabulary and come
     back as the group's dictionary, so that a frequent word is looked up once a group, not once a token.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
-    dealt = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(groups)).alias("part")).repartition(int(groups), "part")
+    dealt = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).alias("part")).repartition(int(min(groups, PARTITIONS)), "part")
 
     def distinct(rows: pa.Table) -> pa.Table:
         found: set[bytes] = set()
