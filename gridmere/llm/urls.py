@@ -1,10 +1,12 @@
 """URL filters: rules, and a naive Bayes classifier on segmented host names and paths.
 
 Host names such as `cheappills` are split into words by a unigram Viterbi search, host labels and path parts alike; a
-multinomial naive Bayes model over the words scores host and path. The unigram lexicon is counted on all URLs' delimited
-words and page-independent seed words; the model is fitted on all URLs, where a host that has a seed word of unwanted
-sites counts as an example of block (weak labels: no table has labels of URLs). Rules stand above the model: a rule fits
-its host and all subdomains if the path starts with the rule's, and the longest one that fits wins.
+multinomial naive Bayes model over the words scores host and path. The unigram lexicon counts in how many distinct hosts
+and paths a delimited word stands, and adds page-independent seed words; a joined name is left out of it, however many
+URLs have it: one that is made of others at least as frequent, or that begins or ends with a seed word. The model is
+fitted on all URLs, where a host that has a seed word of unwanted sites counts as an example of block (weak labels: no
+table has labels of URLs). Rules stand above the model: a rule fits its host and all subdomains if the path starts with
+the rule's, and the longest one that fits wins.
 
 Null URLs and those without `://` have empty host and path, fit no rule and are allowed unless the empty word list is
 likelier under block. Repeated URLs get equal verdicts. An empty table gives an empty table; other columns are ignored.
@@ -14,19 +16,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import exp, log
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words of unwanted sites: the model's weak labels, and part of the lexicon. Fixed values.
 SEEDS = "ads adult bet bets betting casino cheap click clicks crack farm free gambling loan loans malware payday pharma phish pills poker porn prize replica sex spam tracker track viagra warez win winner xxx".split()
 #: Seed words that alone make a host an example of block. Fixed values.
 STRONG = frozenset("ads adult bets betting casino gambling malware payday pharma phish pills poker porn spam viagra warez xxx".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Greatest numbers of lexicon words and model words that are broadcast, the most frequent ones; longest word.
-LEXICON, MODEL_WORDS, LONGEST = 100_000, 50_000, 24
+#: Greatest number of lexicon words, the most frequent ones, and of model words that are broadcast, beyond which weights are
+#: joined; longest word.
+LEXICON, MODEL_WORDS, LONGEST = 300_000, 100_000, 24
 #: (verdict, host, path) of the rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -93,14 +98,31 @@ def words_of(segmenter: Segmenter, host: str, path: str, memory: dict[str, list[
     return out
 
 
+def explained(counts: dict[str, int]) -> set[str]:
+    """Words that are others put together, of three letters at least and each as frequent as the whole, and those with a
+    seed word of four letters or more at one end."""
+    ends = tuple(s for s in SEEDS if len(s) > 3)
+    out = {w for w in counts for s in ends if len(w) >= len(s) + 3 and (w.startswith(s) or w.endswith(s))}
+    for word, n in counts.items():
+        cuts = {0}
+        for end in range(3, len(word) + 1):
+            if any(end - a >= 3 and end - a < len(word) and counts.get(word[a:end], 0) >= n for a in cuts):
+                cuts.add(end)
+        if len(word) in cuts:
+            out.add(word)
+    return out
+
+
 def lexicon(parts: DataFrame) -> dict[str, int]:
-    """Counts of delimited words over all URLs, and of the seed words as often as the median one."""
-    words = parts.select(F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("word"))
-    counted = words.filter("word <> '' AND length(word) <= 12").groupBy("word").count().orderBy(F.desc("count"), "word").limit(LEXICON)
+    """In how many distinct hosts and paths a delimited word stands, and the seed words as often as the median one."""
+    texts = parts.select(F.explode(F.array("host", "path")).alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    counted = words.filter(f"word <> '' AND length(word) <= {LONGEST}").groupBy("word").count().orderBy(F.desc("count"), "word").limit(LEXICON)
     counts = {r["word"]: r["count"] for r in counted.collect()}
     usual = sorted(counts.values())[len(counts) // 2] if counts else 1
-    joined = {w for w in counts if len(w) > 4 and any(w != s and w.startswith(s) and w[len(s) :] in SEEDS for s in SEEDS)}
-    return {w: n for w, n in counts.items() if w not in joined} | {s: max(counts.get(s, 0), usual) for s in SEEDS}
+    counts |= {s: max(counts.get(s, 0), usual) for s in SEEDS}
+    joined = explained(counts).difference(SEEDS)
+    return {w: n for w, n in counts.items() if w not in joined}
 
 
 def _tokens(parts: DataFrame, counts: dict[str, int]) -> DataFrame:
@@ -122,17 +144,16 @@ def _tokens(parts: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 
 
-
-def fit(parts: DataFrame, counts: dict[str, int], smooth: float = 1.0) -> tuple[dict[str, float], float, float]:
-    """Log odds of block by word, of a word that the model lacks, and of URLs at large."""
-    by_token = _tokens(parts, counts).groupBy("token").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
+def fit(parts: DataFrame, counts: dict[str, int], smooth: float = 1.0) -> tuple[DataFrame, float, float]:
+    """(token, odds): log odds of block by word, those of a word that the model lacks, and those of URLs at large."""
+    sums = _tokens(parts, counts).groupBy("token").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
+    by_token, _ = written(sums, "tokens")
     urls = by_token.filter("token = 'url'").first()
     bad, good, size = by_token.filter("token <> 'url'").agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
     if not size:
-        return {}, 0.0, -log(2)
+        return by_token.select("token", F.lit(0.0).alias("odds"), F.lit(0).cast("long").alias("n")).limit(0), 0.0, -log(2)
     base = log((good + smooth * (size + 1)) / (bad + smooth * (size + 1)))
-    top = by_token.filter("token <> 'url'").orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(MODEL_WORDS).collect()
-    odds = {r["token"]: log((r["bad"] + smooth) / (r["good"] + smooth)) + base for r in top}
+    odds = by_token.filter("token <> 'url'").select("token", (F.log((F.col("bad") + smooth) / (F.col("good") + smooth)) + base).alias("odds"), (F.col("bad") + F.col("good")).alias("n"))
     return odds, base, log((urls["bad"] + 1) / (urls["good"] + 2))
 
 
@@ -141,23 +162,33 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     counts = lexicon(parts)
-    shared = pages.sparkSession.sparkContext.broadcast((counts, *fit(parts, counts)))
+    model, base, prior = fit(parts, counts)
+    top = {r["token"]: r["odds"] for r in model.orderBy(F.desc("n"), "token").limit(MODEL_WORDS).collect()}
+    whole = model.count() <= MODEL_WORDS  # else the rarer words' weights are joined to the URLs that have them
+    shared = pages.sparkSession.sparkContext.broadcast((counts, top, base, prior))
     rule, decision = rule_of(F.col("host"), F.col("path"), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, odds, other, prior = shared.value
         segmenter, memory = Segmenter(known), {}
         for batch in batches:
-            scores, texts = [], []
+            sums, texts, rare = [], [], []
             for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
                 words = words_of(segmenter, h, p, memory)
-                total = prior + sum(odds.get(w, other) for w in words)
-                scores.append(1 / (1 + exp(-max(-60.0, min(60.0, total)))))
+                sums.append(prior + sum(odds.get(w, other if whole else 0.0) for w in words))
                 texts.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(texts, pa.string())], names=[*batch.schema.names, "spam_score", "words"])
+                rare.append([] if whole else [w for w in words if w not in odds])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(texts, pa.string()), pa.array(rare, pa.list_(pa.string()))], names=[*batch.schema.names, "total", "words", "rare"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     ruled = parts.select(id_col, "host", "path", rule.alias("rule"), decision.alias("ruled"))
-    scored = ruled.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, ruled string, spam_score double, words string")
+    scored = ruled.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, ruled string, total double, words string, rare array<string>")
+    if not whole:
+        scored, _ = written(scored, "urls")
+        wanted = scored.filter(F.size("rare") > 0).select("host", "path", "rare").dropDuplicates(["host", "path"]).select("host", "path", F.explode("rare").alias("token"))
+        more = wanted.join(model.select("token", "odds"), "token", "left").groupBy("host", "path").agg(F.sum(F.coalesce("odds", F.lit(base))).alias("more"))
+        scored = scored.join(more, ["host", "path"], "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    score = 1 / (1 + F.exp(-F.greatest(F.least("total", F.lit(60.0)), F.lit(-60.0))))
+    judged = scored.withColumn("spam_score", score)
     own = F.when(F.col("spam_score") >= 0.5, "block").otherwise("allow")
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "spam_score", "words")
+    return judged.select(id_col, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "spam_score", "words")

@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +60,30 @@ def test_joined_names_are_split_and_blocked(spark):
     rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(good + bad + new, "page_id long, url string")).collect()}
     assert all(rows[i]["verdict"] == "allow" for i, _ in good) and all(rows[i]["verdict"] == "block" for i, _ in bad + new)
     assert rows[2000]["words"].startswith("h:cheap h:pills")
+
+
+PAGES = [(i, f"http://{h}.example.org/{p}") for i, (h, p) in enumerate([("garden", "en/tools"), ("casino-win", "fr/games"), ("online-garden", "en/poker"), ("bestcasino", "x/1"), ("onlinepoker", "y"), ("onlinepoker", "z"), ("best-of.garden", "es/8"), ("adult", "")] * 6)]
+
+
+def test_names_seen_joined_are_split_all_the_same(spark):
+    rows = {r["host"]: r for r in urls.judge(spark.createDataFrame(PAGES, "page_id long, url string")).collect()}
+    assert rows["onlinepoker.example.org"]["words"].startswith("h:online h:poker") and rows["bestcasino.example.org"]["words"].startswith("h:best h:casino")
+    assert rows["onlinepoker.example.org"]["verdict"] == rows["bestcasino.example.org"]["verdict"] == "block"
+    assert rows["garden.example.org"]["verdict"] == "allow"
+
+
+def test_scores_match_a_plain_naive_bayes(spark, monkeypatch):
+    df = spark.createDataFrame(PAGES, "page_id long, url string")
+    rows = urls.judge(df).collect()
+    bags = [r["words"].split() for r in rows]
+    bad = [any(w[2:] in urls.STRONG for w in b if w.startswith("h:")) for b in bags]
+    counts = {y: Counter(w for b, own in zip(bags, bad) if own == y for w in b) for y in (True, False)}
+    size = len({w for b in bags for w in b})
+    total = {y: sum(counts[y].values()) + size + 1 for y in counts}
+    for r, bag in zip(rows, bags):
+        z = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 2)) + sum(math.log((counts[True][w] + 1) / total[True]) - math.log((counts[False][w] + 1) / total[False]) for w in bag)
+        assert abs(r["spam_score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    monkeypatch.setattr(urls, "MODEL_WORDS", 3)  # all other weights are joined
+    again = urls.judge(df).collect()
+    key = lambda r: (r["page_id"], r["host"], r["verdict"], r["words"], round(r["spam_score"], 9))
+    assert sorted(map(key, again)) == sorted(map(key, rows))
