@@ -81,7 +81,7 @@ class Machine:
         return score
 
 
-def sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, tuple[int, int]]:
+def sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[tuple[int, np.ndarray]], tuple[int, int]]:
     """Hashed terms of at most per_class labelled rows a label, and how many training labels there are of each."""
     known = labels.filter(train & F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("label"))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -94,7 +94,9 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id
         return lambda label, texts: (label, [np.unique([b for w in words_of(t or b"") for b in buckets_of(w)]).astype(np.int64).tolist() for t in texts])
 
     terms = map_texts(rows.select("label", "text"), "label int, terms array<int>", make)
-    return [(r["label"], r["terms"]) for r in terms.collect()], (count.get(0, 0), count.get(1, 0))
+    found = terms.toArrow()  # numbers side by side, not objects
+    rows = [(y, np.asarray(t.values)) for y, t in zip(found.column("label").to_pylist(), found.column("terms"))]
+    return rows, (count.get(0, 0), count.get(1, 0))
 
 
 def _telling_pairs(x: np.ndarray, y: np.ndarray, bound: float) -> np.ndarray:
@@ -110,7 +112,7 @@ def _telling_pairs(x: np.ndarray, y: np.ndarray, bound: float) -> np.ndarray:
     return clear.max(1, initial=0) > bound
 
 
-def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: int = 4000, pair_terms: int = 3000, rank: int = 4, steps: int = 250) -> Machine:
+def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: int = 4000, pair_terms: int = 1500, rank: int = 4, steps: int = 250) -> Machine:
     """Adam on the whole sample's log loss, classes weighted alike; the bias then takes on the labels' true share."""
     empty = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank))
     y = np.array([label for label, _ in rows], float)
@@ -135,6 +137,7 @@ def fit(rows: list[tuple[int, list[int]]], counts: tuple[int, int], features: in
     kept = place[column] >= 0
     x[of_row[kept], place[column[kept]]] = 1
     best = np.union1d(best, often[_telling_pairs(x, y, 45)])
+    del x
     if not len(best):
         best = np.lexsort((names, -clear))[:1]
     place = np.full(len(names), -1)
