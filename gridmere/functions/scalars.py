@@ -67,6 +67,19 @@ def mapped(value: Column, mapping: Mapping, default=None) -> Column:
     return out
 
 
+def replaced(value: Column, mapping: Mapping) -> Column:
+    """Value by dictionary; what is not in it stays."""
+    return F.coalesce(mapped(value, mapping), value)
+
+
+def class_fractions(shares: Mapping[str, Column], natural: Sequence[str], water: Sequence[str]) -> dict[str, Column]:
+    """Fractions of natural land, water and the rest, and natural and the rest without the water."""
+    part = {n: sum((F.coalesce(shares[c], F.lit(0.0)) for c in names), F.lit(0.0)) for n, names in (("natural", natural), ("water", water))}
+    part["other"] = 1 - part["natural"] - part["water"]
+    dry = 1 - part["water"]
+    return part | {"natural_dry": F.try_divide(part["natural"], dry), "other_dry": F.try_divide(part["other"], dry)}
+
+
 def null_if_nan(df: DataFrame) -> DataFrame:
     """NaN stands for a missing value in the inputs; NULL does here."""
     fields = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -6,7 +6,8 @@ shuffles are keyed by cell or tile, never by raster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import NODATA, class_of_code, transition_code
+from ..sources.storage import cut
 from .components import components, roots
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
@@ -55,6 +57,29 @@ def eroded(cells: DataFrame, offsets: Sequence[tuple[int, int]] = CROSS) -> Data
     return hits.groupBy("row", "col").count().filter(F.col("count") == len(offsets)).select("row", "col")
 
 
+def stacked_bands(bands: Mapping[str, DataFrame]) -> DataFrame:
+    """(row, col, one column a band) of cells that all bands have: one union and one aggregate, not a join a band."""
+    names = list(bands)
+    parts = [df.select("row", "col", F.lit(i).alias("band"), F.col("value").cast("double").alias("value")) for i, df in enumerate(bands.values())]
+    stack = reduce(DataFrame.unionByName, parts).groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == i, F.col("value"))).alias(n) for i, n in enumerate(names)), F.count_distinct("band").alias("_n"))
+    return stack.filter(F.col("_n") == len(names)).drop("_n")
+
+
+def picked_bands(stack: DataFrame, *groups: Sequence[str], name: str = "bands") -> DataFrame:
+    """(row, col, bands): the bands of all groups, one after the other, as one array."""
+    return stack.select("row", "col", F.array(*(F.col(b) for g in groups for b in g)).alias(name))
+
+
+def window_of(cells: DataFrame, x_min: float, y_min: float, x_max: float, y_max: float, x0: float, y0: float, step: float, size: tuple[int, int] | None = None) -> DataFrame:
+    """Cells of the window with these bounds on a grid of square cells (x0, y0: its upper left corner, rows go down); with
+    a size, of that many rows and columns about the window's centre. Plain comparisons, that reach the scan."""
+    top, left = round((y0 - y_max) / step), round((x_min - x0) / step)
+    rows, cols = round((y_max - y_min) / step), round((x_max - x_min) / step)
+    if size is not None:
+        top, left, (rows, cols) = top - (size[0] - rows) // 2, left - (size[1] - cols) // 2, size
+    return cells.filter(F.col("row").between(top, top + rows - 1) & F.col("col").between(left, left + cols - 1))
+
+
 def max_filter(cells: DataFrame, size: int = 10) -> DataFrame:
     """Greatest value in a size x size window, whose larger half is before the cell: two passes of one line each, since
     the maximum of a box is that of its rows' maxima."""
@@ -98,13 +123,15 @@ def label_tiles(cells: DataFrame, connectivity: int = 8) -> DataFrame:
     return cells.groupBy("tile_row", "tile_col").applyInPandas(label, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", fragment long")
 
 
-def contacts(fragments: DataFrame, connectivity: int = 8, diagonal: bool = True) -> DataFrame:
+def contacts(fragments: DataFrame, connectivity: int = 8, diagonal: bool = True, tile: tuple[int, int] | None = None) -> DataFrame:
     """(a, b): fragments of different tiles that touch. Without `diagonal`, only cells of equal offset along an edge do.
 
-    Only cells at a tile's edge have such neighbours, and only they are joined.
+    Only cells at a tile's edge have such neighbours: given the tiles' height and width, only they are sent and joined.
     """
     offsets = HALF[connectivity] if diagonal else HALF[4]
     edge = fragments.select("row", "col", "fragment", "tile_row", "tile_col")
+    if tile is not None:
+        edge = edge.filter((F.col("row") % tile[0]).isin(0, tile[0] - 1) | (F.col("col") % tile[1]).isin(0, tile[1] - 1))
     sent = neighbours(edge, offsets, "fragment", "tile_row", "tile_col").toDF("row", "col", "a", "tr", "tc")
     met = sent.join(edge.withColumnRenamed("fragment", "b"), ["row", "col"])
     return met.filter((F.col("tr") != F.col("tile_row")) | (F.col("tc") != F.col("tile_col"))).select("a", "b").distinct()
@@ -135,9 +162,10 @@ def merged(fragments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def labelled(cells: DataFrame, connectivity: int = 8, tile: tuple[int, int] = (256, 256)) -> DataFrame:
-    """Cells (row, col, id) with the object of each: components of the whole raster, tile by tile and then across."""
-    fragments = label_tiles(tiled(cells, *tile), connectivity)
-    return merged(fragments, contacts(fragments, connectivity))
+    """Cells (row, col, id) with the object of each: components of the whole raster, tile by tile and then across. The
+    fragments are written, so that each tile is labelled once."""
+    fragments, _ = cut(label_tiles(tiled(cells, *tile), connectivity))
+    return merged(fragments, contacts(fragments, connectivity, tile=tile))
 
 
 def object_table(cells: DataFrame, key: str = "object", value: str = "value") -> DataFrame:

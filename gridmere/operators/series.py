@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import cut
+
 
 def expanding_mean(value: str, keys: Sequence[str], order: Sequence[str]) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -28,7 +30,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "id", keys: Sequen
     ranges' offsets are added, so that no task holds all rows."""
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged, _ = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # written: all uses see the same ranges
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -57,6 +59,27 @@ def ordered_by_reference(df: DataFrame, key: str, time: str, value: str, at: int
     return df.join(ref, key, "left")
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The first n rows in an order, of all or of each group."""
+    if keys:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+    return df.orderBy(*order).limit(n)
+
+
+def without_multiples(df: DataFrame, column: str, of: int) -> DataFrame:
+    """Rows whose value is no multiple; null values stay out."""
+    return df.filter(F.col(column) % of != 0)
+
+
+def drawn(df: DataFrame, order: Sequence[str], rows: int, seed: int) -> DataFrame:
+    """Exactly `rows` rows drawn with replacement, the same for a seed: places in the order are drawn, and looked up."""
+    count = df.count()
+    if not count:
+        return df
+    places = df.sparkSession.range(rows).select((F.floor(F.rand(seed) * count) + 1).cast("long").alias("_drawn"))
+    return numbered(df, order, "_drawn").join(places, "_drawn").drop("_drawn")
+
+
 def without_last(df: DataFrame, order: Sequence[str], n: int, keys: Sequence[str] = ()) -> DataFrame:
     """Without the last n rows in an order: a batch that may not have ended is done again."""
     back = [F.desc(c) for c in order]

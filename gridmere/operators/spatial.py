@@ -58,6 +58,27 @@ def near_join(points: DataFrame, polygons: DataFrame, side: float, distance: flo
     return pairs.withColumn("apart", geometry.ring_distance(F.col("x"), F.col("y"), F.col(ring))).filter(F.col("apart") <= distance)
 
 
+def touching(points: DataFrame, polygons: DataFrame, side: float, half: float, ring: str = "ring") -> DataFrame:
+    """Squares about points (half a side each way) with the polygons whose area they share a point with: the centre or a
+    corner is within, or an edge of the ring meets the square."""
+    reach = spread(polygons, side, geometry.bounds(F.col(ring)), half)
+    pairs = placed(points, side).join(reach, ["_gx", "_gy"]).drop("_gx", "_gy")
+    x, y = F.col("x"), F.col("y")
+
+    def meets(i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, i + 1)
+        start, stop, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
+        for a, b, centre in ((p["x"], q["x"], x), (p["y"], q["y"], y)):
+            d = b - a
+            low, high = F.try_divide(centre - half - a, d), F.try_divide(centre + half - a, d)
+            outside = outside | ((d == 0) & (F.abs(a - centre) > half))
+            start, stop = F.greatest(start, F.least(low, high)), F.least(stop, F.greatest(low, high))
+        return ~outside & (start <= stop)
+
+    edge = F.exists(F.sequence(F.lit(0), F.size(ring) - 2), meets)
+    return pairs.filter(geometry.within(x, y, F.col(ring)) | edge)
+
+
 def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4, point_key: str = "point_id", target_key: str = "target_id") -> DataFrame:
     """(point_key, target_key, apart): each point's nearest target (columns tx, ty), the least key of equally near ones.
 
@@ -154,9 +175,9 @@ def clipped_length(segments: DataFrame, boxes: DataFrame, side: float) -> DataFr
 
 def zonal(cells: DataFrame, polygons: DataFrame, side: float, key: str, *aggregates: Column, touched: float | None = None) -> DataFrame:
     """Aggregates of the cells whose centres are within each polygon; polygons without a cell are kept. With `touched`
-    (half a cell's side), cells count that the polygon's area comes as near as that to the centre."""
+    (half a cell's side), all cells count that share a point with the polygon's area."""
     points = cells.withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5})
-    found = within_join(points, polygons, side) if touched is None else near_join(points, polygons, side, touched)
+    found = within_join(points, polygons, side) if touched is None else touching(points, polygons, side, touched)
     return polygons.select(key).join(found.groupBy(key).agg(*aggregates), key, "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,19 @@ def top_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     return df.withColumn("_k", place).filter(F.col("_k") <= k).groupBy(*keys).agg(F.sum(value).alias(alias))
 
 
+def first_known(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Each column's first value that is not null, in an order, a group."""
+    return df.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
+
+
+def averaged_metrics(counts: DataFrame, names: Sequence[str] = ("precision", "recall", "f1", "iou")) -> DataFrame:
+    """Metrics of summed counts tp, fp and fn (micro_...), and the mean of each row's own metrics (image_...)."""
+    m = metrics()
+    rows = counts.select("tp", "fp", "fn", *(m[n].alias(f"_{n}") for n in names))
+    sums = rows.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), *(F.avg(f"_{n}").alias(f"image_{n}") for n in names))
+    return sums.select(*(m[n].alias(f"micro_{n}") for n in names), *(f"image_{n}" for n in names))
+
+
 def fold_small(df: DataFrame, upper: str, lower: str, least: int, other: str = "Other") -> DataFrame:
     """(upper, lower, n) with subtotals (null lower) and the total; groups of fewer than `least` rows are folded."""
     counted = df.groupBy(upper, lower).agg(F.count(F.lit(1)).alias("n"))
@@ -117,10 +131,11 @@ def best_cutoff(sweep: DataFrame, by: str = "iou") -> DataFrame:
 
 
 def precision_recall(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """Precision and recall at each distinct score. Counts by score come first; the cumulative sums run over blocks of
-    scores and then inside them, so that no one task holds all scores."""
+    """Precision and recall at each distinct score. Counts by score come first; the cumulative sums run over 1,024 blocks
+    of equal width between the least score and the greatest, and then inside them, so that no one task holds all scores."""
     by_score = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count(F.lit(1)).alias("n"))
-    block = F.floor(F.col(score))
+    low, high = df.agg(F.min(score), F.max(score)).first()
+    block = F.floor((F.col(score) - F.lit(low)) * F.lit(1024 / ((high - low) or 1))) if low is not None else F.lit(0)
     inside = Window.partitionBy("block").orderBy(F.desc(score))
     part = by_score.withColumn("block", block)
     sums = part.groupBy("block").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
@@ -130,13 +145,26 @@ def precision_recall(df: DataFrame, score: str, truth: str) -> DataFrame:
     return run.join(offsets, "block").select(score, (F.col("tp") + F.col("op")).alias("tp"), ((F.col("tp") + F.col("op")) / (F.col("called") + F.col("on"))).alias("precision"), F.try_divide(F.col("tp") + F.col("op"), F.col("all_pos")).alias("recall"))
 
 
+def t_expansion(z: float, dof: Column) -> Column:
+    """Student's quantile for many degrees of freedom from the normal one (Abramowitz and Stegun 26.7.5)."""
+    g = (
+        (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    out = F.lit(0.0)
+    for x in reversed(g):
+        out = (out + x) / dof
+    return out + z
+
+
 def t_interval(df: DataFrame, keys: Sequence[str], column: str, level: float = 0.95, most: int = 200) -> DataFrame:
-    """Mean with Student's interval; from `most` degrees of freedom on, the quantile is that of `most`."""
+    """Mean with Student's interval; beyond `most` degrees of freedom the quantile is that of an expansion, right to 12 digits."""
     spark = df.sparkSession
     quantiles = spark.createDataFrame([(n, t_quantile(0.5 + level / 2, n)) for n in range(1, most + 1)], "dof int, t double")
     base = df.groupBy(*keys).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
-    joined = base.withColumn("dof", F.least(F.col("n") - 1, F.lit(most)).cast("int")).join(F.broadcast(quantiles), "dof", "left")
-    half = F.col("t") * F.col("std") / F.sqrt("n")
+    joined = base.withColumn("dof", (F.col("n") - 1).cast("int")).join(F.broadcast(quantiles), "dof", "left")
+    t = F.when(F.col("dof") > most, t_expansion(NormalDist().inv_cdf(0.5 + level / 2), F.col("dof"))).otherwise(F.col("t"))
+    half = t * F.col("std") / F.sqrt("n")
     return joined.select(*keys, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 

@@ -114,11 +114,11 @@ def q76(spark, d):
     return raster.cleaned_masks(g).groupBy("image").agg(F.sum("value").alias("n_set"))
 
 
-@query("q77_dissolved", """WITH RECURSIVE b AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 997 AS DOUBLE) AS y FROM supplier WHERE s_suppkey < 400), e AS (SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40),
+@query("q77_dissolved", """WITH RECURSIVE b AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 997 AS DOUBLE) AS y FROM supplier), e AS (SELECT p.id AS a, q.id AS b FROM b p JOIN b q ON abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40),
   r(a, b) AS (SELECT id, id FROM b UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS "group" FROM r GROUP BY a""")
 def q77(spark, d):
     k = F.col("s_suppkey")
-    boxes = parquet_table(spark, d, "supplier").filter("s_suppkey < 400").select(k.alias("id"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 997).cast("double").alias("y"))
+    boxes = parquet_table(spark, d, "supplier").select(k.alias("id"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 997).cast("double").alias("y"))
     sides = {"x_min": F.col("x") - 20, "x_max": F.col("x") + 20, "y_min": F.col("y") - 20, "y_max": F.col("y") + 20}
     sent = spatial.spread(boxes, 80.0, sides)
     other = sent.toDF("b", "bx", "by", "_gx", "_gy")
@@ -167,9 +167,9 @@ def q82(spark, d):
     return objects.confirmed(own.filter("id % 4 = 0"), [own.filter("id % 3 = 1"), own.filter("id % 5 = 2")]).select("id", "cell")
 
 
-@query("q83_first_match", f"""WITH {views.PAIRS}, s AS (SELECT point_id, poly, area_ha FROM pairs WHERE point_id % 3 = 0) SELECT poly, point_id, area_ha FROM s QUALIFY row_number() OVER (PARTITION BY poly ORDER BY area_ha DESC, point_id) = 1""")
+@query("q83_first_match", f"""WITH {views.PAIRS}, s AS (SELECT point_id, poly, area_ha FROM pairs) SELECT poly, point_id, area_ha FROM s QUALIFY row_number() OVER (PARTITION BY poly ORDER BY area_ha DESC, point_id) = 1""")
 def q83(spark, d):
-    pairs = spatial.within_join(views.points(spark, d).filter("point_id % 3 = 0"), views.polys(spark, d).select("poly", "ring"), 200.0).withColumn("order", -F.col("area_ha"))
+    pairs = spatial.within_join(views.points(spark, d), views.polys(spark, d).select("poly", "ring"), 200.0).withColumn("order", -F.col("area_ha"))
     return spatial.first_match(pairs, ["poly"], ["order", "point_id"]).select("poly", "point_id", "area_ha")
 
 
@@ -194,10 +194,10 @@ def q86(spark, d):
     return reshape.joined(a, b, ["k"], "full").select("k", (F.col("n_x") - F.col("n_y")).alias("difference"), r6(100 * F.try_divide(F.col("n_y"), F.col("n_x")), "percent"))
 
 
-@query("q87_affine_pixels", f"WITH {views.GRID} SELECT row, col, CAST((col + 0.5) * 30.0 + 100.5 AS DOUBLE) AS x, CAST((row + 0.5) * -30.0 + 900.25 AS DOUBLE) AS y FROM grid WHERE value > 5")
+@query("q87_affine_pixels", f"WITH {views.GRID} SELECT row, col, CAST((col + 0.5) * 30.0 + 100.5 AS DOUBLE) AS x, CAST((row + 0.5) * -30.0 + 900.25 AS DOUBLE) AS y FROM grid")
 def q87(spark, d):
     x, y = geometry.pixel_centre(F.col("row"), F.col("col"), 30.0, 0.0, 100.5, 0.0, -30.0, 900.25)
-    shown = views.grid(spark, d).filter("value > 5").select("row", "col", x.alias("x"), y.alias("y"))
+    shown = views.grid(spark, d).select("row", "col", x.alias("x"), y.alias("y"))
     back = geometry.pixel_of(F.col("x"), F.col("y"), 30.0, 100.5, -30.0, 900.25)
     return shown.filter((back[0] == F.col("row")) & (back[1] == F.col("col")))
 

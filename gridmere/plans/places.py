@@ -25,10 +25,12 @@ def q39(spark, d):
     return found.groupBy("poly").agg(F.count("point_id").alias("n"), F.round(F.coalesce(F.sum("area_ha"), F.lit(0.0)), 4).alias("area_sum"))
 
 
-@query("q40_semi_anti_spatial", f"""WITH {views.PAIRS} SELECT point_id, EXISTS (SELECT 1 FROM pairs p WHERE p.point_id = q.point_id AND poly < 10) AS found FROM points q WHERE point_id % 5 = 0""")
+@query("q40_semi_anti_spatial", f"""WITH {views.PAIRS} SELECT point_id, EXISTS (SELECT 1 FROM pairs p WHERE p.point_id = q.point_id AND area_ha > 20) AS found FROM points q""")
 def q40(spark, d):
-    some, polys = views.points(spark, d).filter("point_id % 5 = 0"), views.polys(spark, d).filter("poly < 10").select("poly", "ring")
-    semi, anti = (spatial.within_join(some, polys, SIDE, how) for how in ("left_semi", "left_anti"))
+    some, polys = views.points(spark, d), views.polys(spark, d).select("poly", "ring")
+    large = some.filter("area_ha > 20")
+    semi = spatial.within_join(large, polys, SIDE, "left_semi")
+    anti = spatial.within_join(large, polys, SIDE, "left_anti").unionByName(some.filter("area_ha <= 20 OR area_ha IS NULL"))
     return semi.select("point_id", F.lit(True).alias("found")).unionByName(anti.select("point_id", F.lit(False).alias("found")))
 
 
@@ -131,10 +133,10 @@ def q50(spark, d):
 
 
 @query("q60_near_polys", f"""WITH {views.PAIRS}, g AS (SELECT point_id, poly, min(CASE WHEN t < 0 THEN sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) WHEN t > 1 THEN sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) ELSE abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) END) AS apart
-    FROM (SELECT *, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS t FROM points JOIN edges ON poly < 6 AND point_id % 7 = 0) GROUP BY point_id, poly)
+    FROM (SELECT *, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS t FROM points CROSS JOIN edges) GROUP BY point_id, poly)
   SELECT g.poly, count(*) AS within_reach, count(*) FILTER (WHERE q.point_id IS NULL) AS in_ring FROM g LEFT JOIN pairs q USING (point_id, poly) WHERE q.point_id IS NOT NULL OR apart <= 12.3 GROUP BY g.poly""")
 def q60(spark, d):
-    near = spatial.near_join(views.points(spark, d).filter("point_id % 7 = 0"), views.polys(spark, d).filter("poly < 6").select("poly", "ring"), SIDE, 12.3)
+    near = spatial.near_join(views.points(spark, d), views.polys(spark, d).select("poly", "ring"), SIDE, 12.3)
     return near.groupBy("poly").agg(F.count(F.lit(1)).alias("within_reach"), F.count_if(F.col("apart") > 0).alias("in_ring"))
 
 
@@ -144,11 +146,13 @@ def q61(spark, d):
     return spatial.zonal_classes(cells, views.polys(spark, d, 0.5).select("poly", "ring"), SIDE / 2, "poly").select("poly", "value", "n", r6("share", "share"))
 
 
-@query("q62_nearest_many", f"""WITH {views.POINTS}, a AS (SELECT * FROM points WHERE point_id % 50 = 1), b AS (SELECT point_id AS target_id, x AS tx, y AS ty FROM points WHERE point_id % 9 = 0)
+@query("q62_nearest_many", f"""WITH {views.POINTS}, a AS (SELECT * FROM points), b AS (SELECT c_custkey AS target_id, CAST(c_custkey * 37 % 5000 AS DOUBLE) AS tx, CAST(c_custkey * 91 % 997 AS DOUBLE) AS ty FROM customer)
   SELECT point_id, target_id, round(sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)), 6) AS apart FROM a CROSS JOIN b QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY (x - tx) * (x - tx) + (y - ty) * (y - ty), target_id) = 1""")
 def q62(spark, d):
     p = views.points(spark, d)
-    found = spatial.nearest(p.filter("point_id % 50 = 1"), p.filter("point_id % 9 = 0").select(F.col("point_id").alias("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), 30.0)
+    k = F.col("c_custkey")
+    targets = parquet_table(spark, d, "customer").select(k.alias("target_id"), (k * 37 % 5000).cast("double").alias("tx"), (k * 91 % 997).cast("double").alias("ty"))
+    found = spatial.nearest(p, targets, 30.0)
     return found.select("point_id", "target_id", r6("apart", "apart"))
 
 

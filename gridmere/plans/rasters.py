@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import objects, raster, reshape, spatial, statistics, tiling
+from ..sources.storage import cut
 from . import views
 from .registry import query, r6
 
@@ -71,10 +72,10 @@ def _merged_sql(near: str, variant: str) -> str:
 
 @query("q29_border_merge", f"{_FRAGMENTS} {_merged_sql(_NEAR8, 'diagonal')} UNION ALL {_merged_sql(_NEAR4, 'offset')}")
 def q29(spark, d):
-    fragments = _fragments(spark, d)
+    fragments, _ = cut(_fragments(spark, d))
     out = []
     for name, diagonal in (("diagonal", True), ("offset", False)):
-        whole = raster.merged(fragments, raster.contacts(fragments, 8, diagonal))
+        whole = raster.merged(fragments, raster.contacts(fragments, 8, diagonal, TILE))
         out.append(whole.groupBy(F.lit(name).alias("variant"), "object").agg(F.count(F.lit(1)).alias("n_cells"), F.max("value").alias("value_max")))
     return reshape.stacked(*out)
 
@@ -163,10 +164,10 @@ def q51(spark, d):
     return split.select(*(r6(c, c) if "mean" in c else F.col(c).cast("double").alias(c) if "area" in c else F.col(c) for c in split.columns))
 
 
-@query("q52_resample", f"""WITH {views.GRID}, up AS (SELECT row * 3 + a AS row, col * 3 + b AS col, value FROM grid CROSS JOIN (SELECT unnest(range(0, 3)) AS a) CROSS JOIN (SELECT unnest(range(0, 3)) AS b) WHERE row < 40)
+@query("q52_resample", f"""WITH {views.GRID}, up AS (SELECT row * 3 + a AS row, col * 3 + b AS col, value FROM grid CROSS JOIN (SELECT unnest(range(0, 3)) AS a) CROSS JOIN (SELECT unnest(range(0, 3)) AS b))
   SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM up GROUP BY ALL""")
 def q52(spark, d):
-    return raster.resampled_down(raster.resampled_up(views.grid(spark, d).filter("row < 40"), 3), 2)
+    return raster.resampled_down(raster.resampled_up(views.grid(spark, d), 3), 2)
 
 
 @query("q53_tile_index", """WITH r AS (SELECT DISTINCT s FROM (SELECT unnest(range(0, 1000 - 128 + 1, 112)) AS s UNION ALL SELECT 1000 - 128)), c AS (SELECT DISTINCT s FROM (SELECT unnest(range(0, 700 - 128 + 1, 112)) AS s UNION ALL SELECT 700 - 128)),
@@ -207,11 +208,11 @@ def q55(spark, d):
     return objects.greedy_matches(met)
 
 
-@query("q56_nearest_fill", f"""WITH {views.GRID}, k AS (SELECT * FROM grid WHERE value > 2), m AS (SELECT * FROM grid WHERE value <= 2 AND row < 60),
-  n AS (SELECT m.row, m.col, k.value, row_number() OVER (PARTITION BY m.row, m.col ORDER BY (m.row - k.row) * (m.row - k.row) + (m.col - k.col) * (m.col - k.col), k.row, k.col) AS p FROM m JOIN k ON k.row < 60)
-  SELECT row, col, CAST(value AS BIGINT) AS value FROM n WHERE p = 1 UNION ALL SELECT row, col, CAST(value AS BIGINT) FROM k WHERE row < 60""")
+@query("q56_nearest_fill", f"""WITH {views.GRID}, k AS (SELECT * FROM grid WHERE value > 2), m AS (SELECT * FROM grid WHERE value <= 2),
+  n AS (SELECT m.row, m.col, k.value, row_number() OVER (PARTITION BY m.row, m.col ORDER BY (m.row - k.row) * (m.row - k.row) + (m.col - k.col) * (m.col - k.col), k.row, k.col) AS p FROM m CROSS JOIN k)
+  SELECT row, col, CAST(value AS BIGINT) AS value FROM n WHERE p = 1 UNION ALL SELECT row, col, CAST(value AS BIGINT) FROM k""")
 def q56(spark, d):
-    g = views.grid(spark, d).filter("row < 60")
+    g = views.grid(spark, d)
     return spatial.nearest_fill(g.select("row", "col", F.when(F.col("value") > 2, F.col("value")).alias("value")))
 
 
