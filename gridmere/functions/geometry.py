@@ -6,6 +6,7 @@ outline. Points are two columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import atan, cos, log, pi, sin, sqrt
 
 from pyspark.sql import Column
@@ -152,6 +153,60 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.when(within(x, y, ring), 0.0).otherwise(F.array_min(edges))
 
 
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value computed once however often make() names it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
+def _half(axis: str, level: Column, sign: int) -> Callable[[Column], Column]:
+    """Makes the part of a ring on one side of a level; an empty array if there is none."""
+
+    def make(ring: Column) -> Column:
+        def part(i: Column) -> Column:
+            p, q = F.get(ring, i), F.get(ring, i + 1)
+            a, b = sign * (p[axis] - level), sign * (q[axis] - level)
+
+            def at(name: str) -> Column:
+                return (level if name == axis else p[name] + F.try_divide(a, a - b) * (q[name] - p[name])).alias(name)
+
+            cut = F.struct(at("x"), at("y"))
+            return F.when((a >= 0) & (a * b < 0), F.array(p, cut)).when(a >= 0, F.array(p)).when(a * b < 0, F.array(cut)).otherwise(F.slice(F.array(cut), 1, 0))
+
+        return _once(F.flatten(F.transform(_segments(ring), part)), lambda points: F.concat(points, F.slice(points, 1, 1)))
+
+    return make
+
+
+def clipped(ring: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
+    """The part of a ring inside a box, closed, cut by one side after the other. A part in several pieces comes as one ring
+    with edges along the box's sides, which add no area; nothing inside gives an empty array."""
+    for axis, level, sign in (("x", x_min, 1), ("x", x_max, -1), ("y", y_min, 1), ("y", y_max, -1)):
+        ring = _once(ring, _half(axis, level.cast("double"), sign))
+    return ring
+
+
+def box_area(ring: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
+    """Area of a ring inside a box."""
+    return _once(clipped(ring, x_min, y_min, x_max, y_max), lambda r: F.when(F.size(r) < 4, 0.0).otherwise(F.abs(ring_area(r))))
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether the areas of two rings share a point: edges meet, or one holds a corner of the other."""
+
+    def turn(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+    def meet(i: Column, j: Column) -> Column:
+        p, q, r, s = F.get(a, i), F.get(a, i + 1), F.get(b, j), F.get(b, j + 1)
+        boxes = F.lit(True)
+        for axis in ("x", "y"):
+            boxes = boxes & (F.greatest(p[axis], q[axis]) >= F.least(r[axis], s[axis])) & (F.greatest(r[axis], s[axis]) >= F.least(p[axis], q[axis]))
+        return boxes & (turn(p, q, r) * turn(p, q, s) <= 0) & (turn(r, s, p) * turn(r, s, q) <= 0)
+
+    edges = F.exists(_segments(a), lambda i: F.exists(_segments(b), lambda j: meet(i, j)))
+    return edges | within(F.get(a, 0)["x"], F.get(a, 0)["y"], b) | within(F.get(b, 0)["x"], F.get(b, 0)["y"], a)
+
+
 def hex_cell(x: Column, y: Column, size_x: float, size_y: float, x0: float = 0.0, y0: float = 0.0) -> tuple[Column, Column, Column]:
     """Centre of the hexagonal bin and its lattice (0 or 1): the nearer of two rectangular lattices' points; of equally
     near ones, the first lattice's."""

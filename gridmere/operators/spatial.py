@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
+from ..sources.storage import cut
 
 
 def squares(side: float, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> tuple[Column, Column]:
@@ -58,6 +59,30 @@ def near_join(points: DataFrame, polygons: DataFrame, side: float, distance: flo
     return pairs.withColumn("apart", geometry.ring_distance(F.col("x"), F.col("y"), F.col(ring))).filter(F.col("apart") <= distance)
 
 
+def around_join(points: DataFrame, polygons: DataFrame, side: float, distance: float, ring: str = "ring") -> DataFrame:
+    """Points within a distance of polygons but outside them: in the ring that a buffer leaves without its object."""
+    return near_join(points, polygons, side, distance, ring).filter(F.col("apart") > 0)
+
+
+def overlapping(first: DataFrame, second: DataFrame, side: float, rings: tuple[str, str] = ("ring", "other_ring"), keep: Column | None = None) -> DataFrame:
+    """Pairs of polygons whose areas share a point (or for which `keep` holds), with all columns of both, whose names must
+    differ. A pair that meets in several squares counts in the first of them."""
+    a, b = (spread(df, side, geometry.bounds(F.col(r))) for df, r in zip((first, second), rings))
+    low, other = geometry.bounds(F.col(rings[0])), geometry.bounds(F.col(rings[1]))
+    once = [F.col(f"_g{c}") == F.floor(F.greatest(low[f"{c}_min"], other[f"{c}_min"]) / side) for c in "xy"]
+    met = a.join(b, ["_gx", "_gy"]).filter(once[0] & once[1])
+    return met.filter(geometry.rings_meet(F.col(rings[0]), F.col(rings[1])) if keep is None else keep).drop("_gx", "_gy")
+
+
+def clipped(polygons: DataFrame, boxes: DataFrame, side: float, ring: str = "ring") -> DataFrame:
+    """Polygons cut by boxes (columns x_min, y_min, x_max, y_max): a row for each pair that shares some area."""
+    box = [F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]
+    corners = F.array(*(F.struct(box[i].cast("double").alias("x"), box[j].cast("double").alias("y")) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))))
+    met = overlapping(polygons, boxes.withColumn("_box", corners), side, (ring, "_box"), F.lit(True)).drop("_box")
+    inside = met.withColumn(ring, geometry.clipped(F.col(ring), *box))
+    return inside.filter((F.size(ring) >= 4) & (geometry.ring_area(F.col(ring)) != 0))
+
+
 def touching(points: DataFrame, polygons: DataFrame, side: float, half: float, ring: str = "ring") -> DataFrame:
     """Squares about points (half a side each way) with the polygons whose area they share a point with: the centre or a
     corner is within, or an edge of the ring meets the square."""
@@ -79,17 +104,23 @@ def touching(points: DataFrame, polygons: DataFrame, side: float, half: float, r
     return pairs.filter(geometry.within(x, y, F.col(ring)) | edge)
 
 
+def _diagonal(points: DataFrame, targets: DataFrame) -> float:
+    """Diagonal of the box around all points and targets."""
+    places = points.select("x", "y").union(targets.select("tx", "ty")).filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    width, height = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    return math.hypot(width or 0, height or 0)
+
+
 def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4, point_key: str = "point_id", target_key: str = "target_id") -> DataFrame:
     """(point_key, target_key, apart): each point's nearest target (columns tx, ty), the least key of equally near ones.
 
     A ring search: a point looks into the squares around its own, first next to it, then farther, and is done when
     its best find is nearer than the border of what it has seen. The squares grow fourfold each round, for `rounds` rounds
     and on until one square is as long as the diagonal of all points and targets, so that every point has a row if there
-    is a target.
+    is a target. Each round is written, and the search ends when no point is open.
     """
-    places = points.select("x", "y").union(targets.select("tx", "ty")).filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
-    width, height = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    while side * 4 ** (rounds - 1) <= 1.001 * math.hypot(width or 0, height or 0):
+    diagonal = _diagonal(points, targets)
+    while side * 4 ** (rounds - 1) <= 1.001 * diagonal:
         rounds += 1
     goals = targets.select(target_key, "tx", "ty", F.floor(F.col("tx") / side).alias("_gx"), F.floor(F.col("ty") / side).alias("_gy"))
     open_, done, scale = points.select(point_key, "x", "y"), None, 1
@@ -101,13 +132,44 @@ def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4,
         pairs = sent.withColumns({"_gx": F.col("cx") + F.col("dx"), "_gy": F.col("cy") + F.col("dy")}).join(coarse, ["_gx", "_gy"], "left").withColumn("apart", apart)
         edge = F.least(F.col("x") - (F.col("cx") - 1) * side * scale, (F.col("cx") + 2) * side * scale - F.col("x"), F.col("y") - (F.col("cy") - 1) * side * scale, (F.col("cy") + 2) * side * scale - F.col("y"))
         best = pairs.groupBy(point_key, "x", "y").agg(F.min(F.when(F.col("apart").isNotNull(), F.struct("apart", target_key))).alias("best"), F.min(edge).alias("edge"))
+        best, _ = cut(best)  # the next round goes on from here
         sure = best.filter(F.col("best.apart") <= F.col("edge")).select(point_key, F.col(f"best.{target_key}").alias(target_key), F.col("best.apart").alias("apart"))
         done = sure if done is None else done.unionByName(sure)
         open_ = best.filter(F.col("best").isNull() | (F.col("best.apart") > F.col("edge"))).select(point_key, "x", "y")
+        if open_.isEmpty():
+            break
         scale *= 4
     return done
 
 
+def nearest_polygon(points: DataFrame, polygons: DataFrame, side: float, point_key: str = "point_id", key: str = "poly", ring: str = "ring") -> DataFrame:
+    """(point_key, key, apart): each point's nearest polygon, at distance 0 inside it, the least key of equally near ones.
+
+    nearest() over corners, and points along the edges a side apart at most, tells how far each point has to look. Points
+    and polygons then meet in squares as long as that, of which there are nine around a point; squares come in sides
+    that grow fourfold up to the extent, so that a polygon is sent to few more than its smallest squares.
+    """
+    i = F.sequence(F.lit(0), F.size(ring) - 2)
+    edges = polygons.select(F.col(key).alias("target_id"), F.explode(F.transform(i, lambda k: F.struct(F.get(ring, k).alias("p"), F.get(ring, k + 1).alias("q")))).alias("e"))
+    steps = F.greatest(F.ceil(F.hypot(F.col("e.q.x") - F.col("e.p.x"), F.col("e.q.y") - F.col("e.p.y")) / side), F.lit(1))
+    marks = edges.select("*", steps.alias("n")).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: k / F.col("n"))).alias("t"))
+    targets = marks.select("target_id", *((F.col(f"e.p.{c}") + F.col("t") * (F.col(f"e.q.{c}") - F.col(f"e.p.{c}"))).alias(f"t{c}") for c in "xy"))
+    reach = nearest(points, targets, side, point_key=point_key).select(point_key, F.greatest(F.ceil(F.log(4.0, F.col("apart") / side)), F.lit(0)).alias("level"))
+    reach = reach.withColumn("level", F.coalesce(F.col("level"), F.lit(0)).cast("int"))  # apart 0 has no logarithm
+    levels = math.ceil(math.log(max(1.0, _diagonal(points, targets) / side), 4)) + 1
+    long = F.lit(side) * F.pow(F.lit(4.0), F.col("level"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    looking = points.select(point_key, "x", "y").join(reach, point_key).select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+    looking = looking.select(point_key, "x", "y", "level", (F.floor(F.col("x") / long) + F.col("dx")).alias("_gx"), (F.floor(F.col("y") / long) + F.col("dy")).alias("_gy"))
+    box = geometry.bounds(F.col(ring))
+    sent = polygons.select(F.col(key).alias("_key"), F.col(ring).alias("_ring"), *(c.alias(f"_{n}") for n, c in box.items())).select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    for axis in "xy":
+        sent = sent.select("*", F.explode(F.sequence(F.floor(F.col(f"_{axis}_min") / long), F.floor(F.col(f"_{axis}_max") / long))).alias(f"_g{axis}"))
+    pairs = looking.join(sent, ["level", "_gx", "_gy"]).select(point_key, "_key", geometry.ring_distance(F.col("x"), F.col("y"), F.col("_ring")).alias("apart"))
+    best = pairs.groupBy(point_key).agg(F.min(F.struct("apart", "_key")).alias("b"))
+    return best.select(point_key, F.col("b._key").alias(key), F.col("b.apart").alias("apart"))
+
+
 def nearest_small(points: DataFrame, targets: DataFrame, point_key: str = "point_id", target_key: str = "target_id", most: int = 10_000) -> DataFrame:
     """As nearest(), for a target table of a checked size: each point looks at all targets, in one broadcast array."""
     n = targets.limit(most + 1).count()
@@ -194,6 +256,15 @@ def coverage(cells: DataFrame, polygons: DataFrame, side: float, key: str, parts
     return within_join(sub, polygons, side).groupBy(key, "row", "col").agg((F.count(F.lit(1)) / (parts * parts)).alias("share"))
 
 
+def fractions(cells: DataFrame, polygons: DataFrame, side: float, key: str, ring: str = "ring") -> DataFrame:
+    """(key, row, col, share): exact share of each cell (a unit square from (col, row) on) inside each polygon that covers
+    any of it."""
+    centres = cells.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
+    pairs = placed(centres, side).join(spread(polygons.select(key, ring), side, geometry.bounds(F.col(ring)), 0.5), ["_gx", "_gy"])
+    share = geometry.box_area(F.col(ring), F.col("col"), F.col("row"), F.col("col") + 1, F.col("row") + 1)
+    return pairs.select(key, "row", "col", share.alias("share")).filter(F.col("share") > 0)
+
+
 def first_match(pairs: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key, the first in an order."""
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")

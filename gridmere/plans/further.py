@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import geometry, scalars
 from ..operators import raster, reshape, series, spatial, statistics, tiling
 from ..sources.storage import parquet_table
 from . import views
@@ -100,3 +100,72 @@ def q102(spark, d):
     full = tiling.full_tiles(views.grid(spark, d), 10, 4)
     drawn = tiling.drawn_tiles(full, 1_000_000, 7)  # more than there are: all that are full
     return full.agg(F.count(F.lit(1)).alias("fit")).crossJoin(drawn.agg(F.count(F.lit(1)).alias("drawn"))).select("drawn", "fit")
+
+
+def _shared_area(boxes: str, edges: str, key: str, digits: int) -> str:
+    """SQL for the area of polygons inside boxes (x0, y0, w, h): the integral under each edge, between the box's sides."""
+    below = "CASE WHEN {0} <= 0 THEN 0 WHEN {0} >= h THEN h * {0} - h * h / 2 ELSE {0} * {0} / 2 END"
+    return f"""s AS (SELECT poly, {key}, y0, h, x1, y1, x2, y2, greatest(x0, least(x0 + w, x1)) AS a, greatest(x0, least(x0 + w, x2)) AS b FROM {edges} CROSS JOIN {boxes} WHERE x1 <> x2),
+  t AS (SELECT poly, {key}, h, b - a AS w, y1 + (y2 - y1) * (a - x1) / (x2 - x1) - y0 AS u, y1 + (y2 - y1) * (b - x1) / (x2 - x1) - y0 AS v FROM s WHERE a <> b),
+  p AS (SELECT poly, {key}, abs(sum(w * CASE WHEN abs(v - u) < 1e-12 THEN greatest(0, least(h, u)) ELSE ({below.format("v")} - {below.format("u")}) / (v - u) END)) AS area FROM t GROUP BY poly, {key})
+  SELECT poly, {key}, round(area, {digits}) AS area FROM p WHERE area > 1e-6"""
+
+
+@query("q103_fractions", f"WITH {views.POLYS}, small AS (SELECT poly, x1 / 17.3 AS x1, y1 / 17.3 AS y1, x2 / 17.3 AS x2, y2 / 17.3 AS y2 FROM edges), boxes AS (SELECT i // 60 AS row, i % 60 AS col, i % 60 AS x0, i // 60 AS y0, 1.0::DOUBLE AS w, 1.0::DOUBLE AS h FROM range(3600) r(i)), " + _shared_area("boxes", "small", "row, col", 5))
+def q103(spark, d):
+    i = F.col("id")
+    cells = spark.range(3600).select(F.floor(i / 60).alias("row"), (i % 60).alias("col"))
+    found = spatial.fractions(cells, views.polys(spark, d, 1 / 17.3), SIDE / 17.3, "poly")
+    return found.filter("share > 1e-6").select("poly", "row", "col", F.round("share", 5).alias("area"))
+
+
+@query("q104_clipped_polygons", f"WITH {views.POLYS}, {views.SEGMENTS}, boxes AS (SELECT id, x1 AS x0, y1 AS y0, 70.0::DOUBLE AS w, 50.0::DOUBLE AS h FROM segments), " + _shared_area("boxes", "edges", "id", 4))
+def q104(spark, d):
+    boxes = views.segments(spark, d).select("id", F.col("x1").alias("x_min"), F.col("y1").alias("y_min"), (F.col("x1") + 70).alias("x_max"), (F.col("y1") + 50).alias("y_max"))
+    cut = spatial.clipped(views.polys(spark, d), boxes, SIDE)
+    return cut.select("poly", "id", F.abs(geometry.ring_area(F.col("ring"))).alias("area")).filter("area > 1e-6").withColumn("area", F.round("area", 4))
+
+
+_TURN = "sign(({1}.x - {0}.x) * ({2}.y - {0}.y) - ({1}.y - {0}.y) * ({2}.x - {0}.x))"
+_IN = "(e.y1 > c.y) <> (e.y2 > c.y) AND c.x < (e.x2 - e.x1) * (c.y - e.y1) / (e.y2 - e.y1) + e.x1"
+
+
+@query("q105_overlapping_polygons", f"""WITH {views.POLYS}, {views.SEGMENTS},
+  sides AS (SELECT id, unnest([x1, x2, x1 + 31]) AS x1, unnest([y1, y2, y1 + 17]) AS y1, unnest([x2, x1 + 31, x1]) AS x2, unnest([y2, y1 + 17, y1]) AS y2 FROM segments),
+  m AS (SELECT id, poly, {{'x': s.x1, 'y': s.y1}} AS p, {{'x': s.x2, 'y': s.y2}} AS q, {{'x': e.x1::DOUBLE, 'y': e.y1::DOUBLE}} AS r, {{'x': e.x2::DOUBLE, 'y': e.y2::DOUBLE}} AS z FROM sides s CROSS JOIN edges e
+    WHERE greatest(s.x1, s.x2) >= least(e.x1, e.x2) AND greatest(e.x1, e.x2) >= least(s.x1, s.x2) AND greatest(s.y1, s.y2) >= least(e.y1, e.y2) AND greatest(e.y1, e.y2) >= least(s.y1, s.y2))
+  SELECT id, poly FROM m WHERE {_TURN.format("p", "q", "r")} * {_TURN.format("p", "q", "z")} <= 0 AND {_TURN.format("r", "z", "p")} * {_TURN.format("r", "z", "q")} <= 0
+  UNION SELECT c.id, e.poly FROM (SELECT id, x1 AS x, y1 AS y FROM segments) c JOIN edges e ON {_IN} GROUP BY c.id, e.poly HAVING count(*) % 2 = 1
+  UNION SELECT e.id, c.poly FROM (SELECT poly, min_by(x1, y1) AS x, min(y1) AS y FROM edges GROUP BY poly) c JOIN sides e ON {_IN} GROUP BY e.id, c.poly HAVING count(*) % 2 = 1""")
+def q105(spark, d):
+    x, y = F.col("x1"), F.col("y1")
+    corners = ((x, y), (F.col("x2"), F.col("y2")), (x + 31, y + 17), (x, y))
+    triangles = views.segments(spark, d).select("id", F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in corners)).alias("other_ring"))
+    return spatial.overlapping(views.polys(spark, d), triangles, SIDE).select("id", "poly")
+
+
+#: Points spread wider than the polygons, with no symmetry that makes two of them equally near.
+_WIDE = "wide AS (SELECT point_id, x * 3.0137 - 700.31 AS x, y * 2.9871 - 600.17 AS y FROM points)"
+_APART = """d AS (SELECT point_id, poly, min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)) AS apart, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 AS inside
+    FROM (SELECT *, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM wide CROSS JOIN edges) GROUP BY ALL)"""
+
+
+def _wide(spark, d):
+    return views.points(spark, d).select("point_id", (F.col("x") * 3.0137 - 700.31).alias("x"), (F.col("y") * 2.9871 - 600.17).alias("y"))
+
+
+@query("q106_buffer_ring", f"WITH {views.POINTS}, {views.POLYS}, {_WIDE}, {_APART} SELECT point_id, poly, round(apart, 6) AS apart FROM d WHERE NOT inside AND apart <= 41.7")
+def q106(spark, d):
+    return spatial.around_join(_wide(spark, d), views.polys(spark, d), SIDE, 41.7).select("point_id", "poly", r6("apart", "apart"))
+
+
+@query("q107_nearest_polygon", f"""WITH {views.POINTS}, {views.POLYS}, {_WIDE}, {_APART}, f AS (SELECT point_id, poly, CASE WHEN inside THEN 0 ELSE apart END AS apart FROM d)
+  SELECT point_id, arg_min(poly, apart) AS poly, round(min(apart), 6) AS apart FROM f GROUP BY point_id""")
+def q107(spark, d):
+    return spatial.nearest_polygon(_wide(spark, d), views.polys(spark, d), 50.0).select("point_id", "poly", r6("apart", "apart"))
+
+
+@query("q108_area_units", "SELECT l_orderkey, l_linenumber, l_quantity * 100 AS square_metres, l_quantity / 10000 AS square_km FROM lineitem")
+def q108(spark, d):
+    pixels = F.col("l_quantity").cast("double")
+    return parquet_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.square_metres(pixels).alias("square_metres"), scalars.square_km(pixels).alias("square_km"))

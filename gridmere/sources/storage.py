@@ -59,11 +59,14 @@ def json_labels(spark: SparkSession, path: str) -> DataFrame:
     return records.filter(~F.coalesce("Skipped", F.lit(False))).select("ID", F.explode(F.transform("Label.objects", lambda o: o["instanceURI"])).alias("uri"))
 
 
-def geojson(spark: SparkSession, path: str, properties: str = "") -> DataFrame:
-    """(properties..., part, rings) of the polygons and multipolygons of a feature collection."""
-    geometry = "geometry struct<type: string, coordinates: string>"
-    schema = f"features array<struct<properties: struct<{properties or 'none: string'}>, {geometry}>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+def geojson(spark: SparkSession, path: str, properties: str = "", lines: bool = False) -> DataFrame:
+    """(properties..., part, rings) of the polygons and multipolygons of a feature collection, or with `lines` of files of
+    one feature a line, which can be split among tasks."""
+    feature = f"properties struct<{properties or 'none: string'}>, geometry struct<type: string, coordinates: string>"
+    if lines:
+        features = spark.read.schema(feature).json(path).select(F.struct("properties", "geometry").alias("f"))
+    else:
+        features = spark.read.schema(f"features array<struct<{feature}>>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     single, multi = "array<array<array<double>>>", "array<array<array<array<double>>>>"
     text = F.col("f.geometry.coordinates")
     parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(text, single))).when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(text, multi))
@@ -71,6 +74,21 @@ def geojson(spark: SparkSession, path: str, properties: str = "") -> DataFrame:
     return features.select("f.properties.*", F.posexplode(parts).alias("part", "rings")).withColumn("rings", rings)
 
 
+def write_geojson(polygons: DataFrame, path: str, ring: str = "ring") -> None:
+    """A folder of files with one polygon feature a line; all other columns are properties."""
+    names = [c for c in polygons.columns if c != ring]
+    outline = F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    shape = F.struct(F.lit("Polygon").alias("type"), outline.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*names).alias("properties"), shape.alias("geometry"))
+    polygons.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime) of the files that a path or pattern names, in the order of their paths; nothing of
+    what they hold is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").orderBy("path")
+
+
 def in_box(df: DataFrame, x_min: float, y_min: float, x_max: float, y_max: float) -> DataFrame:
     """Rows whose box columns meet a box; plain comparisons that reach the parquet scan."""
     return df.filter((F.col("x_max") >= x_min) & (F.col("x_min") <= x_max) & (F.col("y_max") >= y_min) & (F.col("y_min") <= y_max))

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridmere.functions import geometry
 from gridmere.functions.geometry import t_quantile
 from gridmere.operators import raster, series, spatial, statistics
 
@@ -65,3 +66,33 @@ def test_scores_of_probabilities_fall_in_many_blocks(spark):
     r = rows[0.5]
     tp = sum(1 for i in range(1000, 2000) if i % 3 == 0)
     assert r["tp"] == tp and abs(r["precision"] - tp / 1000) < 1e-12 and abs(r["recall"] - tp / 667) < 1e-12
+
+
+RINGS = "array<struct<x: double, y: double>>"
+
+
+def _ring(*points):
+    return [{"x": float(x), "y": float(y)} for x, y in [*points, points[0]]]
+
+
+def test_clip_of_a_ring_with_a_notch(spark):
+    """The box cuts a U-shaped ring into two pieces; their area is right, and what is outside goes."""
+    u = _ring((0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10))
+    shapes = spark.createDataFrame([(1, u)], f"poly int, ring {RINGS}")
+    boxes = spark.createDataFrame([("top", 1.0, 5.0, 9.0, 9.0), ("notch", 4.0, 4.0, 6.0, 9.0), ("all", -1.0, -1.0, 11.0, 11.0), ("far", 50.0, 50.0, 60.0, 60.0)], "id string, x_min double, y_min double, x_max double, y_max double")
+    area = F.abs(geometry.ring_area(F.col("ring"))).alias("area")
+    for side in (3.0, 100.0):
+        assert {r["id"]: r["area"] for r in spatial.clipped(shapes, boxes, side).select("id", area).collect()} == {"top": 16.0, "all": 72.0}
+
+
+def test_overlapping_polygons_once_each(spark):
+    a = spark.createDataFrame([(1, _ring((0, 0), (10, 0), (10, 10), (0, 10)))], f"a int, ring {RINGS}")
+    b = spark.createDataFrame([(1, _ring((2, 2), (3, 2), (3, 3))), (2, _ring((-5, -5), (20, -5), (20, 20), (-5, 20))), (3, _ring((10, 10), (12, 10), (12, 12))), (4, _ring((11, 0), (12, 0), (12, 5))), (5, _ring((5, -5), (6, -5), (6, 15)))], f"b int, other_ring {RINGS}")
+    assert sorted(r["b"] for r in spatial.overlapping(a, b, 2.0).collect()) == [1, 2, 3, 5]  # within, around, a shared corner, across
+
+
+def test_nearest_polygon_has_a_row_for_every_point(spark):
+    shapes = spark.createDataFrame([(1, _ring((0, 0), (400, 0), (400, 1), (0, 1))), (2, _ring((0, 50), (1, 50), (1, 51)))], f"poly int, ring {RINGS}")
+    points = spark.createDataFrame([(1, 200.0, 0.5), (2, 200.0, 30.0), (3, 0.5, 30.0), (4, 3000.0, 0.0), (5, 0.0, 0.0)], "point_id int, x double, y double")
+    got = {r["point_id"]: (r["poly"], round(r["apart"], 6)) for r in spatial.nearest_polygon(points, shapes, 5.0).collect()}
+    assert got == {1: (1, 0.0), 2: (1, 29.0), 3: (2, 20.0), 4: (1, 2600.0), 5: (1, 0.0)}

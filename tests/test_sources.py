@@ -86,3 +86,19 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second start finds nothing to do
         events.resumable(source(), lambda b: b.groupBy("event_type").count(), out, mark).awaitTermination()
     assert spark.read.parquet(out).agg(F.sum("count")).first()[0] == table.count()
+
+
+def test_geojson_lines_round_trip(spark, tmp_path):
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.5), (0.0, 0.0))]
+    shapes = spark.createDataFrame([(1, "a", ring), (2, None, ring[::-1])], "id int, name string, ring array<struct<x: double, y: double>>")
+    storage.write_geojson(shapes, str(tmp_path / "shapes"))
+    got = storage.geojson(spark, str(tmp_path / "shapes"), "id: int, name: string", lines=True).orderBy("id").collect()
+    assert [(r["id"], r["name"], r["part"]) for r in got] == [(1, "a", 0), (2, None, 0)]
+    assert [[(p["x"], p["y"]) for p in r["rings"][0]] for r in got] == [[(p["x"], p["y"]) for p in r] for r in (ring, ring[::-1])]
+
+
+def test_files_are_listed_in_order(spark, tmp_path):
+    for name in ("b.bin", "a.bin", "c.txt"):
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    got = storage.listed(spark, str(tmp_path / "*.bin")).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in got] == [("a.bin", 15), ("b.bin", 15)]
