@@ -275,9 +275,10 @@ def offset_curves(polygons: DataFrame, key: str, distance: float, quarter: int,
     is positive just where the buffer is: it adds the ring, a strip of each edge and a sector of each such corner."""
     named = polygons.select(F.col(key).alias("grp"), F.posexplode(rings).alias("_at", "ring"))
     corners = F.filter("ring", lambda p, i: (i == 0) | (F.get("ring", i - 1)["x"] != p["x"]) | (F.get("ring", i - 1)["y"] != p["y"]))
-    flat = named.select("grp", "_at", corners.alias("ring")).filter(F.size("ring") >= 4)
+    # each ring goes through explode, so that what is done with its corners does not make it anew for each of them
+    flat = named.select("grp", "_at", F.explode(F.array(corners)).alias("ring")).filter(F.size("ring") >= 4)
     area = geometry.ring_area(F.col("ring"))
-    turned = flat.withColumn("ring", F.when((area > 0) == (F.col("_at") == 0), F.col("ring")).otherwise(F.reverse("ring")))
+    turned = flat.select("grp", F.explode(F.array(F.when((area > 0) == (F.col("_at") == 0), F.col("ring")).otherwise(F.reverse("ring")))).alias("ring"))
     n = F.size("ring") - 1
 
     def strip(i: Column) -> Column:
@@ -295,7 +296,7 @@ def offset_curves(polygons: DataFrame, key: str, distance: float, quarter: int,
         inward = F.array(on_arc(begin), F.struct(p["x"].alias("x"), p["y"].alias("y")), on_arc(begin + angle))
         return F.when(angle >= 0, arc).otherwise(inward)
 
-    curve = turned.select("grp", F.flatten(F.transform(F.sequence(F.lit(0), n - 1), strip)).alias("ring"))
+    curve = turned.select("grp", F.explode(F.array(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), strip)))).alias("curve")).withColumnRenamed("curve", "ring")
     closed = curve.select("grp", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
     return winding.edges_of(closed.select("grp", F.array("ring").alias("rings")), ["grp"])
 

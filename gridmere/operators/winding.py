@@ -81,31 +81,30 @@ def left_to_right(edges: DataFrame) -> DataFrame:
     return edges.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).withColumns(ends | {"w": F.when(back, -F.col("w")).otherwise(F.col("w"))})
 
 
-def _by_height(e: Column) -> tuple[Column, Column, Column, Column]:
-    up = e["y2"] > e["y1"]
-    return F.when(up, e["x1"]).otherwise(e["x2"]), F.least(e["y1"], e["y2"]), F.when(up, e["x2"]).otherwise(e["x1"]), F.greatest(e["y1"], e["y2"])
+def _side(e: Column, x: Column, y: Column) -> Column:
+    return turn(e["x1"], e["y1"], e["x2"], e["y2"], x, y)
 
 
 def _column(grid: Grid, e: Column, y: Column, side: Column | float) -> Column:
-    """The column whose left line is the last one left of the place where an edge crosses a height."""
-    bx, by, tx, ty = _by_height(e)
-    if not grid.whole:
-        return grid.number(bx + (y - by) * (tx - bx) / (ty - by), side)
-    over, rise = (y - by) * (tx - bx), F.when(ty > by, ty - by).otherwise(1)
-    rest = F.pmod(over, rise)
-    before = bx + F.round((over - rest) / rise).cast("long") - F.when(rest == 0, 1).otherwise(0)
-    return grid.number(before, side)
+    """The last column whose left line is left of the place where an edge crosses a height. The estimate is put right by
+    the test that points are held against, so that both agree to the last bit."""
+    near = grid.number(e["x1"] + (y - e["y1"]) * F.try_divide((e["x2"] - e["x1"]).cast("double"), (e["y2"] - e["y1"]).cast("double")), side)
 
+    def beyond(c: Column) -> Column:
+        at = _side(e, grid.line(c, side), y)
+        return F.when(e["y2"] > e["y1"], at > 0).otherwise(at < 0)
 
-def _counted(grid: Grid, edges: Column, y0: Column, gx: Column, side: Column | float, px: Column, py: Column, at: str) -> Column:
+    return F.when(~beyond(near), near - 1).when(beyond(near + 1), near + 1).otherwise(near)
+
+
+def _counted(edges: Column, x0: Column, y0: Column, px: Column, py: Column, at: str) -> Column:
     """Signed count of the edges on the way from a square's lower left corner to a point: along the line, then up. `at` says
     what an edge through the end of the way does: `beside` goes by its slope just right of it, `under` stops below it."""
 
     def add(acc: Column, e: Column) -> Column:
-        bx, by, tx, ty = _by_height(e)
         up = e["y2"] > e["y1"]
-        crosses = ((e["y1"] > y0) != (e["y2"] > y0)) & (_column(grid, e, y0, side) >= gx) & (turn(bx, by, tx, ty, px, y0) <= 0)
-        foot, head = turn(e["x1"], e["y1"], e["x2"], e["y2"], px, y0), turn(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
+        foot, head, corner = _side(e, px, y0), _side(e, px, py), _side(e, x0, y0)
+        crosses = ((e["y1"] > y0) != (e["y2"] > y0)) & F.when(up, (corner > 0) & (foot <= 0)).otherwise((corner < 0) & (foot >= 0))
         below = (head > 0) | ((head == 0) & (e["y2"] < e["y1"])) if at == "beside" else head > 0
         over = (e["x1"] <= px) & (e["x2"] > px) & ((foot < 0) | ((foot == 0) & up)) & below
         return acc + F.when(crosses, F.when(up, -e["w"]).otherwise(e["w"])).otherwise(0) + F.when(over, e["w"]).otherwise(0)
@@ -115,7 +114,7 @@ def _counted(grid: Grid, edges: Column, y0: Column, gx: Column, side: Column | f
 
 def _meets(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whether an edge may share a point with a box."""
-    sides = [turn(e["x1"], e["y1"], e["x2"], e["y2"], x, y) for x in (x0, x1) for y in (y0, y1)]
+    sides = [_side(e, x, y) for x in (x0, x1) for y in (y0, y1)]
     lowest, highest = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
     return (e["x1"] <= x1) & (e["x2"] >= x0) & (lowest <= y1) & (highest >= y0) & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
@@ -169,21 +168,28 @@ def crowds(edges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
 
 def _refined(found: DataFrame, keys: Sequence[str], grid: Grid, counted: bool = True) -> DataFrame:
     """Squares with many edges cut in 4 x 4, again and again; a square that nothing covers goes."""
-    out = None
     for level in range(grid.depth):
-        side, finer = grid.sides()[level], grid.sides()[level + 1]
-        done = found.filter(F.size("edges") <= grid.most)
-        out = done if out is None else out.unionByName(done)
-        sub = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct((F.col("_gx") * 4 + k % 4).alias("x"), (F.col("_gy") * 4 + F.floor(k / 4)).alias("y")))).alias("_sub")
-        # other names: in lambdas, a column's name would mean the new column of that name
-        cut = found.filter(F.size("edges") > grid.most).select(*keys, F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), F.col("base").alias("_base"), F.col("edges").alias("_edges"), sub)
-        x, y = grid.line(F.col("_sub.x"), finer), grid.line(F.col("_sub.y"), finer)
-        base = F.col("_base")
-        if counted:
-            base = base + _counted(grid, F.col("_edges"), grid.line(F.col("_oy"), side), F.col("_ox"), F.lit(side), x, y, "beside")
+        # other names: in lambdas, a column's name may mean a new column of that name
+        now = found.select(*keys, F.col("level").alias("_l"), F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), F.col("base").alias("_base"), F.col("edges").alias("_edges"))
+        whole = F.struct(F.col("_l").alias("level"), F.col("_ox").alias("_gx"), F.col("_oy").alias("_gy"), F.col("_base").alias("base"), F.col("_edges").alias("edges"))
+        full = (F.col("_l") == level) & (F.size("_edges") > grid.most)
+        parts = F.when(full, F.transform(F.sequence(F.lit(0), F.lit(15)), _part(grid, level, counted))).otherwise(F.array(whole))
+        found = now.select(*keys, F.explode(parts).alias("_q")).select(*keys, "_q.*").filter((F.col("base") != 0) | (F.size("edges") > 0))
+    return found
+
+
+def _part(grid: Grid, level: int, counted: bool):
+    """Makes one of the 16 parts of a square of a level."""
+    side, finer = grid.sides()[level], grid.sides()[level + 1]
+    x0, y0 = grid.line(F.col("_ox"), F.lit(side)), grid.line(F.col("_oy"), F.lit(side))
+
+    def part(k: Column) -> Column:
+        x, y = x0 + k % 4 * finer, y0 + F.floor(k / 4) * finer
+        base = F.col("_base") + _counted(F.col("_edges"), x0, y0, x, y, "beside") if counted else F.col("_base")
         inside = F.filter("_edges", lambda e: _meets(e, x, y, x + finer, y + finer))
-        found = cut.select(*keys, F.lit(level + 1).alias("level"), F.col("_sub.x").alias("_gx"), F.col("_sub.y").alias("_gy"), base.alias("base"), inside.alias("edges")).filter((F.col("base") != 0) | (F.size("edges") > 0))
-    return found if out is None else out.unionByName(found)
+        return F.struct(F.lit(level + 1).alias("level"), (F.col("_ox") * 4 + k % 4).alias("_gx"), (F.col("_oy") * 4 + F.floor(k / 4)).alias("_gy"), base.alias("base"), inside.alias("edges"))
+
+    return part
 
 
 def located(points: DataFrame, squares: DataFrame, grid: Grid, on: Sequence[str] = (), x: str = "x", y: str = "y", at: str = "beside", more: dict[str, Column] | None = None) -> DataFrame:
@@ -194,22 +200,27 @@ def located(points: DataFrame, squares: DataFrame, grid: Grid, on: Sequence[str]
     sent = points.select("*", F.explode(places).alias("_p")).select(*points.columns, "_p.level", "_p._gx", "_p._gy")
     pairs = sent.join(squares, [*on, "level", "_gx", "_gy"])
     side = grid.side_at(F.col("level"))
-    winding = F.col("base") + _counted(grid, F.col("edges"), grid.line(F.col("_gy"), side), F.col("_gx"), side, F.col(x), F.col(y), at)
+    winding = F.col("base") + _counted(F.col("edges"), grid.line(F.col("_gx"), side), grid.line(F.col("_gy"), side), F.col(x), F.col(y), at)
 
     def on_edge(e: Column) -> Column:
-        return (turn(e["x1"], e["y1"], e["x2"], e["y2"], F.col(x), F.col(y)) == 0) & F.col(x).between(e["x1"], e["x2"]) & F.col(y).between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+        return (_side(e, F.col(x), F.col(y)) == 0) & F.col(x).between(e["x1"], e["x2"]) & F.col(y).between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
     return pairs.withColumns({"winding": winding, "on_edge": F.exists("edges", on_edge)} | (more or {})).drop("level", "_gx", "_gy", "base", "edges")
 
 
+def within_edges(points: DataFrame, edges: DataFrame, key: str, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
+    """Points with the keys of the polygons, given by their edges, that they are within, by the even-odd rule. Polygons
+    too large for a row are never one."""
+    known = points.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    return located(known, index(edges, [key], grid), grid, x=x, y=y).filter((F.col("winding") % 2 != 0) & ~F.col("on_edge")).drop("winding", "on_edge")
+
+
 def within_join(points: DataFrame, polygons: DataFrame, key: str, grid: Grid, how: str = "inner", rings: str = "rings", point_key: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
     """Points with the polygons (key, rings; rows of one key are parts of one polygon) that they are within, by the
     even-odd rule: holes are left out, points on an edge are not within. `left` keeps all points, `right` all keys,
     `left_semi` points with any polygon and `left_anti` those with none. Null or infinite points are within nothing.
     Polygons' other columns join by the key."""
-    squares = index(edges_of(polygons, [key], rings), [key], grid)
-    known = points.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
-    pairs = located(known, squares, grid, x=x, y=y).filter((F.col("winding") % 2 != 0) & ~F.col("on_edge")).drop("winding", "on_edge")
+    pairs = within_edges(points, edges_of(polygons, [key], rings), key, grid, x, y)
     if how == "inner":
         return pairs
     if how in ("left_semi", "left_anti"):

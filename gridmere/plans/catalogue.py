@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import further, more, places, rasters, regional
+from . import further, more, places, rasters, regional, shapes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "further", "more", "places", "rasters", "regional"]
+__all__ = ["ORACLE_SQL", "QUERIES", "further", "more", "places", "rasters", "regional", "shapes"]
