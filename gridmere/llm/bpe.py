@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import cached, map_texts
 
 #: Pre-tokens whose ids a worker remembers (twice as many at most, besides those of one text), and their greatest length;
 #: both bound memory only.
@@ -141,6 +141,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
+def _forget() -> None:
+    codec.cache_clear()
+    load_ranks.cache_clear()
+
+
+cached(__name__, _forget)
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each text: (id, n_tokens, ids as packed bytes). The vocabulary file must be on each worker's machine."""
 

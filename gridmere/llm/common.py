@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +22,30 @@ BATCH_ROWS = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: What empties each operator's cached model in this Python worker, and the operator whose task ran last.
+_caches: dict[str, Callable[[], None]] = {}
+_holder: list[str] = []
+
+
+def cached(owner: str, empty: Callable[[], None]) -> None:
+    """Tell how to empty an operator's cache."""
+    _caches[owner] = empty
+
+
+def hold(owner: str) -> None:
+    """Called where a task begins: a worker, which Spark uses for one stage after another, keeps the model of one operator at
+    a time. At a change all caches are emptied, and what they took is given back to the system."""
+    if _holder and _holder[0] != owner:
+        for empty in _caches.values():
+            empty()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _holder[:] = [owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,6 +120,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(make.__module__)
         fn = make()
         for batch in batches:
             sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()

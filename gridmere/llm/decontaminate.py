@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, written
+from .common import hold, map_texts, slices, written
 
 ENTRY, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
@@ -326,6 +326,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, id_co
 def _leaky(make):
     @F.pandas_udf("boolean")
     def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold(__name__)
         run = make()
         for texts in batches:
             bad: set[int] = set()

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches
+from .common import cached, hold, map_texts, slices, small_batches
 
 BLOCK = 4096
 #: The result for texts without a letter.
@@ -178,6 +178,7 @@ def samples(docs: DataFrame, train: Column, sample_chars: int = 40_000, all_char
 
 
 _parsers: dict[int, tuple[dict, Parser]] = {}
+cached(__name__, _parsers.clear)
 
 
 def parser(model: dict[str, bytes]) -> Parser:
@@ -208,6 +209,7 @@ def with_languages(docs: DataFrame, model: dict[str, bytes], text_col: str = "te
 
     @F.pandas_udf("lang_pred string, score double, entropy double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold(__name__)
         own = parser(shared.value)
         for texts in batches:
             found: list[list] = [[], [], []]

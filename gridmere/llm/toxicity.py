@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches
+from .common import hold, map_texts, small_batches
 
 HASH_BITS = 28
 #: Bytes of a word that its prefix term has.
@@ -187,6 +187,7 @@ def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score
 
     @F.pandas_udf("double")
     def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold(__name__)
         score = machine.scorer()
         for texts in batches:
             yield texts.map(score).astype(float)
