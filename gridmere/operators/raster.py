@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import NODATA, class_of_code, transition_code
 from ..sources.storage import cut
 from .components import components, roots
+from .statistics import quantiles
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 #: Half of the neighbours: each pair of cells meets once.
@@ -37,7 +38,7 @@ def mask(cells: DataFrame, cutoff: float, closed: bool = False, nodata: int | No
 
 def mask_above_percentile(cells: DataFrame, p: float) -> DataFrame:
     """Cells above the exact percentile of all cells, linearly interpolated."""
-    cut_at = cells.agg(F.percentile("value", F.lit(p)).alias("cut_at"))
+    cut_at = quantiles(cells, [], "value", {"cut_at": p})
     return cells.crossJoin(F.broadcast(cut_at)).filter("value > cut_at").drop("cut_at")
 
 

@@ -6,11 +6,51 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import t_quantile
+from ..sources.storage import cut
+
+
+def ranked_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(keys, _v, _n, _to, _all): each group's distinct values, how often they stand, how many rows of the group stand up to
+    them in order, and in all; nulls count 0 times.
+
+    Equal values are counted first, before their shuffle too. Groups and values are then dealt to sorted ranges (written, so
+    that all uses see the same ones), and what stands before a range is added to the running counts in it: no task holds a
+    group's values or sorts a group, however much of the table it is.
+    """
+    counted = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count(column).alias("_n"))
+    ranged, _ = cut(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part", *keys).agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    offsets = sums.select(F.col("_part").alias("_at"), *(F.col(k).alias(n) for k, n in named.items()), before.alias("_before"), F.sum("_s").over(group).alias("_all"))
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(named[k])), keys, F.col("_part") == F.col("_at"))
+    run = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v"))
+    return ranged.withColumn("_run", run).join(offsets, same).select(*keys, "_v", "_n", (F.col("_run") + F.col("_before")).alias("_to"), "_all")
+
+
+def quantile_of(p: float) -> Column:
+    """The exact quantile of a group of ranked_counts(), linearly interpolated."""
+    place = p * (F.col("_all") - 1)
+    low, high = F.floor(place), F.ceil(place)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") > rank) & (F.col("_to") - F.col("_n") <= rank), F.col("_v").cast("double")))
+
+    share = F.max(place - low)
+    return F.when(share == 0, at(low)).otherwise((1 - share) * at(low) + share * at(high))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of each group, as F.percentile gives them; null values don't count."""
+    return ranked_counts(df, keys, column).groupBy(*keys).agg(*(quantile_of(p).alias(name) for name, p in wanted.items()))
 
 
 def area_statistics(objects: DataFrame, keys: Sequence[str], area: str = "area_ha", mean: bool = False) -> DataFrame:
@@ -18,22 +58,15 @@ def area_statistics(objects: DataFrame, keys: Sequence[str], area: str = "area_h
     own = objects
     for k in keys:
         own = own.filter(F.col(k).isNotNull())
-    parts = [F.coalesce(F.sum(area), F.lit(0.0)).alias("area_sum"), F.count(area).alias("area_count"), F.median(area).alias("area_median")]
-    return own.groupBy(*keys).agg(*parts, *([F.avg(area).alias("area_mean")] if mean else []))
+    total, n = F.sum(F.col("_v") * F.col("_n")), F.coalesce(F.sum("_n"), F.lit(0))
+    parts = [F.coalesce(total, F.lit(0.0)).alias("area_sum"), n.alias("area_count"), quantile_of(0.5).alias("area_median")]
+    return ranked_counts(own, keys, area).groupBy(*keys).agg(*parts, *([F.try_divide(total, n).alias("area_mean")] if mean else []))
 
 
 def median_by_counts(df: DataFrame, keys: Sequence[str], column: str, alias: str = "median") -> DataFrame:
-    """The exact median, as F.median gives it, for groups with more distinct values than one task's memory holds: values
-    are counted first, and a running count finds the middle ones. A group is sorted, and spills; it is never held whole."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    run = counted.withColumns({"_to": F.sum("_n").over(group.orderBy(column)), "_all": F.sum("_n").over(group)})
-    low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col(column)))
-
-    return run.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(alias))
+    """The exact median, as F.median gives it, for groups with more distinct values than one task's memory holds; groups
+    without a value have no row."""
+    return quantiles(df.filter(F.col(column).isNotNull()), keys, column, {alias: 0.5})
 
 
 def statistics_of(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -230,6 +263,52 @@ def ratios(df: DataFrame, columns: Sequence[str], by: str, suffix: str) -> DataF
     return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c), F.col(by)) for c in columns})
 
 
+def swept(residual: np.ndarray, i: int) -> np.ndarray:
+    """Correlations of what regression on variable i leaves; the same again if nothing of it is left."""
+    if residual[i, i] < 1e-10:
+        return residual
+    return residual - np.outer(residual[:, i], residual[i]) / residual[i, i]
+
+
+def subset_fits(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFrame:
+    """(subset bitmask, r2) of the linear fits of a target on every non-empty subset of predictors, bit i for the i-th.
+
+    One pass over the rows gives all covariances; from then on the rows don't count. Subsets are dealt to tasks in the order
+    of their masks, whose high bits change least: a task keeps the swept matrices of the bits that stay, and sweeps only
+    those that come anew, about two for each subset. Rows with a null take no part. Predictors that others explain, or
+    that never vary, add nothing; a target that never varies has null fits.
+    """
+    names = [*predictors, target]
+    k = len(predictors)
+    whole = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names))).dropna()
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    row = whole.agg(*(F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs), *(F.max(F.abs(f"c{i}")).alias(f"top{i}") for i in range(k + 1))).first()
+    cov = np.zeros((k + 1, k + 1))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = row[f"v{i}_{j}"] or 0.0
+    varies = np.array([cov[i, i] > (1e-12 * (row[f"top{i}"] or 0.0)) ** 2 for i in range(k + 1)])  # over the rounding of its mean
+    scale = np.sqrt(np.where(varies, np.diag(cov), np.inf))
+    first = cov / np.outer(scale, scale)
+    known = bool(varies[k])
+
+    def run(batches):
+        for pdf in batches:
+            held: list[tuple[int, np.ndarray]] = []
+            out = []
+            for mask in pdf["subset"].tolist():
+                bits = [i for i in reversed(range(k)) if mask >> i & 1]
+                same = 0
+                while same < min(len(held), len(bits)) and held[same][0] == bits[same]:
+                    same += 1
+                del held[same:]
+                for i in bits[same:]:
+                    held.append((i, swept(held[-1][1] if held else first, i)))
+                out.append(1 - held[-1][1][k, k] if known else None)
+            yield pd.DataFrame({"subset": pdf["subset"], "r2": pd.array(out, dtype="Float64")})
+
+    return df.sparkSession.range(1, 1 << k).select(F.col("id").alias("subset")).mapInPandas(run, "subset long, r2 double")
+
+
 def hierarchical_partition(fits: DataFrame, terms: int) -> DataFrame:
     """(term, unique, average, total) from a table (subset bitmask, r2) of all non-empty subsets of terms.
 

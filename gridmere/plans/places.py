@@ -123,12 +123,16 @@ def q49(spark, d):
     return tiling.split(parquet_table(spark, d, "part"), "p_partkey", 0.2, 0.1, "7", F.col("p_size") > 25).select("p_partkey", "part")
 
 
-@query("q50_hier_partition", """WITH f AS (SELECT s AS subset, s / (s + 10.0) AS r2 FROM (SELECT unnest(range(0, 32)) AS s)), t AS (SELECT unnest(range(0, 5)) AS term),
+@query("q50_hier_partition", """WITH o AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, p_retailprice AS c FROM lineitem JOIN part ON l_partkey = p_partkey),
+  r AS (SELECT corr(y, a) AS ya, corr(y, b) AS yb, corr(y, c) AS yc, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM o),
+  f AS (SELECT unnest(range(0, 8)) AS subset, unnest([0, ya ** 2, yb ** 2, (ya ** 2 + yb ** 2 - 2 * ya * yb * ab) / (1 - ab ** 2), yc ** 2, (ya ** 2 + yc ** 2 - 2 * ya * yc * ac) / (1 - ac ** 2), (yb ** 2 + yc ** 2 - 2 * yb * yc * bc) / (1 - bc ** 2),
+    (ya ** 2 * (1 - bc ** 2) + yb ** 2 * (1 - ac ** 2) + yc ** 2 * (1 - ab ** 2) - 2 * ya * yb * (ab - ac * bc) - 2 * ya * yc * (ac - ab * bc) - 2 * yb * yc * (bc - ab * ac)) / (1 + 2 * ab * ac * bc - ab ** 2 - ac ** 2 - bc ** 2)]) AS r2 FROM r),
+  t AS (SELECT unnest(range(0, 3)) AS term),
   g AS (SELECT term, bit_count(a.subset) AS size, avg(b.r2 - a.r2) AS gain FROM t JOIN f a ON (a.subset & (1 << term)) = 0 JOIN f b ON b.subset = (a.subset | (1 << term)) GROUP BY ALL)
-  SELECT CAST(term AS INTEGER) AS term, round(max(gain) FILTER (WHERE size = 4), 6) AS "unique", round(avg(gain) - max(gain) FILTER (WHERE size = 4), 6) AS average, round(avg(gain), 6) AS total FROM g GROUP BY term""")
+  SELECT CAST(term AS INTEGER) AS term, round(max(gain) FILTER (WHERE size = 2), 6) + 0.0 AS "unique", round(avg(gain) - max(gain) FILTER (WHERE size = 2), 6) + 0.0 AS average, round(avg(gain), 6) + 0.0 AS total FROM g GROUP BY term""")
 def q50(spark, d):
-    fits = spark.range(1, 32).select(F.col("id").alias("subset"), (F.col("id") / (F.col("id") + 10.0)).alias("r2"))
-    p = statistics.hierarchical_partition(fits, 5)
+    sold = parquet_table(spark, d, "lineitem").join(parquet_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    p = statistics.hierarchical_partition(statistics.subset_fits(sold, "l_extendedprice", ["l_quantity", "l_discount", "p_retailprice"]), 3)
     return p.select("term", r6("unique", "unique"), r6("average", "average"), r6("total", "total"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -129,8 +130,13 @@ def draw(df: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write unless the table is there already, and read it: a step that was done is not done again."""
-    writer = df.write.mode("ignore")
+    """Write unless the table is there already, and read it: a step that was done is not done again. A table is there when
+    its writer has said so (_SUCCESS); what a job that died has left is written anew."""
+    spark = df.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -156,9 +162,12 @@ def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Where a session on one machine names none (as in
+    tests), a temporary one is made; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='gridmere-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

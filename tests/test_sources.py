@@ -51,6 +51,9 @@ def test_steps_that_are_done_are_not_done_again(spark, tmp_path):
     one, two = spark.range(3), spark.range(5)
     assert storage.write_once(one, str(tmp_path / "t")).count() == 3
     assert storage.write_once(two, str(tmp_path / "t")).count() == 3
+    (tmp_path / "died" / "_temporary" / "0").mkdir(parents=True)  # what a job that was killed leaves
+    (tmp_path / "died" / "part-00000.parquet").write_bytes(b"half")
+    assert storage.write_once(one, str(tmp_path / "died")).count() == 3
     storage.append_csv(one, str(tmp_path / "c"))
     storage.append_csv(two, str(tmp_path / "c"))
     assert storage.csv(spark, str(tmp_path / "c"), "id long").count() == 8
