@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry
 from ..sources.storage import cut
+from . import scanline
 
 
 def squares(side: float, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> tuple[Column, Column]:
@@ -238,8 +239,10 @@ def clipped_length(segments: DataFrame, boxes: DataFrame, side: float) -> DataFr
 def zonal(cells: DataFrame, polygons: DataFrame, side: float, key: str, *aggregates: Column, touched: float | None = None) -> DataFrame:
     """Aggregates of the cells whose centres are within each polygon; polygons without a cell are kept. With `touched`
     (half a cell's side), all cells count that share a point with the polygon's area."""
-    points = cells.withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5})
-    found = within_join(points, polygons, side) if touched is None else touching(points, polygons, side, touched)
+    if touched is None:
+        found = cells.join(scanline.cells_within(polygons.select(key, F.array("ring").alias("rings")), key), ["row", "col"])
+    else:
+        found = touching(cells.withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5}), polygons, side, touched)
     return polygons.select(key).join(found.groupBy(key).agg(*aggregates), key, "left")
 
 
@@ -256,13 +259,11 @@ def coverage(cells: DataFrame, polygons: DataFrame, side: float, key: str, parts
     return within_join(sub, polygons, side).groupBy(key, "row", "col").agg((F.count(F.lit(1)) / (parts * parts)).alias("share"))
 
 
-def fractions(cells: DataFrame, polygons: DataFrame, side: float, key: str, ring: str = "ring") -> DataFrame:
+def fractions(cells: DataFrame, polygons: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     """(key, row, col, share): exact share of each cell (a unit square from (col, row) on) inside each polygon that covers
-    any of it."""
-    centres = cells.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
-    pairs = placed(centres, side).join(spread(polygons.select(key, ring), side, geometry.bounds(F.col(ring)), 0.5), ["_gx", "_gy"])
-    share = geometry.box_area(F.col(ring), F.col("col"), F.col("row"), F.col("col") + 1, F.col("row") + 1)
-    return pairs.select(key, "row", "col", share.alias("share")).filter(F.col("share") > 0)
+    any of it, from the cells along the outlines (see scanline)."""
+    found = scanline.shares(polygons.select(key, F.array(ring).alias("rings")), key)
+    return found.join(cells.select("row", "col").distinct(), ["row", "col"]).select(key, "row", "col", "share")
 
 
 def first_match(pairs: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -271,14 +272,10 @@ def first_match(pairs: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
 
 
 def rasterized(polygons: DataFrame, key: str, x0: float = 0.0, y0: float = 0.0, step: float = 1.0) -> DataFrame:
-    """(row, col, key): cells of a grid whose centres are within polygons; each polygon makes the cells of its own box
-    only. Where polygons overlap, the greatest key stays."""
-    box = geometry.bounds(F.col("ring"))
-    rows = F.sequence(F.floor((box["y_min"] - y0) / step), F.floor((box["y_max"] - y0) / step))
-    cols = F.sequence(F.floor((box["x_min"] - x0) / step), F.floor((box["x_max"] - x0) / step))
-    cells = polygons.select(key, "ring", F.explode(rows).alias("row")).select(key, "ring", "row", F.explode(cols).alias("col"))
-    x, y = (F.col("col") + 0.5) * step + x0, (F.col("row") + 0.5) * step + y0
-    return cells.filter(geometry.within(x, y, F.col("ring"))).groupBy("row", "col").agg(F.max(key).alias(key))
+    """(row, col, key): cells of a grid whose centres are within polygons, in runs along rows (see scanline). Where polygons
+    overlap, the greatest key stays."""
+    cells = scanline.cells_within(polygons.select(key, F.array("ring").alias("rings")), key, "rings", x0, y0, step)
+    return cells.groupBy("row", "col").agg(F.max(key).alias(key))
 
 
 def warped(cells: DataFrame, target: DataFrame, to_source: tuple[Column, Column], x0: float, y0: float, dx: float, dy: float) -> DataFrame:

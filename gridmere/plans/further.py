@@ -115,7 +115,7 @@ def _shared_area(boxes: str, edges: str, key: str, digits: int) -> str:
 def q103(spark, d):
     i = F.col("id")
     cells = spark.range(3600).select(F.floor(i / 60).alias("row"), (i % 60).alias("col"))
-    found = spatial.fractions(cells, views.polys(spark, d, 1 / 17.3), SIDE / 17.3, "poly")
+    found = spatial.fractions(cells, views.polys(spark, d, 1 / 17.3), "poly")
     return found.filter("share > 1e-6").select("poly", "row", "col", F.round("share", 5).alias("area"))
 
 
