@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .series import numbered
 
 
 def starts(length: int, size: int, overlap: int = 0) -> Column:
@@ -26,15 +27,15 @@ def split(df: DataFrame, name: str, test: float, validation: float, seed: str =
     """train, val or test for each row, in the order of a hash of its name, and the same at any cluster size: round(n *
     (1 - test - validation)) rows train, round(n * test) test, the rest validate. Strata split on their own.
 
-    Ranks are those of a window a stratum; the hash order makes them independent of the rows' order.
+    Ranks come from sorted ranges of all rows, less the first rank of the stratum, so that no task holds a stratum.
     """
-    keys = [stratum.alias("_s")] if stratum is not None else [F.lit(0).alias("_s")]
-    own = df.select("*", *keys, F.md5(F.concat(F.lit(seed), F.col(name).cast("string"))).alias("_h"))
-    group = Window.partitionBy("_s")
-    ranked = own.withColumns({"_n": F.count(F.lit(1)).over(group), "_k": F.row_number().over(group.orderBy("_h", name))})
+    own = df.select("*", (stratum if stratum is not None else F.lit(0)).alias("_s"), F.md5(F.concat(F.lit(seed), F.col(name).cast("string"))).alias("_h"))
+    ranked = numbered(own, ["_s", "_h", name], "_k")
+    strata = ranked.groupBy(F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_n"), (F.min("_k") - 1).alias("_before"))
+    placed = ranked.join(strata, F.col("_s").eqNullSafe(F.col("_t"))).withColumn("_k", F.col("_k") - F.col("_before"))
     train, tested = F.round(F.col("_n") * (1 - test - validation)), F.round(F.col("_n") * test)
     part = F.when(F.col("_k") <= train, "train").when(F.col("_k") <= train + tested, "test").otherwise("val")
-    return ranked.withColumn("part", part).drop("_s", "_h", "_n", "_k")
+    return placed.withColumn("part", part).drop("_s", "_h", "_n", "_k", "_t", "_before")
 
 
 def full_tiles(cells: DataFrame, height: int, width: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -173,9 +174,28 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _scratch:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone at exit
+            pass
+
+
 def cut(df: DataFrame) -> tuple[DataFrame, str]:
     """Write rows to the shared folder and read them: the lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
