@@ -2,8 +2,9 @@
 
 Host names such as `cheappills` are split into words by a unigram Viterbi search, host labels and path parts alike; a
 multinomial naive Bayes model over the words scores host and path. The unigram lexicon counts in how many distinct hosts
-and paths a delimited word stands, and adds page-independent seed words; a joined name is left out of it, however many
-URLs have it: one that is made of others at least as frequent, or that begins or ends with a seed word. The model is
+and paths a word stands by itself, and adds page-independent seed words. A host label that is one piece tells nothing about
+words, as it may be joined, and does not count; parts of paths and of labels with hyphens do, unless other words put
+together are likelier. A name is split into known words only, or stays whole: `pharma` is no word of `pharmacology`. The model is
 fitted on all URLs, where a host that has a seed word of unwanted sites counts as an example of block (weak labels: no
 table has labels of URLs). Rules stand above the model: a rule fits its host and all subdomains if the path starts with
 the rule's, and the longest one that fits wins.
@@ -93,30 +94,34 @@ def words_of(segmenter: Segmenter, host: str, path: str, memory: dict[str, list[
             if part not in memory:
                 if len(memory) > 100_000:
                     memory.clear()
-                memory[part] = segmenter.split(part)
+                split = segmenter.split(part)
+                memory[part] = split if all(w in segmenter.cost for w in split) else [part]
             out += [kind + w for w in memory[part]]
     return out
 
 
 def explained(counts: dict[str, int]) -> set[str]:
-    """Words that are others put together, of three letters at least and each as frequent as the whole, and those with a
-    seed word of four letters or more at one end."""
-    ends = tuple(s for s in SEEDS if len(s) > 3)
-    out = {w for w in counts for s in ends if len(w) >= len(s) + 3 and (w.startswith(s) or w.endswith(s))}
-    for word, n in counts.items():
-        cuts = {0}
+    """Words that are not as likely as others, of three letters at least, put together: joined names."""
+    total = sum(counts.values()) or 1
+    cost = {w: log(n / total) for w, n in counts.items()}
+    out = set()
+    for word, own in cost.items():
+        best = {0: 0.0}
         for end in range(3, len(word) + 1):
-            if any(end - a >= 3 and end - a < len(word) and counts.get(word[a:end], 0) >= n for a in cuts):
-                cuts.add(end)
-        if len(word) in cuts:
+            ways = [best[a] + cost[word[a:end]] for a in best if 3 <= end - a < len(word) and word[a:end] in cost]
+            if ways:
+                best[end] = max(ways)
+        if best.get(len(word), -1e300) >= own:
             out.add(word)
     return out
 
 
 def lexicon(parts: DataFrame) -> dict[str, int]:
-    """In how many distinct hosts and paths a delimited word stands, and the seed words as often as the median one."""
-    texts = parts.select(F.explode(F.array("host", "path")).alias("text")).distinct()
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    """In how many distinct hosts and paths a word stands by itself, and the seed words as often as the median one."""
+    letters = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    labels = F.filter(F.transform(F.split("host", r"\."), letters), lambda words: F.size(words) > 1)
+    found = [parts.select("host").distinct().select(F.flatten(labels).alias("words")), parts.select("path").distinct().select(letters(F.col("path")).alias("words"))]
+    words = found[0].unionByName(found[1]).select(F.explode(F.array_distinct("words")).alias("word"))
     counted = words.filter(f"word <> '' AND length(word) <= {LONGEST}").groupBy("word").count().orderBy(F.desc("count"), "word").limit(LEXICON)
     counts = {r["word"]: r["count"] for r in counted.collect()}
     usual = sorted(counts.values())[len(counts) // 2] if counts else 1
@@ -143,7 +148,6 @@ def _tokens(parts: DataFrame, counts: dict[str, int]) -> DataFrame:
     return parts.select("host", "path").mapInArrow(run, "token string, label int, n long")
 
 
-
 def fit(parts: DataFrame, counts: dict[str, int], smooth: float = 1.0) -> tuple[DataFrame, float, float]:
     """(token, odds): log odds of block by word, those of a word that the model lacks, and those of URLs at large."""
     sums = _tokens(parts, counts).groupBy("token").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))

@@ -87,3 +87,22 @@ def test_scores_match_a_plain_naive_bayes(spark, monkeypatch):
     again = urls.judge(df).collect()
     key = lambda r: (r["page_id"], r["host"], r["verdict"], r["words"], round(r["spam_score"], 9))
     assert sorted(map(key, again)) == sorted(map(key, rows))
+
+
+def test_real_words_stay_whole(spark):
+    """Words that begin with, end in or hold a word of unwanted sites, seen in paths or not at all."""
+    words = "pharmacology adulthood malwarebytes freedom farmers forget pharmacies loaned"
+    paths = [(i, f"http://site{i % 9}.example.org/{w}/{('for', 'get', 'bytes', 'hood', 'farm')[i % 5]}/{i}") for i, w in enumerate(words.split() * 12)]
+    hosts = [(500 + i, f"http://{w}.example.org/x/{i}") for i, w in enumerate([*words.split(), "crackers", "trackerless", "spamalot"] * 3)]
+    bad = [(900 + i, f"http://{a}-{b}.example.org/x/{i}") for i, (a, b) in enumerate([("adult", "poker"), ("casino", "bets"), ("malware", "bytes"), ("cheap", "pills")] * 6)] + [(990, "http://adultpoker.example.org/x"), (991, "http://cheappills.example.org/x")]
+    rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(paths + hosts + bad, "page_id long, url string")).collect()}
+    for i, url in hosts:
+        word = url[7:].split(".")[0]
+        assert rows[i]["words"].split()[0] == f"h:{word}" and rows[i]["verdict"] == "allow"
+    assert all(rows[i]["verdict"] == "allow" for i, _ in paths) and all(rows[i]["verdict"] == "block" for i, _ in bad)
+    assert rows[990]["words"].startswith("h:adult h:poker")
+
+
+def test_joined_names_are_less_likely_than_their_parts():
+    counts = {"online": 900, "poker": 800, "onlinepoker": 3, "forget": 40, "for": 3000, "get": 2000, "freedom": 9, "free": 500, "garden": 70, "the": 200_000}
+    assert urls.explained(counts) == {"onlinepoker"}
