@@ -46,5 +46,6 @@ def full_tiles(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def drawn_tiles(tiles: DataFrame, count: int, seed: int) -> DataFrame:
-    """`count` tiles in the order of a hash."""
-    return tiles.orderBy(F.xxhash64("tile_row", "tile_col", F.lit(seed)), "tile_row", "tile_col").limit(count)
+    """`count` tiles in the order of a digest of seed and tile, the same at any cluster size."""
+    place = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("tile_row").cast("string"), F.col("tile_col").cast("string")))
+    return tiles.orderBy(place, "tile_row", "tile_col").limit(count)

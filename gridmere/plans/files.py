@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, parsing
+from ..operators import tiling
 from ..sources import storage
 from ..sources.storage import parquet_table
 from . import shapes, views
@@ -62,3 +63,10 @@ def q119(spark, d):
     paths = [r.path for r in storage.listed(spark, f"{path}/folder=*/*.csv").select("path").toLocalIterator()]  # names of files, a few for each folder
     rows = storage.csv(spark, paths, "c_custkey long", header=False).select(parsing.last_year(parsing.folder(F.col("_metadata.file_path"))).alias("year"))
     return rows.groupBy((F.col("year") - 1900).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q120_few_drawn_tiles", f"""WITH {views.GRID}, t AS (SELECT CAST(row // 5 AS BIGINT) AS tile_row, CAST(col // 2 AS BIGINT) AS tile_col FROM grid GROUP BY ALL HAVING bool_and(value <> 0) AND count(*) = 10)
+  SELECT tile_row, tile_col FROM t ORDER BY md5(concat_ws(':', '11', tile_row, tile_col)), tile_row, tile_col LIMIT 60""")
+def q120(spark, d):
+    """A sample of tiles without nodata: the limit is the draw."""
+    return tiling.drawn_tiles(tiling.full_tiles(views.grid(spark, d), 5, 2), 60, 11).select("tile_row", "tile_col")
