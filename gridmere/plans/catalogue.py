@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, further, more, places, rasters, regional, shapes
+from . import files, formats, further, more, places, rasters, regional, shapes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "files", "further", "more", "places", "rasters", "regional", "shapes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "formats", "further", "more", "places", "rasters", "regional", "shapes"]

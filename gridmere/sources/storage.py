@@ -96,18 +96,6 @@ def in_box(df: DataFrame, x_min: float, y_min: float, x_max: float, y_max: float
     return df.filter((F.col("x_max") >= x_min) & (F.col("x_min") <= x_max) & (F.col("y_max") >= y_min) & (F.col("y_min") <= y_max))
 
 
-def sheet(spark: SparkSession, path: str, header: int = 0, skip_tail: int = 0) -> DataFrame:
-    """A workbook's first sheet, by a library that may be absent; sheets are small tables that people keep."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as error:
-        raise NotImplementedError("reading workbooks needs openpyxl") from error
-    import pandas as pd
-
-    frame = pd.read_excel(path, header=header, skipfooter=skip_tail, dtype=str)
-    return spark.createDataFrame(frame)
-
-
 def arrays(spark: SparkSession, path: str) -> DataFrame:
     """(path, shape, values) of .npy files."""
 

@@ -39,12 +39,10 @@ def test_json_and_geojson(spark, tmp_path):
     assert sorted((r["name"], r["part"], len(r["rings"][0])) for r in got) == [("m", 0, 5), ("m", 1, 5), ("p", 0, 5)]
 
 
-def test_arrays_and_sheets(spark, tmp_path):
+def test_arrays(spark, tmp_path):
     np.save(tmp_path / "x.npy", np.arange(6).reshape(2, 3))
     row = storage.arrays(spark, str(tmp_path / "x.npy")).first()
     assert row["shape"] == [2, 3] and row["values"] == [0, 1, 2, 3, 4, 5]
-    with pytest.raises(NotImplementedError):
-        storage.sheet(spark, "x.xlsx")
 
 
 def test_steps_that_are_done_are_not_done_again(spark, tmp_path):
