@@ -6,7 +6,9 @@ term's impact on an entry is its BM25 weight, over the least weight that an entr
 `overlap` of its runs is missing: hence no entry of which a passage holds `overlap` (0.8) of the runs scores less than 1,
 whatever its weights are, and 1 is the threshold of all. Entries stand in tiers by length; for each tier a document is a
 row of passages twice as long as the tier's entries and half that apart, so that one of them holds any stretch of words
-that long. Each passage is a query, and the search returns all entries above the threshold. A passage whose terms cannot
+that long. The whole document is one more passage, the last, so that a question in pieces far apart is found as well: where
+a document holds 0.8 of a question's runs, it holds 0.8 of some entry's (if no run stands in several of them). Each passage is a query, and the search returns all
+entries above the threshold. A passage whose terms cannot
 reach it together has no result and is not searched; its terms are looked up in one pass, and few words of a clean text
 are terms at all, however many items there are.
 
@@ -39,6 +41,8 @@ ENTRY, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
 #: Postings in a block with its own maximum.
 BLOCK = 32
+#: Number of the passage that is a whole text; it sorts after all others.
+WHOLE = 1 << 62
 #: Bits of the table that tells most runs of words that are no term.
 FILTER_BITS = 22
 #: Item text that one broadcast holds.
@@ -157,13 +161,13 @@ class Tier:
 
     def passages(self, codes: np.ndarray, owner: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
         """Passages that some entry may match, (text, first word, terms), from the runs that may be terms: their codes,
-        texts, first words and numbers of words."""
+        texts, first words and numbers of words. The first word is WHOLE for the whole text, a text's last passage."""
         place = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
         hit = self.keys[place] == codes
         place, owner, at, n = place[hit], owner[hit], at[hit], n[hit]
         number = at // self.size
         before = (number > 0) & (at + n <= (number + 1) * self.size)  # the passage before holds the run as well
-        text, number, place = (np.concatenate(x) for x in ((owner, owner[before]), (number, number[before] - 1), (place, place[before])))
+        text, number, place = (np.concatenate(x) for x in ((owner, owner[before], owner), (number, number[before] - 1, np.full(len(owner), WHOLE)), (place, place[before], place)))
         if not len(text):
             return
         order = np.lexsort((place, number, text))
@@ -175,7 +179,7 @@ class Tier:
         stops = np.append(starts[1:], len(text))
         for i in np.flatnonzero(np.add.reduceat(self.most[place], starts) >= 1 - 1e-6).tolist():
             a = starts[i]
-            yield int(text[a]), int(number[a]) * self.size, place[a : stops[i]].tolist()
+            yield int(text[a]), WHOLE if number[a] == WHOLE else int(number[a]) * self.size, place[a : stops[i]].tolist()
 
 
 class Index:
@@ -226,9 +230,14 @@ class Index:
         for tier in self.tiers:
             for t, first, terms in tier.passages(runs, owner, at, n):
                 for entry, score in tier.search(terms):
-                    item, last = tier.of_item[entry], min(first + 2 * tier.size, len(texts[t]))
+                    item, share = tier.of_item[entry], score * tier.least[entry]
+                    if first == WHOLE:  # tells nothing of the place of what a passage has shown
+                        best, low, high = out[t].get(item, (0.0, 0, len(texts[t])))
+                        out[t][item] = max(best, share), low, high
+                        continue
+                    last = min(first + 2 * tier.size, len(texts[t]))
                     best, low, high = out[t].get(item, (0.0, first, last))
-                    out[t][item] = max(best, score * tier.least[entry]), min(low, first), max(high, last)
+                    out[t][item] = max(best, share), min(low, first), max(high, last)
         return out
 
     def shares(self, words: list[bytes], items: list[int]) -> list[tuple[float, float, float]]:

@@ -128,6 +128,29 @@ def test_leaks_anywhere_in_a_text(spark, size):
     assert all(r["question_overlap"] == r["answer_overlap"] == 1 for r in rows)
 
 
+@pytest.mark.parametrize("apart", [0, 5, 20, 300])
+def test_questions_in_pieces(spark, apart):
+    """Questions whose pieces, which overlap by four words, stand in any order and any distance, by brute force."""
+    rng = np.random.default_rng(apart)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items, docs = [], []
+    for k, size in enumerate((12, 20, 33, 70, 150)):
+        question, answer = [word() for _ in range(size)], [word() for _ in range(6)]
+        items.append((k, " ".join(question) + ". " + " ".join(answer) + "."))
+        for pieces in (2, 3):
+            ends = [size * i // pieces for i in range(pieces + 1)]
+            parts = [question[max(a - 4, 0) : b] for a, b in zip(ends, ends[1:])] + [answer]
+            for share in (1.0, 0.7):  # the second has lost most of its first piece
+                own = [p if share == 1 or i else p[: max(len(p) // 4, 1)] for i, p in enumerate(parts)]
+                order = rng.permutation(len(own))
+                docs.append((len(docs), " ".join(w for i in order for w in (*own[i], *(word() for _ in range(apart))))))
+    want = plain_leaks(docs, items)
+    assert len(want) >= 10 and len(want) < len(docs)
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(0 <= r["first_word"] < r["last_word"] for r in got)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "cat sat on the mat and looked", "x"), (4, "Der Hund und die Katze sind im Haus und nicht im Garten", "x"), (5, "Der Hund und die Katze sind im Haus und nicht im Garten", "y")], "item_id long, text string, doc_id string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in dc.leaks(odd_docs, items).collect()), key=repr)
