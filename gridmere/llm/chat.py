@@ -3,13 +3,14 @@
 A transcript is rows of text in order. Each row is cut into blocks where a line begins with a speaker marker; a block's
 features are its marker, length, number of lines, last character and first word class. States are roles. Emissions and
 transitions are counted on labelled rows and smoothed; Viterbi finds the likeliest roles, and runs of one role become one
-turn under one header. The chain is cut into segments of SEGMENT rows: each becomes a matrix of best scores from the
+turn under one header. Blocks are numbered within their conversation by sorted ranges, and the chain is cut into segments
+of SEGMENT blocks by these numbers, so that no segment is longer, whatever the rows' places are: each becomes a matrix of best scores from the
 role before it to its last role, matrices are multiplied in a tree, and the segments' border roles come back down it, so
 that the result is that of one Viterbi pass, however long a conversation is.
 
 Null and empty texts are one empty block. Null roles teach nothing; without any labels the roles are the `roles` given
-and equally likely. Rows of equal place are ordered by their text; equal rows get the same features and are kept. Null
-conversation ids are one conversation; null places come first, and rows of one place stay in one segment. An empty table gives an empty table; other columns are
+and equally likely. Rows of equal place are ordered by their blocks' numbers and texts; equal rows are kept, in any order.
+Null conversation ids are one conversation; null places come first. An empty table gives an empty table; other columns are
 ignored. Ties go to the role that comes first in the alphabet.
 """
 
@@ -38,7 +39,8 @@ FEATURES = {"marker": 4, "length": 16, "lines": 8, "last": 5, "opening": 2}
 
 
 def blocks(rows: DataFrame, conv_col: str = "conv_id", place_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
-    """(conv_id, turn, block, seg, text, role and features) of all rows; role is null where none is given."""
+    """(conv_id, place, turn, block, seg, text, role and features) of all rows, written once; place counts the blocks of a
+    conversation from 0. Role is null where none is given."""
     cut = F.split(F.coalesce(F.col(text_col), F.lit("")), BEGIN)
     parts = rows.select(
         F.col(conv_col).alias("conv_id"), F.col(place_col).cast("long").alias("turn"), (F.col(role_col) if role_col else F.lit(None).cast("string")).alias("role"),
@@ -53,10 +55,29 @@ def blocks(rows: DataFrame, conv_col: str = "conv_id", place_col: str = "turn",
     last = F.when(F.col("text") == "", 0).when(F.endswith("text", F.lit("?")), 1).when(F.rlike("text", F.lit(r"[.!]$")), 2).when(F.endswith("text", F.lit(":")), 3).otherwise(4)
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     log2 = F.ceil(F.log2(F.length("text") + F.lit(1.0))).cast("int")
-    return out.select(
-        "conv_id", "turn", "block", F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).alias("seg"), "text", "role", "marker", F.least(log2, F.lit(15)).alias("length"),
+    featured = out.select(
+        "conv_id", "turn", "block", "text", "role", "marker", F.least(log2, F.lit(15)).alias("length"),
         F.least(F.ceil(F.log2(lines + F.lit(1.0))).cast("int"), F.lit(7)).alias("lines"), last.alias("last"), (F.col("block") == 0).cast("int").alias("opening"),
     )
+    return written(placed(featured).withColumn("seg", F.floor(F.col("place") / SEGMENT)), "blocks")[0]
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """With the place of each block in its conversation, from 0. Sorted ranges, which may cut a conversation and even equal
+    rows, count their own blocks; a range's first conversation goes on where the ranges before it have ended. Only
+    conversations that ranges cut have such an offset: two a range at most, which are broadcast."""
+    order = ["turn", "block", "text", "marker", "role"]
+    tied = found.withColumn("_tie", F.monotonically_increasing_id())
+    ranged, _ = written(tied.repartitionByRange("conv_id", *order, "_tie").withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("conv_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    edge = ranged.groupBy("_part").agg(F.min(F.struct("conv_id")).alias("low"), F.max(F.struct("conv_id")).alias("high"))
+    edges = edge.select("_part", F.explode(F.array_distinct(F.array("low", "high"))).alias("e")).select(F.col("_part").alias("_p"), F.col("e.conv_id").alias("_c"))
+    at_edges = counts.join(F.broadcast(edges), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p"))).select("_c", "_p", "_n")
+    before = F.sum("_n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = at_edges.select("_c", "_p", before.alias("_offset")).filter("_offset is not null")
+    number = F.row_number().over(Window.partitionBy("_part", "conv_id").orderBy(*order, "_tie"))
+    joined = ranged.withColumn("_number", number).join(F.broadcast(offsets), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")), "left")
+    return joined.withColumn("place", F.coalesce("_offset", F.lit(0)) + F.col("_number") - 1).drop("_part", "_tie", "_number", "_c", "_p", "_offset")
 
 
 @dataclass(frozen=True)
@@ -72,12 +93,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, roles: tuple[str, ...] = ("assistant", "system", "user"), smooth: float = 0.5) -> Model:
-    """Counts of features and of neighbouring roles over all labelled blocks."""
+    """Counts of features and of neighbouring roles over all labelled blocks: of each pair of blocks next to each other in a
+    conversation that are both labelled, and of conversations' first blocks. Neighbours meet by their places."""
     known = labelled.filter("role is not null")
-    order = Window.partitionBy("conv_id", "seg").orderBy("turn", "block", "text")
-    before = F.lag("role").over(order)
-    first = F.when((F.col("seg") == 0) & before.isNull(), F.lit("")).otherwise(before)
-    steps = known.withColumn("before", first).groupBy("before", "role").count().collect()
+    last = known.select(F.col("conv_id").alias("c"), (F.col("place") + 1).alias("next"), F.col("role").alias("before"))
+    own = known.select("conv_id", "place", "role")
+    steps = own.join(last, own["conv_id"].eqNullSafe(last["c"]) & (own["place"] == last["next"]), "left")
+    steps = steps.select(F.when(F.col("place") == 0, F.lit("")).otherwise(F.col("before")).alias("before"), "role").groupBy("before", "role").count().collect()
     names = tuple(sorted({r["role"] for r in steps} | (set() if steps else set(roles))))
     place = {r: i for i, r in enumerate(names)}
     step = np.full((len(names) + 1, len(names)), smooth)
@@ -173,7 +195,7 @@ def _bounds(found: DataFrame, model: Model, span: int) -> DataFrame:
                 entry[a + 1 : b], leave[a:b] = path[:-1], path
             yield pd.DataFrame({"conv_id": rows["conv_id"], "seg": rows["seg"], "entry": entry, "leave": leave})
 
-    levels = [_arranged(found, ["conv_id", "seg"], ["turn", "block", "text"]).mapInPandas(first, shape)]
+    levels = [_arranged(found.drop("text", "role"), ["conv_id", "seg"], ["place"]).mapInPandas(first, shape)]
     while span:
         span //= SEGMENT
         above = levels[-1].select("conv_id", F.floor(F.col("seg") / SEGMENT).alias("parent"), F.col("seg").alias("place"), "m").withColumnRenamed("parent", "seg")
@@ -196,14 +218,14 @@ def roles(found: DataFrame, model: Model) -> DataFrame:
     other = found.filter("seg <> 0")
     span = other.agg(F.max(F.abs("seg"))).first()[0]
     if span is None:  # one segment a conversation
-        placed = found.withColumns({"entry": F.lit(states), "leave": F.lit(-1)})
+        ready = found.withColumns({"entry": F.lit(states), "leave": F.lit(-1)})
     else:
         many = other.select(F.col("conv_id").alias("c")).distinct()
         cut = found.join(many, found["conv_id"].eqNullSafe(many["c"]), "left_semi")
         bounds, _ = written(_bounds(cut, model, span), "bounds")
         b = bounds.toDF("c", "s", "entry", "leave")
         joined = found.join(b, found["conv_id"].eqNullSafe(b["c"]) & (found["seg"] == b["s"]), "left").drop("c", "s")
-        placed = joined.withColumns({"entry": F.coalesce("entry", F.lit(states)), "leave": F.coalesce("leave", F.lit(-1))})
+        ready = joined.withColumns({"entry": F.coalesce("entry", F.lit(states)), "leave": F.coalesce("leave", F.lit(-1))})
 
     def decode(batches):
         for rows, parts in runs(batches, ["conv_id", "seg"]):
@@ -215,7 +237,7 @@ def roles(found: DataFrame, model: Model) -> DataFrame:
                 before[a], before[a + 1 : b] = entry[a], path[a : b - 1]
             yield pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "block": rows["block"], "role_pred": np.array(model.roles, object)[path], "opens": path != before, "text": rows["text"]})
 
-    return _arranged(placed, ["conv_id", "seg"], ["turn", "block", "text"]).mapInPandas(decode, f"conv_id {kind}, turn long, block int, role_pred string, opens boolean, text string")
+    return _arranged(ready, ["conv_id", "seg"], ["place"]).mapInPandas(decode, f"conv_id {kind}, turn long, block int, role_pred string, opens boolean, text string")
 
 
 def rendered(parsed: DataFrame) -> DataFrame:

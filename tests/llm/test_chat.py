@@ -37,6 +37,7 @@ def test_roles_are_those_of_one_viterbi_pass(spark, monkeypatch, segment):
     for r in sorted(chat.roles(found, model).collect(), key=lambda r: (r["conv_id"], r["turn"], r["block"])):
         got.setdefault(r["conv_id"], []).append(r)
     pdf = found.toPandas().sort_values(["conv_id", "turn", "block"])
+    assert found.toPandas().groupby(["conv_id", "seg"]).size().max() <= segment
     assert len(got) == 6
     for c, own in pdf.groupby("conv_id"):
         path = plain_viterbi(model, model.emissions(own))
@@ -44,6 +45,50 @@ def test_roles_are_those_of_one_viterbi_pass(spark, monkeypatch, segment):
         assert [r["opens"] for r in got[c]] == [i == 0 or path[i] != path[i - 1] for i in range(len(path))]
 
 
+def plain_counts(rows):
+    """Neighbouring roles, both labelled, and first roles, of rows (conv_id, role) in order."""
+    out, before = {}, {}
+    for conv, role in rows:
+        key = before.get(conv, "")
+        if role is not None and key is not None:
+            out[key, role] = out.get((key, role), 0) + 1
+        before[conv] = role
+    return out
+
+
+@pytest.mark.parametrize("segment", [64, 3])
+def test_steps_over_borders_of_segments_count(spark, monkeypatch, segment):
+    monkeypatch.setattr(chat, "SEGMENT", segment)
+    rows = [(c, t, None if (c * 7 + t * 3) % 11 == 0 else role, text) for c, t, role, text in conversations(spark, [1, 2, 30, 17, 9]).collect()]
+    model = chat.fit(chat.blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), smooth=0.5)
+    want = plain_counts([(c, role) for c, t, role, _ in sorted(rows, key=lambda r: r[:2])])
+    n = len(model.roles)
+    counts = np.array([[want.get((a, b), 0) + 0.5 for b in model.roles] for a in (*model.roles, "")])
+    assert n == 3 and np.allclose(np.exp(model.step), counts / counts.sum(1, keepdims=True))
+
+
+def test_places_count_every_block_once(spark):
+    """Rows without a turn, of one turn, equal rows and many blocks of one row, over ranges that cut conversations."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that ranges stay cut
+    try:
+        n = 20_000
+        many = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("same words?").alias("text"))
+        one_turn = spark.range(5000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(3).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+        one_row = spark.createDataFrame([(2, 0, None, "\n".join(f"user: line {i}" for i in range(1000)))], "conv_id long, turn long, role string, text string")
+        found = chat.blocks(many.union(one_turn).union(one_row))
+        got = {r["conv_id"]: (r["n"], r["d"], r["low"], r["high"]) for r in found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("place").alias("d"), F.min("place").alias("low"), F.max("place").alias("high")).collect()}
+        assert got == {1: (n, n, 0, n - 1), None: (5000, 5000, 0, 4999), 2: (1000, 1000, 0, 999)}
+        assert found.groupBy("conv_id", "seg").count().agg(F.max("count")).first()[0] == chat.SEGMENT
+        assert [r["text"] for r in found.filter("conv_id = 2").orderBy("place").collect()] == [f"line {i}" for i in range(1000)]
+        model = chat.fit(found)
+        parsed = chat.roles(found, model)
+        assert parsed.count() == n + 6000 and parsed.filter("opens").filter("conv_id = 1").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_markers_cut_rows_and_name_roles(spark):
     text = "System: be brief\nUser: hello there\nand a second line\n### Assistant: hi\nHuman: bye?\nnot a marker: x"
     rows = spark.createDataFrame([(1, 0, None, text)], "conv_id long, turn long, role string, text string")
