@@ -62,7 +62,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("docs"))
     placed = numbered(totals.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "place").drop("_last")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") - 1).cast("int") % len(WEIGHTS) + 1)
-    sources = written(placed.withColumn("weight", weight), "mix-sources")[0]
+    sources = written(placed.withColumn("weight", weight.cast("long")), "mix-sources")[0]  # an int times the sum of sizes would be an int
     bound = F.col("source_size") * REPEATS
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("weight"), F.lit(1)).alias("w")).first()
     left, weights, cut = total["t"], total["w"], -1

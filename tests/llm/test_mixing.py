@@ -102,3 +102,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == 501 and sum(r.taken for r in got) in range(1496, 1505)
     none = same.withColumn("text", same.text.substr(0, 0))
     assert {(r.size, r.taken, r.target) for r in mixing.mixed(none).collect()} == {(0, 0, 0.0)}
+
+
+def test_more_words_than_an_int_holds(spark):
+    sizes = spark.createDataFrame([("a", 10**9, 1), ("b", 10**9, 1), ("c", 1_000_000, 7)], "source string, size long, copies long")
+    found = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert found["c"] == 3 * 7_000_000 and found["a"] * 2 == found["b"] and abs(sum(found.values()) - 2_007_000_000) < 1e-3
