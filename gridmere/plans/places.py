@@ -77,8 +77,7 @@ def q45(spark, d):
     cell = (F.floor(F.col("x") / 20) * 100 + F.floor(F.col("y") / 20)).alias("cell")
     own = views.points(spark, d).select(F.col("point_id").alias("id"), F.col("area_ha").alias("area"), cell)
     left, right = own.filter("id % 3 = 0"), own.filter("id % 3 = 1")
-    pairs = left.select(F.col("id").alias("left_id"), "cell").join(right.select(F.col("id").alias("right_id"), "cell"), "cell").select("left_id", "right_id")
-    return objects.union_of_two(left, right, pairs)
+    return objects.union_by_cell(left, right)
 
 
 def _albers_sql() -> str:

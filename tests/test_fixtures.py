@@ -208,3 +208,19 @@ def test_median_by_counts(spark):
     df = spark.createDataFrame(rows, "k int, v double").filter("v IS NOT NULL OR k < 12")
     want = table(df.filter("v IS NOT NULL").groupBy("k").agg(F.median("v").alias("median")), "k", "median")
     assert table(statistics.median_by_counts(df, ["k"], "v"), "k", "median") == want
+
+
+def test_union_by_cell_makes_no_pairs(spark):
+    left = spark.createDataFrame([(i, float(i % 7), i % 5) for i in range(0, 300, 3)] + [(9000, None, 0), (9003, 2.0, 77)], "id long, area double, cell long")
+    right = spark.createDataFrame([(i, float(i % 11), i % 5) for i in range(1, 300, 3)] + [(9001, None, 0), (9004, 5.0, 78), (9007, None, 79)], "id long, area double, cell long")
+    pairs = left.select(F.col("id").alias("left_id"), "cell").join(right.filter("area is not null").select(F.col("id").alias("right_id"), "cell"), "cell")
+    columns = "id", "partner", "area", "source"
+    matched = right.filter("id <> 9001")  # a null area is the least, so that object is never the partner
+    assert sorted(map(repr, table_of(objects.union_by_cell(left, right), columns))) == sorted(map(repr, [*table_of(objects.union_of_two(left, matched, pairs), columns)]))
+    many = spark.range(300_000).select("id", F.col("id").cast("double").alias("area"), F.lit(1).alias("cell"))
+    found = objects.union_by_cell(many.filter("id % 2 = 0"), many.filter("id % 2 = 1"))  # 2.25e10 pairs
+    assert found.agg(F.count("partner"), F.min("partner"), F.max("partner")).first()[:] == (150_000, 299_999, 299_999)
+
+
+def table_of(df, columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
