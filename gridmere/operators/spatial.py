@@ -112,6 +112,10 @@ def _diagonal(points: DataFrame, targets: DataFrame) -> float:
     return math.hypot(width or 0, height or 0)
 
 
+#: Targets of an array that a point looks through, and how many a square holds on average before squares are made smaller.
+CHUNK, CROWD = 512, 16
+
+
 def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4, point_key: str = "point_id", target_key: str = "target_id") -> DataFrame:
     """(point_key, target_key, apart): each point's nearest target (columns tx, ty), the least key of equally near ones.
 
@@ -120,21 +124,48 @@ def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4,
     and on until one square is as long as the diagonal of all points and targets, so that every point has a row if there
     is a target. Each round is written, and the search ends when no point is open.
     """
+    return _searched(points, targets, side, rounds, point_key, target_key).select(point_key, target_key, "apart")
+
+
+def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, point_key: str, target_key: str) -> DataFrame:
+    """(point_key, x, y, target_key, apart) of nearest().
+
+    The targets around a square with open points are gathered once for all its points, as arrays of about CHUNK, so that
+    no pair of a point and a target is a row. Of targets at one place the least stays, and the first squares are made
+    smaller while those with any target hold over CROWD on average: a point looks at few, however many there are.
+    """
     diagonal = _diagonal(points, targets)
+    known = targets.filter((F.abs("tx") < float("inf")) & (F.abs("ty") < float("inf")))
+    places, _ = cut(known.groupBy("tx", "ty").agg(F.min(target_key).alias(target_key)))
+    count = places.count()
+    for _ in range(16):
+        if count <= CROWD * places.select(F.floor(F.col("tx") / side), F.floor(F.col("ty") / side)).distinct().count():
+            break
+        side /= 4
     while side * 4 ** (rounds - 1) <= 1.001 * diagonal:
         rounds += 1
-    goals = targets.select(target_key, "tx", "ty", F.floor(F.col("tx") / side).alias("_gx"), F.floor(F.col("ty") / side).alias("_gy"))
-    open_, done, scale = points.select(point_key, "x", "y"), None, 1
-    apart = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
+    goals = places.select(target_key, "tx", "ty", F.floor(F.col("tx") / side).alias("_gx"), F.floor(F.col("ty") / side).alias("_gy"))
+    open_, done, scale = points.select(point_key, "x", "y").filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))), None, 1
+    around = F.sequence(F.lit(-1), F.lit(1))
     for _ in range(rounds):
-        coarse = goals.select(target_key, "tx", "ty", F.floor(F.col("_gx") / scale).alias("_gx"), F.floor(F.col("_gy") / scale).alias("_gy"))
-        around = F.sequence(F.lit(-1), F.lit(1))
-        sent = open_.select("*", F.floor(F.col("x") / (side * scale)).alias("cx"), F.floor(F.col("y") / (side * scale)).alias("cy"), F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
-        pairs = sent.withColumns({"_gx": F.col("cx") + F.col("dx"), "_gy": F.col("cy") + F.col("dy")}).join(coarse, ["_gx", "_gy"], "left").withColumn("apart", apart)
+        at = {"cx": F.floor(F.col("x") / (side * scale)), "cy": F.floor(F.col("y") / (side * scale))}
+        sent = open_.withColumns(at)
+        wanted = sent.select("cx", "cy").distinct().select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+        wanted = wanted.select("cx", "cy", (F.col("cx") + F.col("dx")).alias("_gx"), (F.col("cy") + F.col("dy")).alias("_gy"))
+        coarse = goals.withColumns({"_gx": F.floor(F.col("_gx") / scale), "_gy": F.floor(F.col("_gy") / scale)})
+        crowd = coarse.groupBy("_gx", "_gy").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+        dealt = coarse.join(crowd, ["_gx", "_gy"]).withColumn("_part", F.pmod(F.xxhash64("tx", "ty"), F.col("_n")))
+        packed = dealt.groupBy("_gx", "_gy", "_part").agg(F.collect_list(F.struct("tx", "ty", target_key)).alias("_goals"))
+        near = wanted.join(packed, ["_gx", "_gy"]).groupBy("cx", "cy", "_part").agg(F.flatten(F.collect_list("_goals")).alias("_goals"))
+
+        def apart(t: Column) -> Column:
+            dx, dy = F.col("x") - t["tx"], F.col("y") - t["ty"]
+            return F.struct(F.sqrt(dx * dx + dy * dy).alias("apart"), t[target_key].alias(target_key))
+
+        found = sent.join(near, ["cx", "cy"], "left").withColumn("best", F.array_min(F.transform("_goals", apart)))
         edge = F.least(F.col("x") - (F.col("cx") - 1) * side * scale, (F.col("cx") + 2) * side * scale - F.col("x"), F.col("y") - (F.col("cy") - 1) * side * scale, (F.col("cy") + 2) * side * scale - F.col("y"))
-        best = pairs.groupBy(point_key, "x", "y").agg(F.min(F.when(F.col("apart").isNotNull(), F.struct("apart", target_key))).alias("best"), F.min(edge).alias("edge"))
-        best, _ = cut(best)  # the next round goes on from here
-        sure = best.filter(F.col("best.apart") <= F.col("edge")).select(point_key, F.col(f"best.{target_key}").alias(target_key), F.col("best.apart").alias("apart"))
+        best, _ = cut(found.groupBy(point_key, "x", "y").agg(F.min("best").alias("best"), F.min(edge).alias("edge")))  # the next round goes on from here
+        sure = best.filter(F.col("best.apart") <= F.col("edge")).select(point_key, "x", "y", F.col(f"best.{target_key}").alias(target_key), F.col("best.apart").alias("apart"))
         done = sure if done is None else done.unionByName(sure)
         open_ = best.filter(F.col("best").isNull() | (F.col("best.apart") > F.col("edge"))).select(point_key, "x", "y")
         if open_.isEmpty():
