@@ -119,11 +119,7 @@ def q76(spark, d):
 def q77(spark, d):
     k = F.col("s_suppkey")
     boxes = parquet_table(spark, d, "supplier").select(k.alias("id"), (k * 37 % 1000).cast("double").alias("x"), (k * 91 % 997).cast("double").alias("y"))
-    sides = {"x_min": F.col("x") - 20, "x_max": F.col("x") + 20, "y_min": F.col("y") - 20, "y_max": F.col("y") + 20}
-    sent = spatial.spread(boxes, 80.0, sides)
-    other = sent.toDF("b", "bx", "by", "_gx", "_gy")
-    touching = sent.join(other, ["_gx", "_gy"]).filter((F.col("id") < F.col("b")) & (F.abs(F.col("x") - F.col("bx")) <= 40) & (F.abs(F.col("y") - F.col("by")) <= 40)).select(F.col("id").alias("a"), "b").distinct()
-    return objects.dissolved(boxes.select("id"), touching)
+    return objects.dissolved_near(boxes, 40.0)
 
 
 @query("q78_border_codes", f"""WITH {views.GRID}, c AS (SELECT row // 50 AS tile_row, col // 10 AS tile_col, row % 50 AS r, col % 10 AS c FROM grid)

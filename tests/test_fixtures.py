@@ -224,3 +224,24 @@ def test_union_by_cell_makes_no_pairs(spark):
 
 def table_of(df, columns):
     return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_groups_by_steps_without_pairs(spark):
+    """Against all pairs; a square's places are one link, however many."""
+    draw = random.Random(8)
+    for side in (300, 900):
+        places = [(i, float(draw.randrange(-side, side)), float(draw.randrange(-side, side))) for i in range(400)] + [(900, None, 1.0), (901, float("inf"), 1.0), (902, 5000.0, 0.0), (903, 5040.0, 40.0), (904, 5080.0, 0.0), (905, 5121.0, 0.0)]
+        group = {i: i for i, *_ in places}
+
+        def root(i, group=group):
+            return i if group[i] == i else root(group[i])
+
+        for i, x, y in places:
+            for j, u, v in places:
+                if None not in (x, u) and abs(x - u) <= 40 and abs(y - v) <= 40:
+                    a, b = sorted((root(i), root(j)))
+                    group[b] = a
+        df = spark.createDataFrame(places, "id long, x double, y double")
+        assert dict(table_of(objects.dissolved_near(df, 40.0), ("id", "group"))) == {i: root(i) for i in group}
+    crowd = spark.range(200_000).select("id", (F.col("id") % 40).cast("double").alias("x"), F.lit(1.0).alias("y"))  # 2e10 pairs
+    assert objects.dissolved_near(crowd, 40.0).select("group").distinct().count() == 1
