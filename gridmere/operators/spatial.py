@@ -55,9 +55,13 @@ def within_join(points: DataFrame, polygons: DataFrame, side: float, how: str =
 
 def near_join(points: DataFrame, polygons: DataFrame, side: float, distance: float, ring: str = "ring") -> DataFrame:
     """Points within a distance of polygons, as a buffer around them would hold; `apart` is 0 inside."""
-    reach = spread(polygons, side, geometry.bounds(F.col(ring)), distance)
-    pairs = placed(points, side).join(reach, ["_gx", "_gy"]).drop("_gx", "_gy")
-    return pairs.withColumn("apart", geometry.ring_distance(F.col("x"), F.col("y"), F.col(ring))).filter(F.col("apart") <= distance)
+    box = geometry.bounds(F.col(ring))
+    boxed = polygons.withColumns({f"_{n}": c for n, c in box.items()})
+    reach = spread(boxed, side, {n: F.col(f"_{n}") for n in box}, distance)
+    inside = [F.col(c).between(F.col(f"_{c}_min") - distance, F.col(f"_{c}_max") + distance) for c in "xy"]
+    pairs = placed(points, side).join(reach, ["_gx", "_gy"]).filter(inside[0] & inside[1]).drop("_gx", "_gy", *(f"_{n}" for n in box))
+    # through explode, so that the filter does not measure it a second time
+    return pairs.select("*", F.explode(F.array(geometry.ring_distance(F.col("x"), F.col("y"), F.col(ring)))).alias("apart")).filter(F.col("apart") <= distance)
 
 
 def around_join(points: DataFrame, polygons: DataFrame, side: float, distance: float, ring: str = "ring") -> DataFrame:

@@ -245,3 +245,13 @@ def test_groups_by_steps_without_pairs(spark):
         assert dict(table_of(objects.dissolved_near(df, 40.0), ("id", "group"))) == {i: root(i) for i in group}
     crowd = spark.range(200_000).select("id", (F.col("id") % 40).cast("double").alias("x"), F.lit(1.0).alias("y"))  # 2e10 pairs
     assert objects.dissolved_near(crowd, 40.0).select("group").distinct().count() == 1
+
+
+def test_near_join_measures_only_boxes_in_reach(spark):
+    ring = [{"x": float(a), "y": float(b)} for a, b in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))]
+    polygons = spark.createDataFrame([(7, ring)], "poly long, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(0, 5.0, 5.0), (1, 12.0, 5.0), (2, 12.0, 12.0), (3, 12.1, 12.2), (4, 90.0, 90.0), (5, None, 1.0), (6, float("nan"), 1.0), (8, -3.0, 5.0)], "point_id long, x double, y double")
+    near = spatial.near_join(points, polygons, 100.0, 3.0)
+    assert {i: round(a, 6) for i, a in table_of(near, ("point_id", "apart"))} == {0: 0.0, 1: 2.0, 2: round(8**0.5, 6), 8: 3.0}
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("hypot") <= plan.count("HYPOT") + 1 if "hypot" in plan else plan.count("HYPOT") == 1  # once, not in a filter too
