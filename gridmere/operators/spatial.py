@@ -131,8 +131,9 @@ def nearest(points: DataFrame, targets: DataFrame, side: float, rounds: int = 4,
     return _searched(points, targets, side, rounds, point_key, target_key).select(point_key, target_key, "apart")
 
 
-def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, point_key: str, target_key: str) -> DataFrame:
-    """(point_key, x, y, target_key, apart) of nearest().
+def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, point_key: str, target_key: str, bound: bool = False) -> DataFrame:
+    """(point_key, x, y, target_key, apart) of nearest(), or with `bound` of a target that is near: one of each half square
+    is looked at in wider rounds, so that `apart` is no less than the way to the nearest, and not much more.
 
     The targets around a square with open points are gathered once for all its points, as arrays of about CHUNK, so that
     no pair of a point and a target is a row. Of targets at one place the least stays, and the first squares are made
@@ -151,12 +152,16 @@ def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, p
     goals = places.select(target_key, "tx", "ty", F.floor(F.col("tx") / side).alias("_gx"), F.floor(F.col("ty") / side).alias("_gy"))
     open_, done, scale = points.select(point_key, "x", "y").filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))), None, 1
     around = F.sequence(F.lit(-1), F.lit(1))
+    tasks = 4 * points.sparkSession.sparkContext.defaultParallelism
     for _ in range(rounds):
         at = {"cx": F.floor(F.col("x") / (side * scale)), "cy": F.floor(F.col("y") / (side * scale))}
         sent = open_.withColumns(at)
         wanted = sent.select("cx", "cy").distinct().select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
         wanted = wanted.select("cx", "cy", (F.col("cx") + F.col("dx")).alias("_gx"), (F.col("cy") + F.col("dy")).alias("_gy"))
         coarse = goals.withColumns({"_gx": F.floor(F.col("_gx") / scale), "_gy": F.floor(F.col("_gy") / scale)})
+        if bound and scale > 1:
+            half = [F.floor(F.col(c) / (side * scale / 2)).alias(f"_h{c}") for c in ("tx", "ty")]
+            coarse = coarse.groupBy("_gx", "_gy", *half).agg(F.min(F.struct("tx", "ty", target_key)).alias("_t")).select("_gx", "_gy", "_t.*")
         crowd = coarse.groupBy("_gx", "_gy").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
         dealt = coarse.join(crowd, ["_gx", "_gy"]).withColumn("_part", F.pmod(F.xxhash64("tx", "ty"), F.col("_n")))
         packed = dealt.groupBy("_gx", "_gy", "_part").agg(F.collect_list(F.struct("tx", "ty", target_key)).alias("_goals"))
@@ -174,6 +179,7 @@ def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, p
         open_ = best.filter(F.col("best").isNull() | (F.col("best.apart") > F.col("edge"))).select(point_key, "x", "y")
         if open_.isEmpty():
             break
+        open_ = open_.repartition(tasks, point_key)  # few bytes, but much work: not by the size of the files
         scale *= 4
     return done
 
@@ -190,18 +196,20 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, side: float, point_k
     steps = F.greatest(F.ceil(F.hypot(F.col("e.q.x") - F.col("e.p.x"), F.col("e.q.y") - F.col("e.p.y")) / side), F.lit(1))
     marks = edges.select("*", steps.alias("n")).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: k / F.col("n"))).alias("t"))
     targets = marks.select("target_id", *((F.col(f"e.p.{c}") + F.col("t") * (F.col(f"e.q.{c}") - F.col(f"e.p.{c}"))).alias(f"t{c}") for c in "xy"))
-    reach = nearest(points, targets, side, point_key=point_key).select(point_key, F.greatest(F.ceil(F.log(4.0, F.col("apart") / side)), F.lit(0)).alias("level"))
+    reach = _searched(points, targets, side, 4, point_key, "target_id", bound=True).repartition(4 * points.sparkSession.sparkContext.defaultParallelism, point_key).withColumn("level", F.greatest(F.ceil(F.log(4.0, F.col("apart") / side)), F.lit(0)))
     reach = reach.withColumn("level", F.coalesce(F.col("level"), F.lit(0)).cast("int"))  # apart 0 has no logarithm
     levels = math.ceil(math.log(max(1.0, _diagonal(points, targets) / side), 4)) + 1
     long = F.lit(side) * F.pow(F.lit(4.0), F.col("level"))
     around = F.sequence(F.lit(-1), F.lit(1))
-    looking = points.select(point_key, "x", "y").join(reach, point_key).select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
-    looking = looking.select(point_key, "x", "y", "level", (F.floor(F.col("x") / long) + F.col("dx")).alias("_gx"), (F.floor(F.col("y") / long) + F.col("dy")).alias("_gy"))
+    looking = reach.select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+    looking = looking.select(point_key, "x", "y", F.col("apart").alias("_most"), "level", (F.floor(F.col("x") / long) + F.col("dx")).alias("_gx"), (F.floor(F.col("y") / long) + F.col("dy")).alias("_gy"))
     box = geometry.bounds(F.col(ring))
     sent = polygons.select(F.col(key).alias("_key"), F.col(ring).alias("_ring"), *(c.alias(f"_{n}") for n, c in box.items())).select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     for axis in "xy":
         sent = sent.select("*", F.explode(F.sequence(F.floor(F.col(f"_{axis}_min") / long), F.floor(F.col(f"_{axis}_max") / long))).alias(f"_g{axis}"))
-    pairs = looking.join(sent, ["level", "_gx", "_gy"]).select(point_key, "_key", geometry.ring_distance(F.col("x"), F.col("y"), F.col("_ring")).alias("apart"))
+    # a box farther than the nearest mark holds nothing nearer
+    off = [F.greatest(F.col(f"_{c}_min") - F.col(c), F.col(c) - F.col(f"_{c}_max"), F.lit(0.0)) for c in "xy"]
+    pairs = looking.join(sent, ["level", "_gx", "_gy"]).filter(F.hypot(*off) <= F.col("_most") * (1 + 1e-9)).select(point_key, "_key", geometry.ring_distance(F.col("x"), F.col("y"), F.col("_ring")).alias("apart"))
     best = pairs.groupBy(point_key).agg(F.min(F.struct("apart", "_key")).alias("b"))
     return best.select(point_key, F.col("b._key").alias(key), F.col("b.apart").alias("apart"))
 
