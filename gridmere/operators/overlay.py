@@ -22,9 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cmp_to_key
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import geometry
@@ -36,6 +38,8 @@ from .winding import ENDS, Grid, turn
 #: Lattice points are multiples of 4, so that middles of pieces are even and grid lines odd.
 STEP = 4
 ROUNDS = 30
+#: Edges of a result shape up to which one task chains them all; those of larger ones go by connected sets.
+CHAINED = 100_000
 POINT = "struct<x:double,y:double>"
 
 
@@ -183,38 +187,74 @@ def chained(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> Iterator[list
                     way.append(at)
 
 
-def ring_rows(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
-    """Rings of one connected set of directed edges, with twice their areas; the middle of the first edge tells where a
-    ring is."""
-    rows = []
-    for ring in chained(list(zip(pdf["ax"].tolist(), pdf["ay"].tolist())), list(zip(pdf["bx"].tolist(), pdf["by"].tolist()))):
+def ring_rows(out, a: list[tuple[int, int]], b: list[tuple[int, int]]) -> Iterator[tuple]:
+    """Rings of one set of directed edges, with twice their areas; the middle of the first edge tells where a ring is."""
+    for ring in chained(a, b):
         area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:]))
         (px, py), (qx, qy) = ring[:2]
-        rows.append((pdf[key].iloc[0], *min(ring[:-1]), float(area), (px + qx) // 2, (py + qy) // 2, [p[0] for p in ring], [p[1] for p in ring]))
-    return pd.DataFrame(rows, columns=["out", "left_x", "left_y", "area", "mx", "my", "xs", "ys"])
+        yield out, *min(ring[:-1]), float(area), (px + qx) // 2, (py + qy) // 2, [p[0] for p in ring], [p[1] for p in ring]
+
+
+def _chains(schema: pa.Schema):
+    """Rings of edges (out, root, ax, ay, bx, by) that are sorted by out and root: a task holds one set at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, a, b = None, [], []
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for out, root, ax, ay, bx, by in zip(*(c.to_pylist() for c in batch.columns)):
+                if (out, root) != at:
+                    if a:
+                        rows += ring_rows(at[0], a, b)
+                    at, a, b = (out, root), [], []
+                a.append((ax, ay))
+                b.append((bx, by))
+            if rows:
+                yield made(rows)
+        if a:
+            yield made(list(ring_rows(at[0], a, b)))
+
+    return run
+
+
+def _rooted(directed: DataFrame, key: str) -> DataFrame:
+    """(key, root, ax, ay, bx, by): the edges of a shape as one set, or, where they are many, as its connected sets. Corners
+    are told apart by their shape too, so that shapes that share corners are never one set."""
+    many = directed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CHAINED).select(key)
+    ends = [key, "ax", "ay", "bx", "by"]
+    one = directed.select(key, F.lit(0).cast("long").alias("root"), *ends[1:])
+    if many.isEmpty():
+        return one
+    many, _ = cut(many)
+    large = directed.join(many, key, "left_semi").withColumns({"a": F.xxhash64(key, "ax", "ay"), "b": F.xxhash64(key, "bx", "by")})
+    roots = components(large.select("a", "b"))
+    return one.join(many, key, "left_anti").unionByName(large.join(roots, large["a"] == roots["node"]).select(key, "root", *ends[1:]))
 
 
 def shapes(directed: DataFrame, key: str, grid: Grid, precision: float) -> DataFrame:
     """(key, part, rings) of directed edges: chained to rings, holes with the smallest outline around them."""
     kind = dict(directed.dtypes)[key]
     directed, _ = cut(directed)
-    place = lambda x, y: (F.col(x) + (1 << 30)) * (1 << 31) + F.col(y) + (1 << 30)
-    found = directed.withColumns({"a": place("ax", "ay"), "b": place("bx", "by")})
-    roots = components(found.select("a", "b"))
-    grouped = found.join(roots, found["a"] == roots["node"]).select(F.col(key), "ax", "ay", "bx", "by", "root")
+    sets = _rooted(directed, key).select(F.col(key).alias("out"), "root", "ax", "ay", "bx", "by").repartition("out", "root").sortWithinPartitions("out", "root")
     ddl = f"out {kind}, left_x long, left_y long, area double, mx long, my long, xs array<long>, ys array<long>"
-    rings, _ = cut(grouped.groupBy(key, "root").applyInPandas(lambda pdf: ring_rows(pdf, key), ddl).withColumn("id", F.xxhash64("out", "xs", "ys")))
+    rings, _ = cut(sets.mapInArrow(_chains(to_arrow_schema(StructType.fromDDL(ddl))), ddl).withColumn("id", F.xxhash64("out", "xs", "ys")))
     corners = F.arrays_zip("xs", "ys")
     points = F.transform(corners, lambda p: F.struct((p["xs"] / STEP * precision).alias("x"), (p["ys"] / STEP * precision).alias("y")))
     outlines, holes = rings.filter("area > 0"), rings.filter("area < 0")
-    lattice = outlines.select("out", "id", F.array(F.transform(corners, lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))).alias("rings"))
+    part = F.row_number().over(Window.partitionBy("out").orderBy("left_x", "left_y", "id"))
+    if holes.isEmpty():
+        return outlines.select(F.col("out").alias(key), part.alias("part"), F.array(points).alias("rings"))
+    lattice = outlines.join(holes.select("out").distinct(), "out", "left_semi").select("out", "id", F.array(F.transform(corners, lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))).alias("rings"))
     squares = winding.index(winding.edges_of(lattice, ["out", "id"]), ["out", "id"], grid)
     held = holes.select("out", F.col("id").alias("hole"), F.col("mx").alias("x"), F.col("my").alias("y"), points.alias("ring"))
     around = winding.located(held, squares, grid, ["out"]).filter("winding % 2 <> 0").join(outlines.select("out", "id", "area"), ["out", "id"])
     owner = around.groupBy("out", "hole").agg(F.min_by("id", F.struct("area", "id")).alias("id"), F.first("ring").alias("ring"))
     inner = owner.groupBy("out", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "ring"))), lambda h: h["ring"]).alias("holes"))
     whole = outlines.join(inner, ["out", "id"], "left").withColumn("rings", F.concat(F.array(points), F.coalesce("holes", F.array().cast(f"array<array<{POINT}>>"))))
-    part = F.row_number().over(Window.partitionBy("out").orderBy("left_x", "left_y", "id"))
     return whole.select(F.col("out").alias(key), part.alias("part"), "rings")
 
 
@@ -273,7 +313,9 @@ def offset_curves(polygons: DataFrame, key: str, distance: float, quarter: int,
     """(key, x1, y1, x2, y2, w): for each ring the closed curve at a distance from it, outwards. Corners that turn outwards
     get an arc of `quarter` pieces a right angle; at others the curve goes back to the corner, so that its winding number
     is positive just where the buffer is: it adds the ring, a strip of each edge and a sector of each such corner."""
-    named = polygons.select(F.col(key).alias("grp"), F.posexplode(rings).alias("_at", "ring"))
+    # corners cost far more than their bytes tell: rows are dealt to many tasks, whatever files they come in
+    dealt = winding.dealt(polygons.select(F.col(key).alias("grp"), F.col(rings).alias("rings")), "grp")
+    named = dealt.select("grp", F.posexplode("rings").alias("_at", "ring"))
     corners = F.filter("ring", lambda p, i: (i == 0) | (F.get("ring", i - 1)["x"] != p["x"]) | (F.get("ring", i - 1)["y"] != p["y"]))
     # each ring goes through explode, so that what is done with its corners does not make it anew for each of them
     flat = named.select("grp", "_at", F.explode(F.array(corners)).alias("ring")).filter(F.size("ring") >= 4)
@@ -281,22 +323,25 @@ def offset_curves(polygons: DataFrame, key: str, distance: float, quarter: int,
     turned = flat.select("grp", F.explode(F.array(F.when((area > 0) == (F.col("_at") == 0), F.col("ring")).otherwise(F.reverse("ring")))).alias("ring"))
     n = F.size("ring") - 1
 
-    def strip(i: Column) -> Column:
+    def corner(i: Column) -> Column:
         p, o, q = F.get("ring", i), F.get("ring", (i + n - 1) % n), F.get("ring", i + 1)
         ux, uy, vx, vy = p["x"] - o["x"], p["y"] - o["y"], q["x"] - p["x"], q["y"] - p["y"]
         cross, dot = ux * vy - uy * vx, ux * vx + uy * vy
         begin = F.atan2(-ux, uy)  # of the normal on the right of the edge before
         angle = F.when((cross == 0) & (dot < 0), F.pi()).otherwise(F.atan2(cross, dot))
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), begin.alias("begin"), angle.alias("angle"))
 
+    def strip(c: Column) -> Column:
         def on_arc(a: Column) -> Column:
-            return F.struct((p["x"] + distance * F.cos(a)).alias("x"), (p["y"] + distance * F.sin(a)).alias("y"))
+            return F.struct((c["x"] + distance * F.cos(a)).alias("x"), (c["y"] + distance * F.sin(a)).alias("y"))
 
-        pieces = F.greatest(F.ceil(angle / (F.pi() / 2) * quarter), F.lit(1))
-        arc = F.transform(F.sequence(F.lit(0).cast("long"), pieces), lambda k: on_arc(begin + angle * k / pieces))
-        inward = F.array(on_arc(begin), F.struct(p["x"].alias("x"), p["y"].alias("y")), on_arc(begin + angle))
-        return F.when(angle >= 0, arc).otherwise(inward)
+        pieces = F.greatest(F.ceil(c["angle"] / (F.pi() / 2) * quarter), F.lit(1))
+        arc = F.transform(F.sequence(F.lit(0).cast("long"), pieces), lambda k: on_arc(c["begin"] + c["angle"] * k / pieces))
+        inward = F.array(on_arc(c["begin"]), F.struct(c["x"].alias("x"), c["y"].alias("y")), on_arc(c["begin"] + c["angle"]))
+        return F.when(c["angle"] >= 0, arc).otherwise(inward)
 
-    curve = turned.select("grp", F.explode(F.array(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), strip)))).alias("curve")).withColumnRenamed("curve", "ring")
+    known = turned.select("grp", F.explode(F.array(F.transform(F.sequence(F.lit(0), n - 1), corner))).alias("corners"))
+    curve = known.select("grp", F.explode(F.array(F.flatten(F.transform("corners", strip)))).alias("ring"))
     closed = curve.select("grp", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
     return winding.edges_of(closed.select("grp", F.array("ring").alias("rings")), ["grp"])
 

@@ -136,6 +136,12 @@ def met_squares(edges: DataFrame, grid: Grid, keep: Sequence[str | Column]) -> D
     return rows.select(*keep, "_gy", F.explode(cols).alias("_gx"))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows by columns to many tasks: work on squares is far more than their bytes tell, by which Spark would join tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def index(edges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     """(keys..., level, _gx, _gy, base, edges): for each polygon and square that it covers any of, the winding number at
     the square's lower left corner and the edges that meet it. One shuffle, by polygon and grid row."""
@@ -147,7 +153,7 @@ def index(edges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     sign = F.when(F.col("e.y2") > F.col("e.y1"), -F.col("e.w")).otherwise(F.col("e.w"))
     crossed = lines.select(*keys, F.lit(None).cast(squares.schema["e"].dataType).alias("e"), "_gy", _column(grid, F.col("e"), grid.line(F.col("_gy"), side), side).alias("_gx"), sign.cast("long").alias("s"))
     row = [*keys, "_gy"]
-    told = squares.select(*crossed.columns).unionByName(crossed).repartition(*row).groupBy(*row, "_gx").agg(F.collect_list("e").alias("edges"), F.coalesce(F.sum("s"), F.lit(0)).alias("_s"))
+    told = dealt(squares.select(*crossed.columns).unionByName(crossed), *row).groupBy(*row, "_gx").agg(F.collect_list("e").alias("edges"), F.coalesce(F.sum("s"), F.lit(0)).alias("_s"))
     along = Window.partitionBy(*row).orderBy("_gx")
     base = F.coalesce(F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     told = told.withColumns({"base": base, "_before": F.lag("_gx").over(along)})
@@ -162,22 +168,26 @@ def index(edges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
 def crowds(edges: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     """(keys..., level, _gx, _gy, edges): squares with the edges that meet them, cut as finely as the index."""
     ends = F.struct(*ENDS)
-    found = met_squares(edges, grid, [*keys, ends.alias("e")]).groupBy(*keys, "_gy", "_gx").agg(F.collect_list("e").alias("edges"))
+    found = dealt(met_squares(edges, grid, [*keys, ends.alias("e")]), *keys, "_gy", "_gx").groupBy(*keys, "_gy", "_gx").agg(F.collect_list("e").alias("edges"))
     return _refined(found.select(*keys, F.lit(0).alias("level"), "_gx", "_gy", F.lit(0).cast("long").alias("base"), "edges"), keys, grid, counted=False).drop("base")
 
 
 def _refined(found: DataFrame, keys: Sequence[str], grid: Grid, counted: bool = True) -> DataFrame:
     """Squares with many edges cut in 4 x 4, again and again; a square that nothing covers goes."""
     for level in range(grid.depth):
-        # other names: in lambdas, a column's name may mean a new column of that name
-        now = found.select(*keys, F.col("level").alias("_l"), F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), F.col("base").alias("_base"), F.col("edges").alias("_edges"))
-        whole = F.struct(F.col("_l").alias("level"), F.col("_ox").alias("_gx"), F.col("_oy").alias("_gy"), F.col("_base").alias("base"), F.col("_edges").alias("edges"))
-        full = (F.col("_l") == level) & (F.size("_edges") > grid.most)
-        parts = F.when(full, F.transform(F.sequence(F.lit(0), F.lit(15)), _part(grid, level, counted))).otherwise(F.array(whole))
-        found = now.select(*keys, F.explode(parts).alias("_q")).select(*keys, "_q.*").filter((F.col("base") != 0) | (F.size("edges") > 0))
+        found = refined_once(found, keys, grid, level, F.size("edges") > grid.most, counted)
     return found
 
 
+def refined_once(found: DataFrame, keys: Sequence[str], grid: Grid, level: int, full: Column, counted: bool = True) -> DataFrame:
+    """Squares of a level cut in 4 x 4 where `full` holds."""
+    # other names: in lambdas, a column's name may mean a new column of that name
+    now = found.select(*keys, F.col("level").alias("_l"), F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), F.col("base").alias("_base"), F.col("edges").alias("_edges"), full.alias("_full"))
+    whole = F.struct(F.col("_l").alias("level"), F.col("_ox").alias("_gx"), F.col("_oy").alias("_gy"), F.col("_base").alias("base"), F.col("_edges").alias("edges"))
+    parts = F.when((F.col("_l") == level) & F.col("_full"), F.transform(F.sequence(F.lit(0), F.lit(15)), _part(grid, level, counted))).otherwise(F.array(whole))
+    return now.select(*keys, F.explode(parts).alias("_q")).select(*keys, "_q.*").filter((F.col("base") != 0) | (F.size("edges") > 0))
+
+
 def _part(grid: Grid, level: int, counted: bool):
     """Makes one of the 16 parts of a square of a level."""
     side, finer = grid.sides()[level], grid.sides()[level + 1]

@@ -153,3 +153,16 @@ def test_empty_and_far(spark):
         overlay.repaired(frame(spark, {1: [[(0, 0), (1e9, 0), (0, 1e9)]]}), "poly", 4.0).count()
     assert winding.Grid(64, 1, whole=True).sides() == [64, 16]
     assert spark.range(1).select(geometry.ring_area(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [*BOX, BOX[0]])))).first()[0] == 100
+
+def test_shapes_that_share_corners_need_no_components(spark, monkeypatch):
+    """Buffers of a lattice of boxes share corners, but are chained one by one; only shapes of many edges go by connected
+    sets, which are of one shape."""
+    rows = {k: [[(4 * a + 10 * (k % 4), 4 * b + 10 * (k // 4)) for a, b in [(0, 0), (5, 0), (5, 5), (0, 5)]]] for k in range(16)}
+    seen = []
+    real = overlay.components
+    monkeypatch.setattr(overlay, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    one = {k: area(v) for k, v in plain(overlay.buffered(frame(spark, rows), "poly", 5.0, 40.0, 2, 0.25), ["poly"]).items()}
+    assert not seen and len(one) == 16
+    monkeypatch.setattr(overlay, "CHAINED", 10)
+    assert {k: area(v) for k, v in plain(overlay.buffered(frame(spark, rows), "poly", 5.0, 40.0, 2, 0.25), ["poly"]).items()} == one
+    assert len(seen) == 1
