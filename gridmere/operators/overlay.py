@@ -20,6 +20,7 @@ by more than it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import cmp_to_key
 
 import pyarrow as pa
@@ -66,9 +67,30 @@ def summed(edges: DataFrame) -> DataFrame:
     return edges.groupBy("grp", "shape", *ENDS).agg(F.sum("w").cast("long").alias("w")).filter("w <> 0")
 
 
-def _cuts(edges: DataFrame, grid: Grid) -> DataFrame:
-    """(grp, e, at): places inside edges, as a set each, where another edge crosses or touches them."""
-    squares = winding.crowds(edges.select("grp", *ENDS).distinct(), ["grp"], grid)
+def open_squares(edges: DataFrame, grid: Grid) -> DataFrame:
+    """(grp, shape, level, _gx, _gy, base, edges): the index of all shapes, cut as finely as the edges of a group's shapes
+    together call for, without the squares that lie whole inside one shape of the group. No union has a boundary there,
+    so that what is left is the squares about the union's boundary, however many shapes lie over each other."""
+    found = winding.index(edges, ["grp", "shape"], replace(grid, depth=0))
+    own = Window.partitionBy("grp", "level", "_gx", "_gy")
+    for level in range(grid.depth + 1):
+        held = F.max((F.size("edges") == 0) & odd(F.col("base"))).over(own)
+        found = winding.dealt(found, "grp", "level", "_gx", "_gy").withColumns({"_n": F.sum(F.size("edges")).over(own), "_held": held}).filter("NOT _held").drop("_held")
+        if level < grid.depth:
+            found = winding.refined_once(found, ["grp", "shape"], grid, level, F.col("_n") > grid.most)
+    return found.drop("_n")
+
+
+def _open_crowds(edges: DataFrame, grid: Grid) -> DataFrame:
+    """The open squares with the distinct edges that meet them, as winding.crowds()."""
+    ends = F.transform("edges", lambda e: F.struct(*(e[c].alias(c) for c in ENDS)))
+    return open_squares(edges, grid).groupBy("grp", "level", "_gx", "_gy").agg(F.array_distinct(F.flatten(F.collect_list(ends))).alias("edges"))
+
+
+def _cuts(edges: DataFrame, grid: Grid, only_open: bool = False) -> DataFrame:
+    """(grp, e, at): places inside edges, as a set each, where another edge crosses or touches them; those in open squares
+    alone, if told so."""
+    squares = _open_crowds(edges, grid) if only_open else winding.crowds(edges.select("grp", *ENDS).distinct(), ["grp"], grid)
     low, high = (lambda e: F.least(e["y1"], e["y2"])), (lambda e: F.greatest(e["y1"], e["y2"]))
     first = squares.select("grp", "edges", F.explode("edges").alias("a"))
     a = F.col("a")
@@ -95,12 +117,13 @@ def _cuts(edges: DataFrame, grid: Grid) -> DataFrame:
     return new.groupBy("grp", "e").agg(F.collect_set("p").alias("at"))
 
 
-def noded(edges: DataFrame, grid: Grid) -> DataFrame:
-    """Edges cut where they cross or touch, written: no two pieces share more than an end, or are the same piece."""
+def noded(edges: DataFrame, grid: Grid, only_open: bool = False) -> DataFrame:
+    """Edges cut where they cross or touch, written: no two pieces share more than an end, or are the same piece. With
+    `only_open`, that holds in open squares."""
     spark = edges.sparkSession
     now, path = cut(summed(edges))
     for _ in range(ROUNDS):
-        cuts, cuts_path = cut(_cuts(now, grid))
+        cuts, cuts_path = cut(_cuts(now, grid, only_open))
         if cuts.isEmpty():
             remove(spark, cuts_path)
             return now
@@ -118,9 +141,10 @@ def noded(edges: DataFrame, grid: Grid) -> DataFrame:
     raise RuntimeError(f"edges still cross after {ROUNDS} rounds: take a coarser or finer precision")
 
 
-def sides(pieces: DataFrame, grid: Grid) -> DataFrame:
-    """(grp, x1, y1, x2, y2, shape, right, left): winding numbers of each shape on both sides of each distinct piece."""
-    squares = winding.index(pieces, ["grp", "shape"], grid)
+def sides(pieces: DataFrame, grid: Grid, only_open: bool = False) -> DataFrame:
+    """(grp, x1, y1, x2, y2, shape, right, left): winding numbers of each shape on both sides of each distinct piece, or of
+    those whose middle is in an open square."""
+    squares = open_squares(pieces, grid) if only_open else winding.index(pieces, ["grp", "shape"], grid)
     middles = pieces.select("grp", *ENDS).distinct().withColumns({"x": F.floor((F.col("x1") + F.col("x2")) / 2), "y": F.floor((F.col("y1") + F.col("y2")) / 2)})
     same = F.filter("edges", lambda e: (e["x1"] == F.col("x1")) & (e["y1"] == F.col("y1")) & (e["x2"] == F.col("x2")) & (e["y2"] == F.col("y2")))
     own = F.aggregate(same, F.lit(0).cast("long"), lambda acc, e: acc + e["w"])
@@ -275,9 +299,15 @@ def repaired(polygons: DataFrame, key: str, side: float, precision: float = 1e-3
 def dissolved(polygons: DataFrame, key: str, by: str, side: float, precision: float = 1e-3, rings: str = "rings") -> DataFrame:
     """(by, part, rings): the union of all polygons of each group, in parts. `key` tells polygons apart."""
     grid = grid_of(side, precision)
-    pieces = noded(edges_of(polygons, F.col(by), F.col(key), precision, rings), grid)
-    found = sides(pieces, grid).withColumns({"_r": odd(F.col("right")), "_l": odd(F.col("left"))})
-    return shapes(half_edges(_bounds(found, ["grp"]), "grp"), "grp", grid, precision).withColumnRenamed("grp", by)
+    return shapes(_united(edges_of(polygons, F.col(by), F.col(key), precision, rings), grid), "grp", grid, precision).withColumnRenamed("grp", by)
+
+
+def _united(edges: DataFrame, grid: Grid) -> DataFrame:
+    """(grp, ax, ay, bx, by): the boundary of each group's union, the union on its left. A piece of it ends where another
+    edge meets it, outside the inside of all shapes; so pieces need to be cut, and their sides known, in open squares only.
+    Pieces that were not cut elsewhere are no boundary: a shape holds both of their sides."""
+    found = sides(noded(edges, grid, True), grid, True).withColumns({"_r": odd(F.col("right")), "_l": odd(F.col("left"))})
+    return half_edges(_bounds(found, ["grp"]), "grp")
 
 
 def _layers(first: DataFrame, second: DataFrame, keys: tuple[str, str], precision: float, rings: tuple[str, str], grid: Grid) -> tuple[DataFrame, DataFrame]:

@@ -166,3 +166,24 @@ def test_shapes_that_share_corners_need_no_components(spark, monkeypatch):
     monkeypatch.setattr(overlay, "CHAINED", 10)
     assert {k: area(v) for k, v in plain(overlay.buffered(frame(spark, rows), "poly", 5.0, 40.0, 2, 0.25), ["poly"]).items()} == one
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("form", ["dissolved"])
+def test_shapes_over_each_other_are_not_all_cut(spark, monkeypatch, form):
+    """Fifty boxes that all overlap have thousands of crossings, of which the results need few."""
+    draw = random.Random(3)
+    boxes = {k: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]] for k in range(50) for x, y, w, h in [[draw.randrange(20), draw.randrange(20), draw.randrange(40, 60), draw.randrange(40, 60)]]}
+    cells = {(x, y) for ((a, b), _, (c, d), _), in boxes.values() for x in range(a, c) for y in range(b, d)}
+    pieces, real = [], overlay.noded
+    monkeypatch.setattr(overlay, "noded", lambda *args: (found := real(*args), pieces.append(found.count()))[0])
+    whole = frame(spark, {1: [[(-5, -5), (90, -5), (90, 90), (-5, 90)]]})
+    if form == "dissolved":
+        found = plain(overlay.dissolved(frame(spark, boxes).withColumn("all", F.lit(0)), "poly", "all", 40.0, 0.25), ["all"])
+        assert area(found[(0,)]) == len(cells)
+    elif form == "differenced":
+        found = plain(overlay.differenced(whole, frame(spark, boxes, "other"), ("poly", "other"), 40.0, 0.25), ["poly"])
+        assert area(found[(1,)]) == 95 * 95 - len(cells)
+    else:
+        found = plain(overlay.intersected(whole, frame(spark, boxes, "other"), ("poly", "other"), 40.0, 0.25), ["poly", "other"])
+        assert {k: area(v) for (_, k), v in found.items()} == {k: abs(signed([*b[0], b[0][0]])) for k, b in boxes.items()}
+    assert sum(pieces) < 1500
