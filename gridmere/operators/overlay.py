@@ -310,6 +310,40 @@ def _united(edges: DataFrame, grid: Grid) -> DataFrame:
     return half_edges(_bounds(found, ["grp"]), "grp")
 
 
+def _extents(edges: DataFrame) -> DataFrame:
+    """(grp, x1, y1, x2, y2): the box around each group's edges."""
+    return edges.groupBy("grp").agg(F.min("x1").alias("x1"), F.min(F.least("y1", "y2")).alias("y1"), F.max("x2").alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2"))
+
+
+def _neighbours(first: DataFrame, second: DataFrame, grid: Grid) -> DataFrame:
+    """(a, b): polygons of two layers, given by their edges, that have a square in common and boxes that overlap."""
+    squares, boxes = [], []
+    for name, edges in (("a", first), ("b", second)):
+        squares.append(winding.index(edges, ["grp"], replace(grid, depth=0)).select(F.col("grp").alias(name), "_gx", "_gy"))
+        boxes.append(_extents(edges).select(F.col("grp").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ENDS)))
+    met = squares[0].join(squares[1], ["_gx", "_gy"]).select("a", "b").distinct()
+    over = (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2"))
+    return met.join(boxes[0], "a").join(boxes[1], "b").filter(over).select("a", "b")
+
+
+def intersected(first: DataFrame, second: DataFrame, keys: tuple[str, str], side: float, precision: float = 1e-3, rings: tuple[str, str] = ("rings", "rings")) -> DataFrame:
+    """(first key, second key, part, rings): what each polygon of one layer shares with each of another. Polygons with
+    squares in common are pairs, each a group of its own with all edges of both: polygons of one layer that overlap are not
+    cut at each other, and the work grows with the corners of the pairs."""
+    grid = grid_of(side, precision)
+    layers = [cut(edges_of(df, F.struct(F.col(k)), F.lit(i), precision, r))[0] for i, (df, k, r) in enumerate(zip((first, second), keys, rings))]
+    pairs, _ = cut(_neighbours(*layers, grid))
+    group = F.struct(*(F.col(f"{c}.{k}").alias(k) for c, k in zip("ab", keys))).alias("grp")
+    edges = [pairs.join(e.withColumnRenamed("grp", c), c).select(group, "shape", *ENDS, "w") for c, e in zip("ab", layers)]
+    found = sides(noded(edges[0].unionByName(edges[1]), grid), grid)
+
+    def both(side: str) -> Column:
+        return F.count_if(odd(F.col(side))) == 2
+
+    bounding = found.groupBy("grp", *ENDS).agg(both("right").alias("_right"), both("left").alias("_left"))
+    return shapes(half_edges(bounding, "grp"), "grp", grid, precision).select("grp.*", "part", "rings")
+
+
 def _layers(first: DataFrame, second: DataFrame, keys: tuple[str, str], precision: float, rings: tuple[str, str], grid: Grid) -> tuple[DataFrame, DataFrame]:
     """Sides of all pieces in polygons of two layers: (ends, the layer's key, _r, _l) each."""
     none = F.lit(None)
@@ -320,15 +354,6 @@ def _layers(first: DataFrame, second: DataFrame, keys: tuple[str, str], precisio
     return tuple(found.filter(F.col("shape.layer") == i).select(*ENDS, F.col(f"shape.{c}").alias(k), "_r", "_l") for i, (c, k) in enumerate(zip("ab", keys)))
 
 
-def intersected(first: DataFrame, second: DataFrame, keys: tuple[str, str], side: float, precision: float = 1e-3, rings: tuple[str, str] = ("rings", "rings")) -> DataFrame:
-    """(first key, second key, part, rings): what each polygon of one layer shares with each of another. Pairs come from
-    pieces that both hold a side of, so that polygons that share no area are never paired."""
-    grid = grid_of(side, precision)
-    a, b = _layers(first, second, keys, precision, rings, grid)
-    both = a.join(b.withColumnsRenamed({"_r": "_r2", "_l": "_l2"}), list(ENDS)).withColumns({"_right": F.col("_r") & F.col("_r2"), "_left": F.col("_l") & F.col("_l2"), "out": F.struct(*keys)})
-    return shapes(half_edges(both, "out"), "out", grid, precision).select("out.*", "part", "rings")
-
-
 def differenced(first: DataFrame, second: DataFrame, keys: tuple[str, str], side: float, precision: float = 1e-3, rings: tuple[str, str] = ("rings", "rings")) -> DataFrame:
     """(first key, part, rings): what the second layer's polygons together leave of each of the first."""
     grid = grid_of(side, precision)
