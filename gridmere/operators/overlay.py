@@ -344,23 +344,18 @@ def intersected(first: DataFrame, second: DataFrame, keys: tuple[str, str], side
     return shapes(half_edges(bounding, "grp"), "grp", grid, precision).select("grp.*", "part", "rings")
 
 
-def _layers(first: DataFrame, second: DataFrame, keys: tuple[str, str], precision: float, rings: tuple[str, str], grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Sides of all pieces in polygons of two layers: (ends, the layer's key, _r, _l) each."""
-    none = F.lit(None)
-    kinds = [dict(df.dtypes)[k] for df, k in zip((first, second), keys)]
-    shape = [F.struct(F.col(keys[0]).alias("a"), none.cast(kinds[1]).alias("b"), F.lit(0).alias("layer")), F.struct(none.cast(kinds[0]).alias("a"), F.col(keys[1]).alias("b"), F.lit(1).alias("layer"))]
-    edges = [edges_of(df, F.lit(0), s, precision, r) for df, s, r in zip((first, second), shape, rings)]
-    found, _ = cut(sides(noded(edges[0].unionByName(edges[1]), grid), grid).withColumns({"_r": odd(F.col("right")), "_l": odd(F.col("left"))}).filter("_r OR _l"))
-    return tuple(found.filter(F.col("shape.layer") == i).select(*ENDS, F.col(f"shape.{c}").alias(k), "_r", "_l") for i, (c, k) in enumerate(zip("ab", keys)))
-
-
 def differenced(first: DataFrame, second: DataFrame, keys: tuple[str, str], side: float, precision: float = 1e-3, rings: tuple[str, str] = ("rings", "rings")) -> DataFrame:
-    """(first key, part, rings): what the second layer's polygons together leave of each of the first."""
+    """(first key, part, rings): what the second layer's polygons together leave of each of the first. The second layer is
+    united before, so that the first is cut at the union's boundary alone."""
     grid = grid_of(side, precision)
-    a, b = _layers(first, second, keys, precision, rings, grid)
-    taken = b.groupBy(*ENDS).agg(F.max("_r").alias("_r2"), F.max("_l").alias("_l2"))
-    left = a.join(taken, list(ENDS), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_r2", "_l2")})
-    left = left.withColumns({"_right": F.col("_r") & ~F.col("_r2"), "_left": F.col("_l") & ~F.col("_l2"), "out": F.col(keys[0])})
+    kind = dict(first.dtypes)[keys[0]]
+    union = _united(edges_of(second, F.lit(0), F.col(keys[1]), precision, rings[1]), grid)
+    taken = winding.left_to_right(union.select("grp", F.struct(F.lit(None).cast(kind).alias("a"), F.lit(1).alias("layer")).alias("shape"), *(F.col(c).alias(e) for c, e in zip(("ax", "ay", "bx", "by"), ENDS)), F.lit(1).alias("w")))
+    own = edges_of(first, F.lit(0), F.struct(F.col(keys[0]).alias("a"), F.lit(0).alias("layer")), precision, rings[0])
+    found, _ = cut(sides(noded(own.unionByName(taken), grid), grid).withColumns({"_r": odd(F.col("right")), "_l": odd(F.col("left"))}).filter("_r OR _l"))
+    a, b = (found.filter(F.col("shape.layer") == i).select(*ENDS, F.col("shape.a").alias("out"), "_r", "_l") for i in (0, 1))
+    left = a.join(b.drop("out").withColumnsRenamed({"_r": "_r2", "_l": "_l2"}), list(ENDS), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_r2", "_l2")})
+    left = left.withColumns({"_right": F.col("_r") & ~F.col("_r2"), "_left": F.col("_l") & ~F.col("_l2")})
     return shapes(half_edges(left, "out"), "out", grid, precision).withColumnRenamed("out", keys[0])
 
 

@@ -168,7 +168,7 @@ def test_shapes_that_share_corners_need_no_components(spark, monkeypatch):
     assert len(seen) == 1
 
 
-@pytest.mark.parametrize("form", ["dissolved", "intersected"])
+@pytest.mark.parametrize("form", ["dissolved", "intersected", "differenced"])
 def test_shapes_over_each_other_are_not_all_cut(spark, monkeypatch, form):
     """Fifty boxes that all overlap have thousands of crossings, of which the results need few."""
     draw = random.Random(3)
