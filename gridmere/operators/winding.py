@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
+from ..sources.storage import cut, remove
 
 ENDS = ("x1", "y1", "x2", "y2")
+#: Edges that a row of a point query's index holds at most: polygons with more in a square go by rows.
+HELD = 4096
 
 
 @dataclass(frozen=True)
@@ -222,6 +225,44 @@ def within_edges(points: DataFrame, edges: DataFrame, key: str, grid: Grid, x: s
     """Points with the keys of the polygons, given by their edges, that they are within, by the even-odd rule. Polygons
     too large for a row are never one."""
     known = points.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    many = met_squares(edges, grid, [key]).groupBy(key, "_gy", "_gx").count().filter(F.col("count") > HELD).select(key).distinct()
+    many, path = cut(many)
+    if many.isEmpty():
+        remove(points.sparkSession, path)
+        return _within_few(known, edges, key, grid, x, y)
+    few = _within_few(known, edges.join(F.broadcast(many), key, "left_anti"), key, grid, x, y)
+    return few.unionByName(_within_many(known, edges.join(F.broadcast(many), key, "left_semi"), key, grid, x, y))
+
+
+def _within_many(points: DataFrame, edges: DataFrame, key: str, grid: Grid, x: str, y: str) -> DataFrame:
+    """The same for polygons with very many edges in a square: all of them go by the finest squares at once. Counts of squares
+    are sums of rows; only edges of squares with a point are gathered, HELD at most in a row, and what a point counts in
+    several rows is added up. Places are tested once, however many points are there."""
+    fine = Grid(grid.sides()[-1], 0, grid.most, grid.whole)
+    side, places = fine.side, points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    places = places.withColumns({"_gx": fine.number(F.col("_x"), side), "_gy": fine.number(F.col("_y"), side)})
+    squares = met_squares(edges, fine, [key, F.struct(*ENDS, "w").alias("e")])
+    counted = squares.groupBy(key, "_gy", "_gx").agg(F.lit(0).cast("long").alias("s"))
+    sign = F.when(F.col("y2") > F.col("y1"), -F.col("w")).otherwise(F.col("w")).cast("long")
+    first, last = F.ceil((F.least("y1", "y2") - fine.offset) / side), F.ceil((F.greatest("y1", "y2") - fine.offset) / side) - 1
+    lines = edges.select("*", first.alias("_a"), last.alias("_b")).filter("_b >= _a").select("*", F.explode(F.sequence("_a", "_b")).alias("_gy"))
+    e = F.struct(*ENDS)
+    crossed = lines.select(key, "_gy", _column(fine, e, fine.line(F.col("_gy"), side), side).alias("_gx"), sign.alias("s")).groupBy(key, "_gy", "_gx").agg(F.sum("s").alias("s"))
+    sums = counted.unionByName(crossed).groupBy(key, "_gy", "_gx").agg(F.sum("s").alias("s"))
+    along = Window.partitionBy(key, "_gy").orderBy("_gx")
+    runs = sums.withColumns({"base": F.coalesce(F.sum("s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_before": F.coalesce(F.lag("_gx").over(along), F.col("_gx") - 1)})
+    filled = runs.withColumn("_gx", F.explode(F.when(F.col("base") != 0, F.sequence(F.col("_before") + 1, F.col("_gx"))).otherwise(F.array("_gx")))).filter("base <> 0")
+    based = places.join(filled.select(key, "_gx", "_gy", "base"), ["_gx", "_gy"]).select("_x", "_y", key, F.col("base").alias("winding"), F.lit(False).alias("on_edge"))
+    met = squares.join(places.select("_gx", "_gy").distinct(), ["_gx", "_gy"], "left_semi")
+    size = met.groupBy(key, "_gx", "_gy").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("_rows"))
+    held = met.join(size, [key, "_gx", "_gy"]).withColumn("_row", F.pmod(F.xxhash64("e"), F.col("_rows")))
+    gathered = held.groupBy(key, "_gx", "_gy", "_row").agg(F.collect_list("e").alias("edges")).select(key, F.lit(0).alias("level"), "_gx", "_gy", F.lit(0).cast("long").alias("base"), "edges")
+    tested = located(places.select("_x", "_y"), gathered, fine, x="_x", y="_y").select("_x", "_y", key, "winding", "on_edge")
+    inside = based.unionByName(tested).groupBy("_x", "_y", key).agg(F.sum("winding").alias("winding"), F.max("on_edge").alias("on_edge")).filter((F.col("winding") % 2 != 0) & ~F.col("on_edge"))
+    return points.join(inside.select("_x", "_y", key), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).select(*points.columns, key)
+
+
+def _within_few(known: DataFrame, edges: DataFrame, key: str, grid: Grid, x: str, y: str) -> DataFrame:
     return located(known, index(edges, [key], grid), grid, x=x, y=y).filter((F.col("winding") % 2 != 0) & ~F.col("on_edge")).drop("winding", "on_edge")
 
 

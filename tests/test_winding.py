@@ -67,3 +67,19 @@ def test_whole_numbers_are_exact(spark):
 
         expected = {(i, k) for i, x, y in points for k, e in edge.items() if not on(x, y, e) and sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in e) % 2}
         assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_many_edges_in_a_square_go_by_rows(spark, monkeypatch):
+    """The same points are within, and no row holds more than a bound, when polygons have more edges in a square than that."""
+    draw = random.Random(2)
+    polygons = shapes(draw)
+    points = [(i, float(draw.randrange(-50, 1050)), float(draw.randrange(-50, 1050))) for i in range(2000)]
+    p = spark.createDataFrame([*points, (9000, *points[0][1:])], "point_id long, x double, y double")
+    q = spark.createDataFrame([(k, [[{"x": a, "y": b} for a, b in r] for r in rings]) for k, rings in polygons.items()], f"poly long, rings array<array<{POINT}>>")
+    monkeypatch.setattr(winding, "HELD", 20)
+    sizes, real = [], winding.located
+    monkeypatch.setattr(winding, "located", lambda points, squares, *args, **more: (sizes.append(squares.agg(F.max(F.size("edges"))).first()[0]), real(points, squares, *args, **more))[1])
+    found = {(r.point_id, r.poly) for r in winding.within_join(p, q, "poly", winding.Grid(400.0, depth=2, most=8)).collect()}
+    expected = {(i, k) for i, x, y in points for k, rings in polygons.items() if odd(x, y, rings)}
+    assert found == expected | {(9000, k) for i, k in expected if i == 0}
+    assert max(s for s in sizes if s) <= 40
