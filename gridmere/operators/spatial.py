@@ -184,34 +184,107 @@ def _searched(points: DataFrame, targets: DataFrame, side: float, rounds: int, p
     return done
 
 
+#: Half the diagonal of a square of side 1 and a little, how far a square's border is put out, and points a cell from which on
+#: cells are made smaller.
+HALF, RIM, FULL = 0.70710679, 1e-9, 64
+
+
+def _apart2(x: Column, y: Column, e: Column) -> Column:
+    """Square of the distance to an edge (x1, y1, dx, dy, l2), in few steps."""
+    u, v = x - e["x1"], y - e["y1"]
+    along, over = u * e["dx"] + v * e["dy"], u * e["dy"] - v * e["dx"]
+    return F.when(along <= 0, u * u + v * v).when(along < e["l2"], over * over / e["l2"]).otherwise((u - e["dx"]) * (u - e["dx"]) + (v - e["dy"]) * (v - e["dy"]))
+
+
+def _turned(x: Column, y: Column, e: Column, border: Column) -> Column:
+    """Summed modulo 2 over the edges that meet a square (others change nothing), the part of a ray's crossings that depends
+    on the point's place in the square. Right of the border a crossed edge counts by its ends, so that ends of edges that
+    are both right of it cancel out and only edges that meet the square are needed."""
+    crossed = ((e["y1"] > y) != (e["y2"] > y)) & (x < e["dx"] * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    return (crossed != ((e["x1"] >= border) & (e["y1"] > y))) != ((e["x2"] >= border) & (e["y2"] > y))
+
+
+def _near_edges(cells: DataFrame, edges: DataFrame, side: float, width: float) -> DataFrame:
+    """(cell, cx, cy, edge's columns, d) of the edges that can be nearest to a point of the cell, and some more: d is the
+    distance to the cell's centre. Edges are looked up by pieces of a side at most, in squares as long as the way to look."""
+    steps = F.greatest(F.ceil(F.sqrt("l2") / side), F.lit(1)).alias("n")
+    pieces = edges.select("*", steps).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    pieces, _ = cut(pieces.select("*", *((F.col(f"{c}1") + F.col(f"d{c}") * (F.col("k") + i) / F.col("n")).alias(f"p{c}{i}") for c in "xy" for i in (0, 1))))
+    marks = pieces.select(F.col("_poly").alias("target_id"), F.col("px0").alias("tx"), F.col("py0").alias("ty"))
+    reach = _searched(cells.select("cell", F.col("cx").alias("x"), F.col("cy").alias("y")), marks, side, 4, "cell", "target_id", bound=True)
+    most = F.col("apart") + 2 * HALF * width
+    reach = reach.select("cell", F.col("x").alias("cx"), F.col("y").alias("cy"), most.alias("most"), F.greatest(F.ceil(F.log(4.0, most / side)), F.lit(0)).cast("int").alias("level"))
+    levels = [r[0] for r in reach.select("level").distinct().collect()]
+    long, around = F.lit(side) * F.pow(F.lit(4.0), F.col("level")), F.sequence(F.lit(-1), F.lit(1))
+    looking = reach.select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+    looking = looking.select("cell", "cx", "cy", "most", "level", (F.floor(F.col("cx") / long) + F.col("dx")).alias("_gx"), (F.floor(F.col("cy") / long) + F.col("dy")).alias("_gy"))
+    sent = pieces.select(*edges.columns, *(f(f"p{c}0", f"p{c}1").alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.least), ("max", F.greatest))), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    for axis in "xy":
+        sent = sent.select("*", F.explode(F.sequence(F.floor(F.col(f"{axis}_min") / long), F.floor(F.col(f"{axis}_max") / long))).alias(f"_g{axis}"))
+    off = [F.greatest(F.col(f"{c}_min") - F.col(f"c{c}"), F.col(f"c{c}") - F.col(f"{c}_max"), F.lit(0.0)) for c in "xy"]
+    found = looking.join(sent, ["level", "_gx", "_gy"]).filter(F.hypot(*off) <= F.col("most") * (1 + 1e-9))
+    edge = F.struct("x1", "y1", "x2", "y2", "dx", "dy", "l2")
+    once = found.dropDuplicates(["cell", "_poly", "_edge"]).select("cell", "cx", "cy", "_poly", "_key", edge.alias("e"))
+    return once.withColumn("d", F.sqrt(_apart2(F.col("cx"), F.col("cy"), F.col("e"))))
+
+
+def _centres_within(cells: DataFrame, shapes: DataFrame, edges: DataFrame, side: float, width: float) -> DataFrame:
+    """(cell, _poly, _key) of the polygons that the centre of a cell is in, by the edges on the line from it to the right."""
+    boxes = spread(shapes.select("_poly", "_key", *(c.alias(n) for n, c in geometry.bounds(F.col("_ring")).items())), side, {n: F.col(n) for n in ("x_min", "x_max", "y_min", "y_max")})
+    rows = edges.select("*", F.explode(F.sequence(F.floor(F.least("y1", "y2") / width), F.floor(F.greatest("y1", "y2") / width))).alias("_row"))
+    line = (F.col("_row") + 0.5) * width
+    rows = rows.filter((F.col("y1") > line) != (F.col("y2") > line)).select("_poly", "_row", (F.col("dx") * (line - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("at"))
+    near = F.col("cx").between(F.col("x_min"), F.col("x_max")) & F.col("cy").between(F.col("y_min"), F.col("y_max"))
+    at = placed(cells.select("cell", "cx", "cy", F.col("cell._gy").alias("_row")), side, "cx", "cy").join(boxes, ["_gx", "_gy"]).filter(near)
+    met = at.select("cell", "cx", "_row", "_poly", "_key").join(rows, ["_poly", "_row"])
+    return met.groupBy("cell", "_poly", "_key").agg(F.count_if(F.col("cx") < F.col("at")).alias("n")).filter("n % 2 = 1").drop("n")
+
+
 def nearest_polygon(points: DataFrame, polygons: DataFrame, side: float, point_key: str = "point_id", key: str = "poly", ring: str = "ring") -> DataFrame:
     """(point_key, key, apart): each point's nearest polygon, at distance 0 inside it, the least key of equally near ones.
 
-    nearest() over corners, and points along the edges a side apart at most, tells how far each point has to look. Points
-    and polygons then meet in squares as long as that, of which there are nine around a point; squares come in sides
-    that grow fourfold up to the extent, so that a polygon is sent to few more than its smallest squares.
+    The search is made once for each square (cell) with a point, for its centre (cells of a quarter of the side where points
+    are FULL times as many as those): nearest() over corners, and points along the
+    edges a side apart at most, tells how far a cell has to look. What can be nearest to any of its points are the edges that
+    are no farther from the centre than those that surely are near and the cell's diagonal. Points are read twice, for their
+    cells and to be measured against these few edges; whether a point is inside follows from the cell's centre and
+    the edges that meet the cell.
     """
-    i = F.sequence(F.lit(0), F.size(ring) - 2)
-    edges = polygons.select(F.col(key).alias("target_id"), F.explode(F.transform(i, lambda k: F.struct(F.get(ring, k).alias("p"), F.get(ring, k + 1).alias("q")))).alias("e"))
-    steps = F.greatest(F.ceil(F.hypot(F.col("e.q.x") - F.col("e.p.x"), F.col("e.q.y") - F.col("e.p.y")) / side), F.lit(1))
-    marks = edges.select("*", steps.alias("n")).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: k / F.col("n"))).alias("t"))
-    targets = marks.select("target_id", *((F.col(f"e.p.{c}") + F.col("t") * (F.col(f"e.q.{c}") - F.col(f"e.p.{c}"))).alias(f"t{c}") for c in "xy"))
-    reach = _searched(points, targets, side, 4, point_key, "target_id", bound=True).repartition(4 * points.sparkSession.sparkContext.defaultParallelism, point_key).withColumn("level", F.greatest(F.ceil(F.log(4.0, F.col("apart") / side)), F.lit(0)))
-    reach = reach.withColumn("level", F.coalesce(F.col("level"), F.lit(0)).cast("int"))  # apart 0 has no logarithm
-    levels = math.ceil(math.log(max(1.0, _diagonal(points, targets) / side), 4)) + 1
-    long = F.lit(side) * F.pow(F.lit(4.0), F.col("level"))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    looking = reach.select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
-    looking = looking.select(point_key, "x", "y", F.col("apart").alias("_most"), "level", (F.floor(F.col("x") / long) + F.col("dx")).alias("_gx"), (F.floor(F.col("y") / long) + F.col("dy")).alias("_gy"))
-    box = geometry.bounds(F.col(ring))
-    sent = polygons.select(F.col(key).alias("_key"), F.col(ring).alias("_ring"), *(c.alias(f"_{n}") for n, c in box.items())).select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    for axis in "xy":
-        sent = sent.select("*", F.explode(F.sequence(F.floor(F.col(f"_{axis}_min") / long), F.floor(F.col(f"_{axis}_max") / long))).alias(f"_g{axis}"))
-    # a box farther than the nearest mark holds nothing nearer
-    off = [F.greatest(F.col(f"_{c}_min") - F.col(c), F.col(c) - F.col(f"_{c}_max"), F.lit(0.0)) for c in "xy"]
-    pairs = looking.join(sent, ["level", "_gx", "_gy"]).filter(F.hypot(*off) <= F.col("_most") * (1 + 1e-9)).select(point_key, "_key", geometry.ring_distance(F.col("x"), F.col("y"), F.col("_ring")).alias("apart"))
-    best = pairs.groupBy(point_key).agg(F.min(F.struct("apart", "_key")).alias("b"))
-    return best.select(point_key, F.col("b._key").alias(key), F.col("b.apart").alias("apart"))
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    known, width = points.filter(finite).select(point_key, "x", "y"), side / 4
+    cells, _ = cut(placed(known, width).groupBy("_gx", "_gy").agg(F.count(F.lit(1)).alias("n")))
+    count, held = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if count * FULL > (held or 0):
+        cells, width = cells.select(F.floor(F.col("_gx") / 4).alias("_gx"), F.floor(F.col("_gy") / 4).alias("_gy")).distinct(), side
+    known = placed(known, width)
+    cells = cells.select(F.struct("_gx", "_gy").alias("cell"), ((F.col("_gx") + 0.5) * width).alias("cx"), ((F.col("_gy") + 0.5) * width).alias("cy"))
+    shapes, _ = cut(polygons.filter(F.size(ring) >= 2).select(F.monotonically_increasing_id().alias("_poly"), F.col(key).alias("_key"), F.col(ring).alias("_ring")))
+    corners = F.transform(F.sequence(F.lit(0), F.size("_ring") - 2), lambda k: F.struct(F.get("_ring", k).alias("p"), F.get("_ring", k + 1).alias("q")))
+    ends = shapes.select("_poly", "_key", F.posexplode(corners).alias("_edge", "e")).select("_poly", "_key", "_edge", *(F.col(f"e.{p}.{c}").cast("double").alias(f"{c}{i}") for p, i in (("p", 1), ("q", 2)) for c in "xy"))
+    ways = ends.select("*", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
+    edges, _ = cut(ways.select("*", (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("l2")))
+    half = HALF * width
+    near, _ = cut(_near_edges(cells, edges, side, width))
+    inside, _ = cut(_centres_within(cells, shapes, edges, side, width).withColumn("in", F.lit(True)))
+    # how near the nearest polygon is at most, for all points of the cell
+    apart = near.groupBy("cell", "_poly").agg(F.min("d").alias("d")).join(inside, ["cell", "_poly"], "full")
+    most = F.when(F.col("in"), F.when(F.col("d") <= half, half).otherwise(0.0)).otherwise(F.col("d") + half)
+    bound = apart.groupBy("cell").agg(F.min(most).alias("most"))
+    border = (F.col("cell._gx") + 1 + RIM) * width
+    kept = near.join(bound, "cell").filter(F.col("d") <= (F.col("most") + half) * (1 + 1e-9)).withColumn("turned", _turned(F.col("cx"), F.col("cy"), F.col("e"), border))
+    by_shape = kept.groupBy("cell", "_poly", "_key").agg(F.collect_list("e").alias("edges"), F.min("d").alias("d"), (F.count_if("turned") % 2 == 1).alias("turned"))
+    by_shape = by_shape.join(inside, ["cell", "_poly", "_key"], "full").withColumns({"in": F.coalesce("in", F.lit(False)), "cut": F.coalesce(F.col("d") <= half, F.lit(False))})
+    shape = F.struct("_key", "cut", F.when(F.col("cut"), F.col("in") != F.col("turned")).otherwise(F.col("in")).alias("odd"), F.coalesce("edges", F.array().cast(near.select(F.array("e")).schema[0].dataType)).alias("edges"))
+    packed, _ = cut(by_shape.groupBy("cell").agg(F.collect_list(shape).alias("_shapes")).select("cell._gx", "cell._gy", "_shapes"))
+    x, y, border = F.col("x"), F.col("y"), (F.col("_gx") + 1 + RIM) * width
+
+    def measured(s: Column) -> Column:
+        turned = F.size(F.filter(s["edges"], lambda e: _turned(x, y, e, border))) % 2 == 1
+        within = F.when(s["cut"], s["odd"] != turned).otherwise(s["odd"])
+        return F.struct(F.when(within, 0.0).otherwise(F.sqrt(F.array_min(F.transform(s["edges"], lambda e: _apart2(x, y, e))))).alias("apart"), s["_key"].alias(key))
+
+    best = known.join(packed, ["_gx", "_gy"]).select(point_key, F.explode(F.array(F.array_min(F.transform("_shapes", measured)))).alias("b"))
+    return best.select(point_key, F.col(f"b.{key}").alias(key), F.col("b.apart").alias("apart"))
 
 
 def nearest_small(points: DataFrame, targets: DataFrame, point_key: str = "point_id", target_key: str = "target_id", most: int = 10_000) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridmere.functions import geometry
@@ -96,3 +97,37 @@ def test_nearest_polygon_has_a_row_for_every_point(spark):
     points = spark.createDataFrame([(1, 200.0, 0.5), (2, 200.0, 30.0), (3, 0.5, 30.0), (4, 3000.0, 0.0), (5, 0.0, 0.0)], "point_id int, x double, y double")
     got = {r["point_id"]: (r["poly"], round(r["apart"], 6)) for r in spatial.nearest_polygon(points, shapes, 5.0).collect()}
     assert got == {1: (1, 0.0), 2: (1, 29.0), 3: (2, 20.0), 4: (1, 2600.0), 5: (1, 0.0)}
+
+
+@pytest.mark.parametrize("full", [64, 0])
+def test_nearest_polygon_measures_few_edges(spark, monkeypatch, full):
+    """Against all rings: points on corners, edges and lines through corners, shapes that lie over each other or have very many
+    corners, empty rings. Points meet the edges near their cell alone, no whole ring, and none is sent to many squares."""
+    monkeypatch.setattr(spatial, "FULL", full)
+    draw = random.Random(8)
+    star = [(300 + (60 + 30 * (i % 2)) * math.cos(i * math.pi / 200), 60 + (60 + 30 * (i % 2)) * math.sin(i * math.pi / 200)) for i in range(400)]
+    rings = [star, [(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (90, 10), (10, 90)], [(100, 0), (150, 0), (150, 50), (140, 10), (110, 10), (100, 50)], [(-400, -30), (900, -45), (900, -40)]]
+    rings += [[(x + draw.randrange(60), y + draw.randrange(60)) for _ in range(draw.randint(3, 6))] for x, y in ((draw.randrange(500), draw.randrange(100, 300)) for _ in range(25))]
+    shapes = spark.createDataFrame([*((k, _ring(*r)) for k, r in enumerate(rings)), (900, [])], f"poly int, ring {RINGS}")
+    places = [(draw.randrange(-100, 600), draw.randrange(-100, 400)) for _ in range(400)] + [(draw.uniform(-50, 600), draw.uniform(-50, 400)) for _ in range(400)] + [p for r in rings[1:6] for p in r] + [(20, 40), (5000, -3000), (-700, 900)]
+    points = spark.createDataFrame([*((i, float(x), float(y)) for i, (x, y) in enumerate(places)), (9000, None, 0.0), (9001, float("nan"), 0.0)], "point_id int, x double, y double")
+
+    def apart(x, y, ring):
+        best, odd = float("inf"), False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            l2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) if l2 else 0.0
+            best = min(best, math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return 0.0 if odd else best
+
+    found = spatial.nearest_polygon(points, shapes, 20.0)
+    got = {r["point_id"]: (r["poly"], r["apart"]) for r in found.collect()}
+    assert sorted(got) == list(range(len(places)))
+    for i, (x, y) in enumerate(places):
+        ways = [apart(x, y, r) for r in rings]
+        assert abs(got[i][1] - min(ways)) < 1e-9 and ways[got[i][0]] <= min(ways) + 1e-9, (i, x, y)
+        assert got[i][0] == min(k for k, w in enumerate(ways) if w == min(ways)) or sorted(ways)[1] - min(ways) < 1e-9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ring" not in plan and plan.count("Generate") <= 1 and "Aggregate" not in plan
+    assert spatial.nearest_polygon(points, shapes.limit(0), 20.0).count() == 0 and spatial.nearest_polygon(points.limit(0), shapes, 20.0).count() == 0
